@@ -27,20 +27,21 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """A row of the threshold table: 100 * part must lie in [low, high] percent of whole."""
+    """A row of the threshold table: part must lie in [low, high] percent of whole, from `least` words on."""
 
     name: str
     part: str
     whole: str
     low: float | None
     high: float | None
+    least: int = 0
 
 
 #: The threshold table. Whole-number percentages keep both engines on integers.
 RULES = (
     Rule("word_length", "word_chars", "n_words", 200, 1500),
     Rule("symbols", "n_symbols", "n_words", None, 15),
-    Rule("stop_words", "n_stop_words", "n_words", 6, None),
+    Rule("stop_words", "n_stop_words", "n_words", 6, None, 30),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 40),
     Rule("letters", "n_alpha_words", "n_words", 60, None),
 )
@@ -86,11 +87,11 @@ def compiled(rules=RULES) -> Column:
     """The threshold table as one boolean expression: true where every rule holds."""
     holds = F.lit(True)
     for r in rules:
-        part, whole = F.col(r.part) * 100, F.col(r.whole)
+        part, whole, few = F.col(r.part) * 100, F.col(r.whole), F.col("n_words") < r.least
         if r.low is not None:
-            holds = holds & (part >= whole * r.low)
+            holds = holds & (few | (part >= whole * r.low))
         if r.high is not None:
-            holds = holds & (part <= whole * r.high)
+            holds = holds & (few | (part <= whole * r.high))
     return holds
 
 
@@ -117,9 +118,9 @@ def _rules_sql() -> str:
     tests = []
     for r in RULES:
         if r.low is not None:
-            tests.append(f"{r.part} * 100 >= {r.whole} * {r.low}")
+            tests.append(f"(n_words < {r.least} OR {r.part} * 100 >= {r.whole} * {r.low})")
         if r.high is not None:
-            tests.append(f"{r.part} * 100 <= {r.whole} * {r.high}")
+            tests.append(f"(n_words < {r.least} OR {r.part} * 100 <= {r.whole} * {r.high})")
     return " AND ".join(tests)
 
 
