@@ -36,6 +36,26 @@ def n_words(text: Column) -> Column:
     return F.when(F.octet_length(blank) == 0, F.lit(0)).otherwise(gaps + 1).cast("long")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python stages by bytes, unless the session already does.
+
+    A batch of ten thousand long documents would not fit a Python worker's memory.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        now = "".join(c for c in str(now) if c.isdigit()) if now and str(now).isdigit() else None
+        if now is None or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

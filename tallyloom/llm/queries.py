@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .language_id import op2_language_id
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .token_binary import op10_token_binary
+from .token_counts import op3_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
+    "op3_token_counts": op3_token_counts,
+    "op10_token_binary": op10_token_binary,
 }
 
 ORACLE_SQL = {
