@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .language_id import op2_language_id
+from .mixture import OP6_SQL, op6_mixture
+from .packing import OP8_SQL, op8_packing
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .secret_scan import OP7_SQL, op7_secrets
+from .simhash import op4_simhash
 from .token_binary import op10_token_binary
 from .token_counts import op3_token_counts
 
@@ -11,9 +15,16 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_simhash": op4_simhash,
+    "op6_mixture": op6_mixture,
+    "op7_secrets": op7_secrets,
+    "op8_packing": op8_packing,
     "op10_token_binary": op10_token_binary,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op6_mixture": OP6_SQL,
+    "op7_secrets": OP7_SQL,
+    "op8_packing": OP8_SQL,
 }

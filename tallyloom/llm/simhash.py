@@ -82,8 +82,13 @@ class Golay:
         self.leader = np.zeros(1 << 11, np.int64)
         self.leader[self.syndrome(leaders)] = leaders
         far = np.bitwise_count(self.leader[:, None] ^ self.code[None, :])
-        # moves[e]: words (12 bits) of codewords that become nearest after at most e flips, by coset
-        self.moves = [[np.flatnonzero(row == 3 + e) if e else np.zeros(1, np.int64) for row in far] for e in range(3)]
+        # moves[e]: by coset, words (12 bits) of codewords that e flips, no fewer, can make nearest; -1 fills up
+        self.moves = [np.zeros((1 << 11, 1), np.int64)]
+        for e in (1, 2):
+            near = far == 3 + e
+            most = int(near.sum(1).max())
+            order = np.argsort(~near, axis=1, kind="stable")[:, :most]
+            self.moves.append(np.where(np.take_along_axis(near, order, 1), order, -1))
 
     def syndrome(self, x: np.ndarray) -> np.ndarray:
         return (x & 0x7FF) ^ self.rest[x >> 11]
@@ -107,18 +112,13 @@ def reach(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     g = Golay.shared()
     a, sa = g.home(fp & _MASK)
     b, sb = g.home((fp >> 23) & _MASK)
-    rows, anchors = [], []
-    # the two blocks' moves, by flips spent in each: at most two in all
-    table = {(s, e): g.moves[e][s] for e in range(3) for s in np.union1d(sa, sb)}
-    for i in range(len(fp)):
-        for ea, eb in ((0, 0), (1, 0), (2, 0), (0, 1), (1, 1), (0, 2)):
-            ma, mb = table[sa[i], ea], table[sb[i], eb]
-            if len(ma) and len(mb):
-                both = (((a[i] ^ ma) << 12)[:, None] | (b[i] ^ mb)[None, :]).ravel()
-                anchors.append(both)
-                rows.append(np.full(len(both), i))
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    own, rows, anchors = np.arange(len(fp)), [], []
+    for ea, eb in ((0, 0), (1, 0), (2, 0), (0, 1), (1, 1), (0, 2)):  # flips spent in each block
+        ma, mb = g.moves[ea][sa][:, :, None], g.moves[eb][sb][:, None, :]
+        there = (ma >= 0) & (mb >= 0)
+        both = ((a[:, None, None] ^ ma) << 12) | (b[:, None, None] ^ mb)
+        anchors.append(both[there])
+        rows.append(np.broadcast_to(own[:, None, None], there.shape)[there])
     return np.concatenate(rows), np.concatenate(anchors)
 
 
