@@ -5,6 +5,7 @@ from __future__ import annotations
 from .language_id import op2_language_id
 from .mixture import OP6_SQL, op6_mixture
 from .packing import OP8_SQL, op8_packing
+from .quality_model import op9_quality_model
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import OP7_SQL, op7_secrets
 from .simhash import op4_simhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_mixture": op6_mixture,
     "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
+    "op9_quality_model": op9_quality_model,
     "op10_token_binary": op10_token_binary,
 }
 
