@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_links import op5_embedding_links
 from .language_id import op2_language_id
 from .mixture import OP6_SQL, op6_mixture
 from .packing import OP8_SQL, op8_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
+    "op5_embedding_links": op5_embedding_links,
     "op6_mixture": op6_mixture,
     "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
