@@ -2,10 +2,12 @@
 
 A data set is a folder of shards, one for each range of doc_id, in ascending order:
 
-    shard-<k>-<attempt>.bin   token ids, little-endian unsigned 32-bit, nothing between documents
+    shard-<k>-<attempt>.bin   token ids, little-endian unsigned integers (16-bit where the vocabulary
+                              has at most 65,536 ids, else 32-bit), nothing between documents
     shard-<k>-<attempt>.idx   n + 1 little-endian unsigned 64-bit offsets into the .bin, in ids
     shard-<k>-<attempt>.doc   n little-endian signed 64-bit document ids
     manifest.json             the shards in order, with the number of ids before each (its base)
+                              and the type of its ids
 
 Rows are dealt by range of doc_id, each task streams its rows into files under a name of its own
 attempt, and only the attempts whose rows Spark commits enter the manifest, so lost executors and
@@ -76,6 +78,11 @@ class Encoder:
         self.used += n
         return at << 24 | sizes
 
+    @property
+    def dtype(self) -> str:
+        """The narrowest type that holds every id."""
+        return "<u2" if self.pre.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
     def encode(self, texts: list[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has, with `end` after each text."""
         parts, owner, closing = [], [], []  # a piece of a text and the id that closes it, or -1
@@ -131,7 +138,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
                     streams = [fs.open_output_stream(f"{root}/{name}.{kind}") for kind in ("bin", "idx", "doc")]
                     streams[1].write(np.zeros(1, "<u8").tobytes())
                 ids, sizes = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end)
-                streams[0].write(ids.astype("<u4").tobytes())
+                streams[0].write(ids.astype(encoder.dtype).tobytes())
                 streams[1].write((n_ids + np.cumsum(sizes)).astype("<u8").tobytes())
                 streams[2].write(batch.column(0).fill_null(_NULL_ID).to_numpy().astype("<i8").tobytes())
                 n_docs, n_ids = n_docs + batch.num_rows, n_ids + len(ids)
@@ -139,12 +146,12 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             for s in streams or ():
                 s.close()
         if streams is not None:
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "dtype": [encoder.dtype], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    written = durable(dealt.mapInArrow(write, "part long, name string, n_docs long, n_ids long"), "shards")
+    written = durable(dealt.mapInArrow(write, "part long, name string, dtype string, n_docs long, n_ids long"), "shards")
     manifest, base = [], 0
     for r in sorted(written.collect(), key=lambda r: r["part"]):  # a row a shard
-        manifest.append({"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "base": base})
+        manifest.append({"name": r["name"], "dtype": r["dtype"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "base": base})
         base += r["n_ids"]
     with fs.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
@@ -167,19 +174,19 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[dict] | None =
     if manifest is None:
         with fs.open_input_stream(f"{root}/manifest.json") as f:
             manifest = json.loads(f.read())
-    rows = [(m["name"], m["base"]) for m in manifest]
-    shards = spark.createDataFrame(rows, "name string, base long").repartition(max(1, len(rows)))
+    rows = [(m["name"], m["base"], m["dtype"]) for m in manifest]
+    shards = spark.createDataFrame(rows, "name string, base long, dtype string").repartition(max(1, len(rows)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         for batch in batches:
-            for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, at, docs = (_opened(fs, f"{root}/{name}.{kind}", dtype) for kind, dtype in (("bin", "<u4"), ("idx", "<u8"), ("doc", "<i8")))
+            for name, base, of_ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, at, docs = (_opened(fs, f"{root}/{name}.{kind}", dtype) for kind, dtype in (("bin", of_ids), ("idx", "<u8"), ("doc", "<i8")))
                 at = at.astype(np.int64)
                 for k in range(0, len(docs), 8192):
                     some = np.array(docs[k : k + 8192])
                     cuts = at[k : k + len(some) + 1].tolist()
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(some, pa.int64(), mask=some == _NULL_ID),
