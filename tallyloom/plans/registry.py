@@ -2,5 +2,29 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyloom.sources.adapters import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that checks it (None: no SQL can)."""
+
+    def register(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if oracle is not None:
+            ORACLE_SQL[key] = sql(oracle)
+        return f
+
+    return register
+
+
+from tallyloom.plans import contracts, findings, snapshots, texts  # noqa: E402, F401  (they register their queries)
