@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
 from tallyloom.operators import bags
+from tallyloom.operators.cuts import durable
 
 MOST_BYTES = 4 << 20
 
@@ -46,7 +47,7 @@ def complete(*parts: Column) -> Column:
 
 def in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with their place in a total order, by range-dealt partitions and counts before each."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
     placed = placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     own = F.row_number().over(Window.partitionBy("__part").orderBy("__in"))
     counted = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
@@ -136,15 +137,23 @@ def resolve(refs: DataFrame, ref: str) -> DataFrame:
 
 
 def ancestors(commits: DataFrame, start: int) -> DataFrame:
-    """Commits reachable from one by parents, with their distance."""
-    spark, view = commits.sparkSession, "tallyloom_commits"
-    commits.createOrReplaceTempView(view)
-    return spark.sql(
-        f"""WITH RECURSIVE up(id, parent_id, depth) MAX RECURSION LEVEL 100000 AS (
-        SELECT id, parent_id, CAST(0 AS BIGINT) FROM {view} WHERE id = {int(start)}
-        UNION ALL SELECT c.id, c.parent_id, depth + 1 FROM up JOIN {view} c ON c.id = up.parent_id)
-        SELECT id, min(depth) AS depth FROM up GROUP BY id"""
-    )
+    """Commits reachable from one by (id, parent_id) rows, with their least distance.
+
+    Hops double in each round, so the rounds are the logarithm of the history's depth and not its
+    depth; each round is a join of what is reached and one of the hops with themselves.
+    """
+    spark, step = commits.sparkSession, 1
+    hops = durable(commits.where("parent_id is not null").select("id", "parent_id").distinct(), "hops")
+    seen, n = spark.createDataFrame([(start, 0)], "id long, depth long"), 1
+    seen = seen.join(commits.select("id"), "id", "left_semi")
+    while True:
+        further = seen.join(hops, "id").select(F.col("parent_id").alias("id"), (F.col("depth") + step).alias("depth"))
+        seen = durable(seen.union(further).groupBy("id").agg(F.min("depth").alias("depth")), "seen")
+        before, n = n, seen.count()
+        if n == before or not n:
+            return seen
+        after = hops.withColumnRenamed("parent_id", "via").join(hops.select(F.col("id").alias("via"), "parent_id"), "via")
+        hops, step = durable(after.select("id", "parent_id").distinct(), "hops"), step * 2
 
 
 def resolve_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:

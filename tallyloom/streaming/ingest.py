@@ -7,14 +7,12 @@ attempt of the same batch left, so a repeated batch after a failure changes noth
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyloom.operators import evidence
+from tallyloom.operators.cuts import fresh_path
 
 
 def log_of(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:
@@ -44,8 +42,7 @@ def start(lines: DataFrame, folder: str, signature: Column, arrival: str):
 def run_once(cards: DataFrame, signature: Column, arrival: str = "n", files: int = 3) -> DataFrame:
     """Write cards as JSON lines, stream them into a new log and return it."""
     spark = cards.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-")
-    folder = f"{root.rstrip('/')}/evidence-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "evidence")
     cards.repartitionByRange(files, arrival).write.json(f"{folder}/in")
     schema: StructType = cards.schema
     lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in")

@@ -11,7 +11,7 @@ from tallyloom.functions import paths as P
 from tallyloom.operators import bags, search
 
 rows = st.lists(st.tuples(st.sampled_from(["a", "a/b", "c/d/e", "f"]), st.sampled_from(["x", "y", "z"])), max_size=12)
-SLOW = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SLOW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 def bag(spark, own, work="w"):
@@ -106,3 +106,7 @@ def test_places_are_a_total_order(spark):
 def test_ancestors_stop_at_the_root(spark):
     commits = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 1), (4, 2)], "id long, parent_id long")
     assert {(r["id"], r["depth"]) for r in search.ancestors(commits, 4).collect()} == {(4, 0), (2, 1), (1, 2), (0, 3)}
+    merged = spark.createDataFrame([(i, i - 1 if i else None) for i in range(30)] + [(29, 3)], "id long, parent_id long")
+    got = {r["id"]: r["depth"] for r in search.ancestors(merged, 29).collect()}
+    assert got == {i: 29 - i if i > 3 else 1 + 3 - i for i in range(30)}
+    assert search.ancestors(commits, 99).count() == 0
