@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.cuts import durable, fresh_path, shared_dir  # noqa: F401  (for the operators)
+
 #: The six ASCII blanks that separate words (\x20, \x09-\x0D), and the word pattern they leave.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,40 +55,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the setting is missing (tests, a single machine) is a temporary folder set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    sc = spark.sparkContext
-    set_before = sc._jsc.sc().getCheckpointDir()
-    if set_before.isDefined():
-        return set_before.get().rstrip("/")
-    at = tempfile.mkdtemp(prefix="tallyloom-")
-    sc.setCheckpointDir(at)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tallyloom-{what}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Cut the lineage: write to the shared folder as Parquet and read that table.
-
-    A lost executor then costs the tasks it ran, never the steps before this one. Column pruning
-    and filters still reach the written table.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, n: int | None = None) -> DataFrame:
     """Add the 0-based rank of each row in its group, by `order`, without a task that holds a group.
 
