@@ -22,11 +22,17 @@ def totals(counted: DataFrame) -> DataFrame:
 
 
 def overlaps(counted: DataFrame, *keys: str) -> DataFrame:
-    """(target, candidate, shared, shared_unique) of all ordered pairs of works that share a key."""
+    """(target, candidate, shared, shared_unique) of all ordered pairs of works that share a key.
+
+    What two works share is the same both ways, so each unordered pair is summed once and then told
+    from either side.
+    """
     left = counted.select(F.col("work_id").alias("target"), *keys, F.col("n").alias("ln"))
     right = counted.select(F.col("work_id").alias("candidate"), *keys, F.col("n").alias("rn"))
-    both = left.join(right, list(keys)).where(F.col("target") != F.col("candidate"))
-    return both.groupBy("target", "candidate").agg(F.sum(F.least("ln", "rn")).alias("shared"), F.count(F.lit(1)).alias("shared_unique"))
+    both = left.join(right, list(keys)).where(F.col("target") < F.col("candidate"))
+    summed = both.groupBy("target", "candidate").agg(F.sum(F.least("ln", "rn")).alias("shared"), F.count(F.lit(1)).alias("shared_unique"))
+    sides = F.array(F.struct("target", "candidate"), F.struct(F.col("candidate").alias("target"), F.col("target").alias("candidate")))
+    return summed.select(F.explode(sides).alias("p"), "shared", "shared_unique").select("p.target", "p.candidate", "shared", "shared_unique")
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -46,7 +46,7 @@ RELATIONS: dict[str, tuple[str, dict[str, str], str]] = {
             "path": _PATH,
             "symbol": "'fn_' || CAST(l_orderkey AS STRING)",
             "line": "CAST(l_quantity AS INT)",
-            "shape": "CASE WHEN l_partkey % 11 = 0 THEN '' ELSE {s}'s' || CAST(l_partkey % 700 AS STRING){e} END",
+            "shape": "CASE WHEN l_partkey % 11 = 0 THEN '' ELSE {s}'s' || CAST(l_partkey - l_partkey % 4 AS STRING){e} END",
             "ord": "l_orderkey * 10 + l_linenumber",
         },
         "l_linenumber <> 7",
