@@ -5,7 +5,9 @@ and the excess reshared among the others (water filling, exact in whole numbers)
 expected copies are target / size of its source. Within a source the documents stand by size,
 largest first; their expected copies are prefix-summed, one random offset (from a hash of seed and
 source) is added, and a document is taken once for each whole number that its own stretch crosses.
-Ordered so, the words taken miss the target by less than the source's largest document.
+Ordered so, the words taken miss the target by less than the source's largest document. The offset
+is drawn from the middle fifth of the unit interval: with documents in order of size, a start at
+either end would take each size class's larger or smaller half.
 
 Ranks come from range-dealt partitions (`ranked`), so a source with a third of all rows spans as
 many tasks as it needs. Only (doc_id, source, size) is moved, never text.
@@ -45,9 +47,9 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST_COPI
 
 
 def offset(source: str | None, seed: str = SEED) -> float:
-    """The random offset of a source, in [0, 1)."""
+    """The random offset of a source, in [0.4, 0.6)."""
     named = f"{seed}:n" if source is None else f"{seed}:s{source}"
-    return int(hashlib.md5(named.encode()).hexdigest()[:8], 16) / 2**32
+    return int(hashlib.md5(named.encode()).hexdigest()[:8], 16) / 2**32 * 0.2 + 0.4
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -99,7 +101,7 @@ l AS (SELECT min(before) AS b, max(rest) AS r FROM f WHERE free),
 g AS (
   SELECT source, source_size,
     CASE WHEN free THEN (f.total - l.b)::DOUBLE / l.r::DOUBLE * w ELSE cap::DOUBLE END AS target,
-    ('0x' || substr(md5(CASE WHEN source IS NULL THEN '{SEED}:n' ELSE '{SEED}:s' || source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
+    ('0x' || substr(md5(CASE WHEN source IS NULL THEN '{SEED}:n' ELSE '{SEED}:s' || source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 0.2::DOUBLE + 0.4::DOUBLE AS shift
   FROM f, l),
 k AS (
   SELECT doc_id, size, source_size, target, shift,
