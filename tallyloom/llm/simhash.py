@@ -157,15 +157,17 @@ def near_pairs(fps: DataFrame) -> DataFrame:
 
 
 def group_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each document."""
-    at = durable(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"), "fp")
+    """(doc_id, text_hash, fp, part, component_id) for each document; `part` is one fingerprint of its component."""
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    at = durable(fingerprints(own.withColumn("text_hash", F.xxhash64("text"))).drop("text"), "fp")
     first = durable(at.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
     links = durable(near_pairs(first), "links")
     moved = component_labels(links, "x", "y")  # only fingerprints that have a link
     least = moved.join(first, moved["node"] == first["fp"]).groupBy("label").agg(F.min("first").alias("component_id"))
-    named = moved.join(least, "label").select(F.col("node").alias("fp"), "component_id")
-    known = first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return at.join(known, "fp").select("doc_id", "fp", "component_id")
+    named = moved.join(least, "label").select(F.col("node").alias("fp"), F.col("label").alias("part"), "component_id")
+    known = first.join(named, "fp", "left")
+    known = known.select("fp", F.coalesce("part", "fp").alias("part"), F.when(F.col("part").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return at.join(known, "fp").select("doc_id", "text_hash", "fp", "part", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +176,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one that names it. A null doc_id is kept only with no other."""
-    mark = unused(docs, "__first")
-    keep = group_near(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col(mark), "left_semi")
+    """One row of each component stays: the one with the smallest doc_id, null last.
+
+    Rows that share the doc_id are told apart by a 64-bit hash of the text, the least of which stays;
+    of rows that share both, one stays (any one, if other columns differ).
+    """
+    key, held, n = unused(docs, "__key"), unused(docs, "__held"), unused(docs, "__n")
+    rows = group_near(docs).groupBy("part", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("held"), F.col("n").alias("n"))
+    first = rows.groupBy("part").agg(F.min(order).alias("first"))
+    first = durable(first.select(F.col("first.id").alias(key), F.col("first.held").alias(held), F.col("first.n").alias(n)), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(held))
+    once = docs.join(first.where(F.col(n) == 1), same, "left_semi")
+    repeated = first.where(F.col(n) > 1)
+    if repeated.isEmpty():
+        return once
+    again = docs.join(repeated, same, "left_semi").withColumn(held, F.xxhash64("text"))
+    return once.union(again.dropDuplicates(["doc_id", held]).drop(held))
