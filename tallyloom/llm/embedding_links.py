@@ -172,12 +172,23 @@ def usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _pivots(distinct: DataFrame, block: int) -> dict:
-    """The top of each large label's tree: pivots by farthest-first traversal of a bounded sample."""
-    big = distinct.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).orderBy(F.desc("n"), "label", "dim").limit(MOST_PIVOTS).collect()
+def _pivots(distinct: DataFrame, block: int, most: int) -> tuple[dict, DataFrame | None]:
+    """The top of each large label's tree: pivots by farthest-first traversal of a bounded sample.
+
+    Of more than `most` large labels the largest get pivots; the others come back as a table
+    (label, dim, splits) and are dealt by hash alone, every pair of their blocks compared.
+    """
+    large = distinct.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    big = large.orderBy(F.desc("n"), "label", "dim").limit(most + 1).collect()
     if not big:
-        return {}
-    each = max(1, MOST_PIVOTS // len(big))
+        return {}, None
+    rest = None
+    if len(big) > most:
+        big = big[:most]
+        keys = distinct.sparkSession.createDataFrame([(r["label"], r["dim"]) for r in big], large.select("label", "dim").schema)
+        others = durable(large, "large").join(F.broadcast(keys), ["label", "dim"], "left_anti")
+        rest = others.select("label", "dim", F.ceil(F.col("n") / block).cast("int").alias("splits"))
+    each = max(1, most // len(big))
     want = {(r["label"], r["dim"]): min(each, -(-r["n"] // block)) for r in big}
     share = F.create_map(*[F.lit(v) for r in big for v in (f"{r['label']}:{r['dim']}", 8.0 * want[r["label"], r["dim"]] / r["n"])])
     dealt = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
@@ -193,13 +204,13 @@ def _pivots(distinct: DataFrame, block: int) -> dict:
             picked.append(int(d.argmax()))
             d = np.minimum(d, _far(x[picked[-1:]], x)[0])
         out[key] = x[picked]
-    return out
+    return out, rest
 
 
-def link(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def link(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK, most: int = MOST_PIVOTS) -> DataFrame:
     """(x, y, added) rows from distinct (label, dim, rep, copies, vector): counts have x = y, forest links not."""
     small_batches(distinct.sparkSession)
-    pivots, reach = _pivots(distinct, block), math.sqrt(2 - 2 * cosine)
+    (pivots, rest), reach = _pivots(distinct, block, most), math.sqrt(2 - 2 * cosine)
     kind = distinct.schema["label"].dataType.simpleString()
 
     def cells(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -238,10 +249,16 @@ def link(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            salt = batch.column(5).to_numpy()
+            salt, splits = batch.column(5).to_numpy(), batch.column(6).to_numpy()
             for key, rows, home, d in cells(batch):
                 if d is None:
-                    parts = [(rows, np.zeros(len(rows), int), np.zeros(len(rows), int), np.zeros(len(rows), int))]
+                    n = int(splits[rows[0]])
+                    mine = salt[rows] % n
+                    parts = [(rows, mine, mine, np.zeros(len(rows), int))]
+                    for other in range(n):
+                        some = np.flatnonzero(mine != other)
+                        a, b = np.minimum(mine[some], other), np.maximum(mine[some], other)
+                        parts.append((rows[some], a, b, (mine[some] == b).astype(int)))
                 else:
                     radius, n, base = shape[key]
                     mine = base[home] + salt[rows] % n[home]
@@ -268,6 +285,7 @@ def link(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Dat
         return pa.table(block_links(group.column("rep").to_numpy()[order], group.column("copies").to_numpy()[order], x[order], side, a == b, cosine))
 
     salted = distinct.select("label", "dim", "rep", "copies", "vector", F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 30)).alias("salt"))
+    salted = salted.withColumn("splits", F.lit(1)) if rest is None else salted.join(rest, ["label", "dim"], "left").select(*salted.columns, F.coalesce("splits", F.lit(1)).alias("splits"))
     element = distinct.schema["vector"].dataType.simpleString()
     sent = salted.mapInArrow(route, f"label {kind}, dim int, rep long, copies long, vector {element}, a long, b long, side long")
     return sent.groupBy("label", "dim", "a", "b").applyInArrow(compare, "x long, y long, added long")
