@@ -9,7 +9,8 @@ the id); every document is scored on all its passages.
 
 Defined results: null or empty text is a bag of one blank passage and gets a score like any other;
 repeated rows are scored each on its own; without any labelled row every score is 0.5; a null
-doc_id is not held out and never learned from.
+doc_id is not held out and never learned from; of rows that share a labelled doc_id, one is learned
+from (the least by its encoding).
 """
 
 from __future__ import annotations
@@ -194,7 +195,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 out.append(x[some].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "x"])
 
-    got = bags.mapInArrow(run, "doc_id long, label double, x binary").collect()
+    # repeated rows of a document count once, so what reaches the driver is bounded by the sample
+    encoded = bags.mapInArrow(run, "doc_id long, label double, x binary")
+    got = encoded.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()
     if not got:
         return None
     got = sorted(got, key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
