@@ -158,14 +158,45 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     return manifest
 
 
-def _opened(fs, at: str, kind: str) -> np.ndarray:
-    """A shard file as an array: memory-mapped where the store is local, else read."""
-    from pyarrow import fs as stores
+class ShardFile:
+    """Slices of a shard file as arrays: memory-mapped where the store is local, else read range by range."""
 
-    if isinstance(fs, stores.LocalFileSystem):
-        return np.memmap(at, kind, "r") if fs.get_file_info(at).size else np.empty(0, kind)
-    with fs.open_input_file(at) as f:
-        return np.frombuffer(f.read(), kind)
+    def __init__(self, fs, at: str, kind: str):
+        from pyarrow import fs as stores
+
+        self.kind = np.dtype(kind)
+        self.n = fs.get_file_info(at).size // self.kind.itemsize
+        self.mapped = self.file = None
+        if not isinstance(fs, stores.LocalFileSystem):
+            self.file = fs.open_input_file(at)
+        elif self.n:
+            self.mapped = np.memmap(at, self.kind, "r")
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        start, stop, _ = span.indices(self.n)
+        if self.file is not None:
+            size = self.kind.itemsize
+            return np.frombuffer(self.file.read_at(max(0, stop - start) * size, start * size), self.kind)
+        return np.empty(0, self.kind) if self.mapped is None else self.mapped[start:stop]
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def _spans(cuts: np.ndarray, most: int = 1 << 22) -> Iterator[range]:
+    """Documents in runs of at most `most` ids, or one document that alone has more."""
+    k, n = 0, len(cuts) - 1
+    while k < n:
+        stop = max(k + 1, int(np.searchsorted(cuts, cuts[k] + most, "right")) - 1)
+        yield range(k, min(stop, n))
+        k = stop
+
+
+def _checksums(ids: ShardFile, cuts: list[int]) -> list[int]:
+    """The crc32 of each document's ids as 32-bit integers, from one read of the run."""
+    run, first = ids[cuts[0] : cuts[-1]], cuts[0]
+    return [zlib.crc32(run[a - first : b - first].astype("<u4")) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: list[dict] | None = None) -> DataFrame:
@@ -181,20 +212,22 @@ def read_tokens(spark: SparkSession, folder: str, manifest: list[dict] | None =
         fs, root = filesystem(folder)
         for batch in batches:
             for name, base, of_ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, at, docs = (_opened(fs, f"{root}/{name}.{kind}", dtype) for kind, dtype in (("bin", of_ids), ("idx", "<u8"), ("doc", "<i8")))
-                at = at.astype(np.int64)
-                for k in range(0, len(docs), 8192):
+                files = [ShardFile(fs, f"{root}/{name}.{kind}", dtype) for kind, dtype in (("bin", of_ids), ("idx", "<u8"), ("doc", "<i8"))]
+                ids, at, docs = files
+                for k in range(0, docs.n, 8192):
                     some = np.array(docs[k : k + 8192])
-                    cuts = at[k : k + len(some) + 1].tolist()
-                    crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    cuts = at[k : k + len(some) + 1].astype(np.int64)
+                    crc = [c for run in _spans(cuts) for c in _checksums(ids, cuts[run.start : run.stop + 1].tolist())]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(some, pa.int64(), mask=some == _NULL_ID),
-                            "start": pa.array(base + at[k : k + len(some)]),
+                            "start": pa.array(base + cuts[:-1]),
                             "n_tokens": pa.array(np.diff(cuts)),
                             "ids_crc32": pa.array(crc, pa.int64()),
                         }
                     )
+                for f in files:
+                    f.close()
 
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
