@@ -212,6 +212,20 @@ def test_drop_near_keeps_one_of_each(spark, folder):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(groups)
 
 
+def test_drop_near_of_repeated_and_null_ids(spark):
+    rows = [
+        (1, "alpha beta gamma delta", "en"),
+        (1, "alpha beta gamma delta", "en"),
+        (1, "something else entirely here", "en"),
+        (2, "something else entirely here", "de"),
+        (None, "all of this stands alone", "en"),
+        (None, "alpha beta gamma delta", "fr"),
+        (None, "and so does this other one", "fr"),
+    ]
+    kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted({r for r in rows if r[2] != "de" and r != rows[5]}, key=str)
+
+
 def test_components_of_a_long_chain(spark):
     from tallyloom.llm.components import component_labels
 
@@ -246,6 +260,17 @@ def test_embedding_links(spark, folder, block):
         assert (got[i]["n_links"], got[i]["component_id"]) == (sum(i in p for p in links), want[i])
 
 
+def test_embedding_labels_without_pivots(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 4))
+    made = [(i, (base[rng.integers(12)] + rng.normal(scale=0.05, size=4)).tolist(), i % 5) for i in range(150)]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")
+    distinct = table.select("label", F.lit(4).alias("dim"), F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("vector"))
+    counts = lambda most: {r["x"]: r["n"] for r in embedding_links.link(distinct, block=8, most=most).where("added > 0").groupBy("x").agg(F.sum("added").alias("n")).collect()}
+    whole = embedding_links.link(distinct, block=1000).where("added > 0").collect()
+    assert counts(2) == counts(100) == {r["x"]: r["added"] for r in whole} != {}
+
+
 def test_embedding_query_keeps_one_of_each(spark, folder):
     got = embedding_links.op5_embedding_links(spark, folder).collect()
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
@@ -285,6 +310,18 @@ def test_mixture_targets_and_nearness(spark):
     assert {r["doc_id"]: r["count"] for r in taken.groupBy("doc_id").count().collect()} == want
 
 
+def test_mixture_deals_out_repeated_rows(spark):
+    rows = [(i // 4, "w " * (1 + i // 4), "ab"[i % 2], 0, i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copies long")
+    mixed = mixture.mix(docs)
+    want = {(r["doc_id"], r["source"]): r["n"] for r in mixed.groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).where("n > 0").collect()}
+    taken = mixture.take_mixture(docs)
+    assert taken.columns == docs.columns
+    assert {(r["doc_id"], r["source"]): r["count"] for r in taken.groupBy("doc_id", "source").count().collect()} == want
+    each = [r["count"] for r in taken.groupBy(*docs.columns).count().collect()]
+    assert max(each) <= mixture.MOST_COPIES
+
+
 def plain_spans(text):
     found = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -429,6 +466,27 @@ def test_manifest_bases(spark, tmp_path):
     assert token_binary.read_tokens(spark, str(tmp_path / "set")).count() == len(TEXTS)
 
 
+def test_shard_files_read_range_by_range(tmp_path):
+    from pyarrow import fs
+
+    np.arange(1000, dtype="<u2").tofile(tmp_path / "ids")
+    local, far = fs.LocalFileSystem(), fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    one, two = token_binary.ShardFile(local, str(tmp_path / "ids"), "<u2"), token_binary.ShardFile(far, "ids", "<u2")
+    for a, b in ((0, 0), (0, 1000), (17, 401), (990, 2000)):
+        assert one[a:b].tolist() == two[a:b].tolist() == list(range(1000))[a:b]
+    cuts = np.array([0, 3, 3, 900, 910, 1000])
+    runs = list(token_binary._spans(cuts, 20))
+    assert [k for r in runs for k in r] == list(range(5)) and runs[1] == range(2, 3)
+    two.close()
+
+
+def test_quality_model_learns_once_from_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i + 1)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    one, two = quality_model.learn(docs, labels), quality_model.learn(docs.union(docs), labels)
+    assert all(np.array_equal(one.p[k], two.p[k]) for k in one.p)
+
+
 @pytest.mark.parametrize(
     "query",
     [
