@@ -57,10 +57,10 @@ def offset(source: str | None, seed: str = SEED) -> float:
     return int(hashlib.md5(named.encode()).hexdigest()[:8], 16) / 2**32 * 0.2 + 0.4
 
 
-def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of each document."""
+def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST_COPIES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) of each document, and the columns in `carry`."""
     spark = docs.sparkSession
-    sized = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    sized = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry), "sizes")
     rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST_COP
     known = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))
     upto = lambda k: F.floor(k * F.col("rate") + F.col("shift"))
     copies = (upto(F.col("rank") + 1) - upto(F.col("rank"))).cast("long")
-    return known.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return known.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *carry)
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,16 +82,18 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def take_mixture(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves: each as often as the mixture takes it, in its own columns."""
-    keys = ["doc_id", "source", "size"]
-    taken = mix(docs).groupBy(*keys).agg(F.sum("copies").alias("taken"), F.count(F.lit(1)).alias("rows")).where("taken > 0")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = docs.select(own, "doc_id", "source", "text", F.xxhash64("text").alias("held"))
+    keys = ["doc_id", "source", "held"]
+    taken = mix(rows, carry=("held",)).groupBy(*keys).agg(F.sum("copies").alias("taken"), F.count(F.lit(1)).alias("rows")).where("taken > 0")
     taken = durable(taken.select(*[F.col(k).alias(f"k_{k}") for k in keys], "taken", "rows"), "taken")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    same = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("size") == F.col("k_size"))
-    out = rows.join(taken.where("rows = 1"), same).select("own", F.col("taken").alias("copies"))
+    rows = rows.select("own", *keys, F.monotonically_increasing_id().alias("at"))
+    same = F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("held") == F.col("k_held"))
+    # merged at every size: the plan tried on small tables is the one that large tables get
+    out = rows.join(taken.where("rows = 1").hint("merge"), same).select("own", F.col("taken").alias("copies"))
     repeated = taken.where("rows > 1")
     if not repeated.isEmpty():  # what repeated rows take together is dealt out among them
-        again = rows.join(repeated, same).select("own", *keys, "taken", "rows", F.xxhash64("own.text").alias("held"))
-        again = ranked(again, keys, [F.asc("held")], "rank")
+        again = ranked(rows.join(repeated.hint("merge"), same).select("own", *keys, "at", "taken", "rows"), keys, [F.asc("at")], "rank")
         out = out.union(again.select("own", F.expr("taken div rows + if(`rank` < taken % rows, 1, 0)").alias("copies")).where("copies > 0"))
     return out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("own.*")
 
