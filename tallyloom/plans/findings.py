@@ -117,7 +117,7 @@ def duplicate_keys(spark, d):
 
 @query("SELECT pack, commit, author, subject, length(body) AS body_chars, coalesce(lag(commit) OVER (PARTITION BY author ORDER BY id), '') AS parent, author || ':' || substr(commit, 1, 12) AS locator FROM commits WHERE id < 5000")
 def commit_meta(spark, d):
-    return evidence.commit_rows(relation(spark, d, "commits").where("id < 5000"))
+    return evidence.commit_rows(relation(spark, d, "commits"))
 
 
 @query(
