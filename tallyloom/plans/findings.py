@@ -130,7 +130,7 @@ def commit_stats(spark, d):
 @query()
 def evidence_stream(spark, d):
     """The evidence log fed as a stream: signatures seen before are dropped, ids are given batch by batch."""
-    return ingest.run_once(relation(spark, d, "cards").where("n <= 400"), evidence.signature())
+    return ingest.run_once(relation(spark, d, "cards"), evidence.signature())
 
 
 # --- report ----------------------------------------------------------------------------------

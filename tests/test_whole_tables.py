@@ -24,3 +24,14 @@ def test_commits_of_every_id(spark, tables):
     name = {r["n"]: r["c"] for r in spark.range(4980, 5050).selectExpr("id AS n", "sha2('e' || CAST(id AS STRING), 256) AS c").collect()}
     want = {name[n]: name[n - 3] if n - 3 >= 4990 else "" for n, *_ in events}
     assert len(got) == len(events) and {r["commit"]: r["parent"] for r in got} == want
+
+
+def test_stream_of_every_card(spark, tables):
+    talks = [(conv, turn, "user", f"text {conv}") for conv in range(300) for turn in range(6)]
+    at = tables("conversations", talks, "conv_id long, turn int, role string, text string")
+    got = {r["n"]: (r["signature"], r["evidence_id"]) for r in registry.QUERIES["evidence_stream"](spark, at).collect()}
+    seen = {}
+    for r in sorted(registry.QUERIES["evidence_signature"](spark, at).collect(), key=lambda r: r["n"]):
+        seen.setdefault(r["signature"], r["n"])
+    want = {n: (s, f"E{k:03d}") for k, (s, n) in enumerate(seen.items(), 1)}
+    assert max(want) > 2000 and got == want
