@@ -127,8 +127,8 @@ def rules_base(spark, d):
 def base_lock(spark, d):
     docs = relation(spark, d, "documents_md")
     manifest = docs.where("id % 3 = 0").groupBy("work_id").agg(F.max("commit_text").alias("locked_commit"), F.lit("r1").alias("locked_ref"))
-    some = docs.where("id % 50 < 40 or id < 20").withColumn("ref", F.when(F.col("id") % 2 == 0, "r1").otherwise("r2"))
-    return rules.base_lock(some, manifest)
+    named = docs.withColumn("ref", F.when(F.col("id") % 2 == 0, "r1").otherwise("r2"))
+    return rules.base_lock(named, manifest)
 
 
 @query(

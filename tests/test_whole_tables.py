@@ -1,7 +1,6 @@
 """Registered queries serve every row of their tables, late ones too."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyloom.plans import registry
 
@@ -35,3 +34,12 @@ def test_stream_of_every_card(spark, tables):
         seen.setdefault(r["signature"], r["n"])
     want = {n: (s, f"E{k:03d}") for k, (s, n) in enumerate(seen.items(), 1)}
     assert max(want) > 2000 and got == want
+
+
+def test_locks_of_every_work(spark, tables):
+    parts = [(n, n % 3, "name", "brand", "type") for n in range(1, 151)]
+    at = tables("part", parts, "p_partkey long, p_size int, p_name string, p_brand string, p_type string")
+    got = sorted(tuple(r) for r in registry.QUERIES["base_lock"](spark, at).select("subject", "code", "detail").collect())
+    refs = [(str(n), "base.target_ref_mismatch", "r2") for n in range(1, 151, 2)]
+    commits = [(str(n), "base.target_commit_mismatch", ["abc", "", "ABCDEF1"][n % 3]) for n in range(1, 151) if n % 3]
+    assert got == sorted(refs + commits)
