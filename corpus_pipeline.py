@@ -7,12 +7,11 @@ return the columns of `documents`. Nulls and empty tables pass through as each o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tallyloom.llm._common import durable, n_words, table
+from tallyloom.llm._common import durable, table
 from tallyloom.llm.language_id import keep_identified, learn, training_rows
 from tallyloom.llm.mixture import take_mixture
-from tallyloom.llm.packing import pack
+from tallyloom.llm.packing import pack, token_lengths
 from tallyloom.llm.secret_scan import redact
 from tallyloom.llm.simhash import drop_near
 
@@ -39,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each document (and repeat) in length buckets and batches."""
-    return pack(docs.select("doc_id", n_words(F.col("text")).alias("length")))
+    return pack(token_lengths(docs))
 
 
 STAGES = [
