@@ -1,9 +1,9 @@
 """Packing into optimal length buckets and token-budget batches.
 
 A document's length is its number of tokens (operator 3), so the budget is one of tokens. The
-lengths of all documents go into one global histogram whose bins are exact up to 1,024 and then
-32 to each doubling, so it has at most 2,720 rows whatever the table holds. Dynamic programming over
-it finds the boundaries of at most `BUCKETS` buckets with the least padding in total. Inside a
+lengths of all documents go into one exact global histogram, a row for each distinct length, which
+the driver holds. Dynamic programming over it finds the boundaries of at most `BUCKETS` buckets with
+the least padding in total; the cost is Monge, so n log n steps a bucket are enough. Inside a
 bucket every document is padded to the bucket's boundary; documents stand by length and are cut
 into batches of as many as the token budget holds. Ranks come from range-dealt partitions
 (`ranked`), so a bucket with a third of all rows spans as many tasks as it needs.
@@ -27,12 +27,37 @@ EXACT, STEPS = 1024, 32
 
 
 def bin_of(length: Column) -> Column:
-    """The upper edge of a length's histogram bin."""
+    """The upper edge of a length's bin in the SQL's histogram."""
     bits = F.length(F.bin(F.greatest(length, F.lit(1)) - 1)) - STEPS.bit_length()
     step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(bits, F.lit(0)))
     return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("long") * step)
 
 
+def _last_cuts(least: np.ndarray, top: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least cost up to each length with one more bucket, and the cut before that bucket.
+
+    The cost is Monge, so cuts rise with the length: those of every second length bound the cuts
+    between them, and all rounds of halving look at n log n candidates.
+    """
+    n = len(top)
+    best, at = np.full(n, np.iinfo(np.int64).max // 2), np.zeros(n, np.int64)
+    step = 1 << max(0, (n - 1).bit_length() - 1)
+    while step:
+        j = np.arange(step, n, 2 * step)
+        low, after = at[j - step], j + step
+        high = np.minimum(np.where(after < n, at[np.minimum(after, n - 1)], n), j - 1)
+        size = high - low + 1
+        begin = np.cumsum(size) - size
+        i = np.arange(int(size.sum())) + np.repeat(low - begin, size)
+        row = np.repeat(j, size)
+        cost = least[i] + top[row] * (c[row + 1] - c[i + 1]) - (s[row + 1] - s[i + 1])
+        best[j] = np.minimum.reduceat(cost, begin)
+        hits = np.flatnonzero(cost == np.repeat(best[j], size))
+        at[j] = i[hits[np.searchsorted(hits, begin)]]
+        step >>= 1
+    return best, at
+
+
 def best_boundaries(longest: list[int], counts: list[int], sums: list[int], buckets: int = BUCKETS) -> list[int]:
     """Boundaries that minimise padding, from bins in ascending order; ties go to the earlier cut."""
     n = len(longest)
@@ -42,13 +67,8 @@ def best_boundaries(longest: list[int], counts: list[int], sums: list[int], buck
     least = top * c[1:] - s[1:]
     cuts = []
     for _ in range(1, min(buckets, n)):
-        best, at = np.full(n, np.iinfo(np.int64).max // 2), np.zeros(n, np.int64)
-        for j in range(1, n):
-            cost = least[:j] + top[j] * (c[j + 1] - c[1 : j + 1]) - (s[j + 1] - s[1 : j + 1])
-            at[j] = int(cost.argmin())
-            best[j] = cost[at[j]]
+        least, at = _last_cuts(least, top, c, s)
         cuts.append(at)
-        least = best
     j = n - 1
     out = [int(top[j])]
     for at in reversed(cuts):
@@ -60,10 +80,9 @@ def best_boundaries(longest: list[int], counts: list[int], sums: list[int], buck
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """Add bucket, bucket_len, batch, slot and padding to rows of (doc_id, length)."""
     kept = durable(lengths.select("doc_id", F.col("length").cast("long").alias("length")), "lengths")
-    binned = kept.groupBy(bin_of(F.col("length")).alias("bin"))
-    found = binned.agg(F.max("length").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("s"))
-    rows = sorted(found.collect(), key=lambda r: r["bin"])  # bounded by the number of bins
-    edges = best_boundaries([r["m"] for r in rows], [r["n"] for r in rows], [r["s"] for r in rows], buckets) or [0]
+    found = kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("length")  # a row for each distinct length
+    tops, counts = (found[c].to_numpy() for c in ("length", "n"))
+    edges = best_boundaries(tops, counts, tops * counts, buckets) or [0]
     bucket = sum((F.col("length") > e).cast("int") for e in edges[:-1]) if len(edges) > 1 else F.lit(0)
     bounds = F.array(*[F.lit(e).cast("long") for e in edges])
     placed = ranked(kept.withColumn("bucket", bucket), ["bucket"], [F.asc("length"), F.asc("doc_id")], "rank")
