@@ -62,15 +62,52 @@ def residuals(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.union(bags.residual(right.select("path", "blob"), left).select(F.lit("right").alias("side"), "path", "blob"))
 
 
-def validate(docs: DataFrame, cards: DataFrame, required: list[str], allowed: list[str], optional: str, taxonomy: dict[str, list[str]], contracts=("module", "finding", "report", "base"), path: str | None = None) -> DataFrame:
-    """Issues of a case's documents (or of one of them) and its evidence log."""
+def validate(
+    docs: DataFrame,
+    cards: DataFrame,
+    required: list[str],
+    allowed: list[str],
+    optional: str,
+    taxonomy: dict[str, list[str]],
+    contracts=("module", "finding", "report", "base"),
+    path: str | None = None,
+    works: DataFrame | None = None,
+    manifest: DataFrame | None = None,
+    reviewed: DataFrame | None = None,
+    sections: tuple[DataFrame, DataFrame] | None = None,
+    present: list[str] | None = None,
+    graph: str | None = None,
+) -> DataFrame:
+    """Issues of a case's documents (or of one of them) and its evidence log.
+
+    A family that needs more than these runs if that is given: `works` for report titles, `manifest`
+    for base documents (which then have a `ref`), `reviewed` for contradictions, `sections`
+    (findings, sections) for optional sections, `present` for documents that must be there, `graph`
+    for the path of the architecture document. Reviews, sections and presence are of whole cases,
+    so they don't go with `path`.
+    """
     if path is not None:
+        if reviewed is not None or sections is not None or present is not None:
+            raise ValueError("reviews, sections and presence are of whole cases, not of one document")
         docs = docs.where(F.col("path") == path)
-    return rules.union(
+    found = [
         rules.structure_fields(docs, list(contracts)),
         rules.structure_headings(docs, required, allowed, optional),
         rules.taxonomy_use(docs, taxonomy),
         rules.base(docs.where(F.col("contract") == "base")),
         rules.leaks(docs),
         rules.evidence_rules(docs, cards),
-    )
+    ]
+    if works is not None:
+        found.append(rules.report_title(docs, works))
+    if manifest is not None:
+        found.append(rules.base_lock(docs.where(F.col("contract") == "base"), manifest))
+    if reviewed is not None:
+        found.append(rules.contradictions(docs, reviewed))
+    if sections is not None:
+        found.append(rules.optional_sections(*sections))
+    if present is not None:
+        found.append(rules.document_presence(docs, present))
+    if graph is not None:
+        found.append(rules.architecture_graph(docs.where(F.col("path") == graph)))
+    return rules.union(*found)
