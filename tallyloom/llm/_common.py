@@ -24,15 +24,9 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """The number of words of a text (long), without building the array.
-
-    A word starts at a non-blank that follows a blank or the start, so the blanks are made one
-    character, runs are squeezed and the separators left are counted.
-    """
-    blank = F.trim(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)))
-    squeezed = F.regexp_replace(blank, " {2,}", " ")
-    gaps = F.octet_length(squeezed) - F.octet_length(F.translate(squeezed, " ", ""))
-    return F.when(F.octet_length(blank) == 0, F.lit(0)).otherwise(gaps + 1).cast("long")
+    """The number of words of a text (long), without building the array: each word is made one character, blanks none."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")
+    return F.octet_length(F.regexp_replace(marks, r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -77,3 +71,18 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, n: i
         same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
     out = dealt.join(first, same)
     return out.withColumn(rank, F.col("__at") + F.col("__base")).drop("__at", "__part", "__p", "__base", *[f"__g{i}" for i in range(len(group))])
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Add, for each (name, column) in `sums`, the sum of the column over all rows before this one in `order`.
+
+    As in `ranked`, rows are dealt by range; sums within a partition are added to those of the partitions before.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = durable(dealt, "running").withColumn("__part", F.shiftright("__at", 33))
+    total = dealt.groupBy("__part").agg(*[F.sum(c).alias(f"__s{i}") for i, c in enumerate(sums.values())])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    base = total.select("__part", *[F.coalesce(F.sum(f"__s{i}").over(earlier), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))])
+    own = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(n) for n, c in sums.items()]).join(base, "__part")
+    return out.withColumns({n: F.col(n) + F.col(f"__b{i}") for i, n in enumerate(sums)}).drop("__at", "__part", *[f"__b{i}" for i in range(len(sums))])

@@ -2,19 +2,17 @@
 
 Each source's target is its weight's share of all words, stopped at `MOST_COPIES` times the source
 and the excess reshared among the others (water filling, exact in whole numbers). A document's
-expected copies are target / size of its source. Within a source the documents stand by size,
-largest first; their expected copies are prefix-summed, one random offset (from a hash of seed and
-source) is added, and a document is taken once for each whole number that its own stretch crosses.
-Ordered so, the words taken miss the target by less than the source's largest document. The offset
-is drawn from the middle fifth of the unit interval: with documents in order of size, a start at
-either end would take each size class's larger or smaller half.
+expected copies are target / size of its source. Within a source the expected copies are
+prefix-summed, one random offset in [0, 1) (from a hash of seed and source) is added, and a document
+is taken once for each whole number that its own stretch crosses, so its chance is its expected
+copies. The documents of a source stand with sizes rising to the largest and falling again, every
+other one on either slope: what the offset adds on one slope it takes away on the other, and the
+words taken come near the target.
 
 Ranks come from range-dealt partitions (`ranked`), so a source with a third of all rows spans as
-many tasks as it needs. Only (doc_id, source, size) is moved, never text.
-
-The narrow offset trades equal chances for nearness: with a rate below 0.4 the largest document of a
-source is never the one taken, whatever the seed (over [0, 1) the words taken would miss their
-target by about 1.5 times as much).
+many tasks as it needs. Sources are a table too, of any number: their weights and water levels come
+from running sums, and Spark broadcasts that table only where it is small. Only (doc_id, source,
+size) is moved, never text.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; equal
 sizes stand by doc_id; a source without words has target 0 and nothing is taken from it; repeated
@@ -23,55 +21,59 @@ rows are each placed, and `take_mixture` deals what they take together evenly am
 
 from __future__ import annotations
 
-import hashlib
-from fractions import Fraction
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import durable, n_words, ranked, table
+from ._common import durable, n_words, ranked, running, table
 
 MOST_COPIES, WEIGHTS, SEED = 3, (1, 2, 3), "mix-1"
-#: A mixture names its sources; more of them than this is an error, not cut off.
-MOST_SOURCES = 100_000
 
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST_COPIES) -> dict[str | None, float]:
-    """Words to take from each source."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, shares = sum(sizes.values()), sum(weight.values())
-    out = {}
-    for s in sorted(names, key=lambda s: Fraction(most * sizes[s], weight[s])):
-        cap = most * sizes[s]
-        if left * weight[s] < cap * shares:
-            break
-        out[s] = float(cap)
-        left, shares = left - cap, shares - weight[s]
-    return {s: out[s] if s in out else left / shares * weight[s] for s in names}
+def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """Add target, the words to take from each source, to rows of (source, source_size), one a source."""
+    named = ranked(sources, [], [F.asc_nulls_last("source")], "__rank")
+    named = named.withColumn("__w", F.array(*[F.lit(w) for w in weights])[F.col("__rank") % len(weights)].cast("long")).drop("__rank")
+    named = named.withColumn("__cap", F.col("source_size") * most)
+    # sources in the order in which a rising water level meets their caps
+    level = running(named, [F.asc(F.col("__cap") / F.col("__w")), F.asc_nulls_last("source")], {"__before": "__cap", "__shares": "__w"})
+    level = durable(level, "level")
+    whole = level.agg(F.sum("source_size").alias("__total"), F.sum("__w").alias("__all"))
+    big = lambda c: c.cast("decimal(38,0)")
+    left, rest = F.col("__total") - F.col("__before"), F.col("__all") - F.col("__shares")
+    level = level.crossJoin(F.broadcast(whole)).withColumn("__free", big(left) * F.col("__w") < big(F.col("__cap")) * rest)  # one row
+    first = level.where("__free").agg(F.max(left).alias("__left"), F.max(rest).alias("__rest"))
+    share = F.col("__left").cast("double") / F.col("__rest").cast("double") * F.col("__w")
+    both = level.crossJoin(F.broadcast(first))  # one row
+    return both.select(*sources.columns, F.when(F.col("__free"), share).otherwise(F.col("__cap").cast("double")).alias("target"))
 
 
-def offset(source: str | None, seed: str = SEED) -> float:
-    """The random offset of a source, in [0.4, 0.6)."""
-    named = f"{seed}:n" if source is None else f"{seed}:s{source}"
-    return int(hashlib.md5(named.encode()).hexdigest()[:8], 16) / 2**32 * 0.2 + 0.4
+def offset(source: Column, seed: str = SEED) -> Column:
+    """The random offset of a source, in [0, 1)."""
+    named = F.when(source.isNull(), F.lit(f"{seed}:n")).otherwise(F.concat(F.lit(f"{seed}:s"), source))
+    return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, most: int = MOST_COPIES, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of each document, and the columns in `carry`."""
-    spark = docs.sparkSession
     sized = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry), "sizes")
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["source"]: r["n"] for r in rows}
-    goal = targets(sizes, weights, most)
-    plan = [(s, n, goal[s], goal[s] / n if n else 0.0, offset(s, seed)) for s, n in sizes.items()]
-    plan = spark.createDataFrame(plan, "name string, source_size long, target double, rate double, shift double")
+    sources = durable(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "sources")
+    goal = F.col("target") / F.col("source_size").cast("double")
+    plan = targets(sources, weights, most).select(
+        F.col("source").alias("name"),
+        "source_size",
+        "n_docs",
+        "target",
+        F.when(F.col("source_size") > 0, goal).otherwise(0.0).alias("rate"),
+        offset(F.col("source"), seed).alias("shift"),
+    )
+    plan = durable(plan, "plan")
     placed = ranked(sized, ["source"], [F.desc("size"), F.asc("doc_id")], "rank")
-    known = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")))
+    known = placed.join(plan, F.col("source").eqNullSafe(F.col("name")))
+    # the largest stands in the middle, every other one before and after it
+    at = F.expr("if(`rank` % 2 = 0, (n_docs + 1) div 2 - 1 - `rank` div 2, (n_docs + 1) div 2 + `rank` div 2)")
+    known = known.withColumn("__place", at)
     upto = lambda k: F.floor(k * F.col("rate") + F.col("shift"))
-    copies = (upto(F.col("rank") + 1) - upto(F.col("rank"))).cast("long")
+    copies = (upto(F.col("__place") + 1) - upto(F.col("__place"))).cast("long")
     return known.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *carry)
 
 
@@ -115,12 +117,14 @@ l AS (SELECT min(before) AS b, max(rest) AS r FROM f WHERE free),
 g AS (
   SELECT source, source_size,
     CASE WHEN free THEN (f.total - l.b)::DOUBLE / l.r::DOUBLE * w ELSE cap::DOUBLE END AS target,
-    ('0x' || substr(md5(CASE WHEN source IS NULL THEN '{SEED}:n' ELSE '{SEED}:s' || source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 0.2::DOUBLE + 0.4::DOUBLE AS shift
+    ('0x' || substr(md5(CASE WHEN source IS NULL THEN '{SEED}:n' ELSE '{SEED}:s' || source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift
   FROM f, l),
 k AS (
   SELECT doc_id, size, source_size, target, shift,
     CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) - 1 AS rank
+    row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id) - 1 AS largest,
+    (count(*) OVER (PARTITION BY d.source) + 1) // 2 AS half,
+    CASE WHEN largest % 2 = 0 THEN half - 1 - largest // 2 ELSE half + largest // 2 END AS rank
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   ((floor((rank + 1) * rate + shift) - floor(rank * rate + shift)) * size)::BIGINT AS taken

@@ -298,7 +298,8 @@ def test_mixture(spark, folder):
 
 
 def test_mixture_targets_and_nearness(spark):
-    goal = mixture.targets({"a": 100, "b": 10, None: 1000})
+    known = spark.createDataFrame([("a", 100), ("b", 10), (None, 1000)], "source string, source_size long")
+    goal = {r["source"]: r["target"] for r in mixture.targets(known).collect()}
     assert goal["b"] == 30 and sum(goal.values()) == pytest.approx(1110)
     texts = [" ".join(["w"] * (1 + i % 40)) for i in range(900)]
     docs = spark.createDataFrame([(i, t, f"s{i % 4}" if i % 4 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
@@ -310,6 +311,36 @@ def test_mixture_targets_and_nearness(spark):
     assert {r["doc_id"]: r["count"] for r in taken.groupBy("doc_id").count().collect()} == want
 
 
+def plain_targets(sizes):
+    """Water filling by lowering sources to their caps until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    capped, total = {}, sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in capped]
+        left, shares = total - sum(capped.values()), sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / shares >= 3 * sizes[s]]
+        if not over:
+            return capped | {s: left * weight[s] / shares for s in free}
+        capped |= {s: 3 * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60])
+def test_mixture_targets_are_the_plain_ones(spark, n):
+    rng = random.Random(n)
+    sizes = {f"s{i}": int(10 ** rng.uniform(0, 5)) for i in range(n)} | {None: 40, "empty": 0}
+    made = mixture.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    got = {r["source"]: r["target"] for r in made.collect()}
+    assert got == {s: pytest.approx(t) for s, t in plain_targets(sizes).items()}
+
+
+def test_mixture_offsets_fill_the_interval(spark):
+    """A document's chance is its expected copies only if the offset may be anything in [0, 1)."""
+    drawn = spark.range(4000).select(F.floor(mixture.offset(F.concat(F.lit("s"), "id")) * 10).alias("tenth"))
+    got = {r["tenth"]: r["count"] for r in drawn.groupBy("tenth").count().collect()}
+    assert set(got) == set(range(10)) and all(300 < n < 500 for n in got.values())
+
+
 def test_mixture_deals_out_repeated_rows(spark):
     rows = [(i // 4, "w " * (1 + i // 4), "ab"[i % 2], 0, i) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copies long")
