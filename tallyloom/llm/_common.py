@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from tallyloom.operators.cuts import durable, fresh_path, shared_dir  # noqa: F401  (for the operators)
 
@@ -41,6 +45,44 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def add_columns(docs: DataFrame, text: str, new: dict[str, DataType], run: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """Add columns worked out from a text column, in Arrow batches; columns that bear the new names are replaced.
+
+    `run` gets the texts of up to 2,000 rows, some 4 million code points or a single longer text at once.
+    """
+    small_batches(docs.sparkSession)
+    names = {n.lower() for n in new}
+    at = docs.columns.index(text)
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in names]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, n in _runs(batch.column(at)):
+                some = batch.slice(k, n)
+                made = run(some.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in kept), *made], [*(some.schema.names[i] for i in kept), *new])
+
+    schema = StructType([docs.schema.fields[i] for i in kept])
+    for name, kind in new.items():
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(each, schema)
+
+
+def _runs(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs of texts with about `most` bytes each."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    first, n = 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and n + size > most:
+            yield first, k - first
+            first, n = k, 0
+        n += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column has it."""
     taken = {c.lower() for c in df.columns}

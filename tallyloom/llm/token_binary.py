@@ -32,11 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import durable, fresh_path, small_batches, table
-from .wordstream import Memo, Pretokenizer, byte_letters, packed
+from .token_counts import Transducer
+from .wordstream import Memo, Pretokenizer, byte_letters, slices
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Ids kept of known words before the memo is started anew; bounds a worker's memory.
 MOST_IDS = 8 << 20
+#: Words of more code points (no blank, no change of class) are encoded by the transducer, in bounded memory.
+GIANT = 1 << 16
 _NULL_ID = -(1 << 63)
 
 
@@ -50,7 +53,7 @@ def filesystem(path: str):
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, asked once for each distinct word."""
+    """Ids of whole texts by the tokenizers library, asked once for each distinct word the memo lacks."""
 
     _made: dict[str, Encoder] = {}
 
@@ -60,23 +63,34 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __init__(self, path: str):
-        self.pre = Pretokenizer(path)
+    def __init__(self, path: str, giant: int = GIANT):
+        self.path, self.pre, self.giant = path, Pretokenizer(path), giant
         self.letters = dict(enumerate(byte_letters()))
         self.memo = Memo(self._ids_of, bits=20)
         self.arena, self.used = np.empty(1 << 16, np.uint32), 0
+        self.fst: Transducer | None = None
+
+    def _keep(self, found: list, n: int) -> None:
+        while self.used + n > len(self.arena):
+            self.arena = np.concatenate((self.arena, np.empty_like(self.arena)))
+        self.arena[self.used : self.used + n] = found
+        self.used += n
 
     def _ids_of(self, words: list[str]) -> np.ndarray:
+        """Where the ids of words stand in the arena, and how many there are: place << 32 | number."""
         tokenize, letters = self.pre.tok.model.tokenize, self.letters
-        found = [[t.id for t in tokenize(w.encode("utf-8").decode("latin-1").translate(letters))] for w in words]
+        found = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n = int(sizes.sum())
-        while self.used + n > len(self.arena):
-            self.arena = np.concatenate((self.arena, np.empty_like(self.arena)))
-        self.arena[self.used : self.used + n] = np.fromiter((i for ids in found for i in ids), np.uint32, n)
         at = self.used + np.cumsum(sizes) - sizes
-        self.used += n
-        return at << 24 | sizes
+        n = int(sizes.sum())
+        self._keep(np.fromiter((i for ids in found for i in ids), np.uint32, n), n)
+        return at << 32 | sizes
+
+    def _giant(self, text: str) -> np.ndarray:
+        if self.fst is None:
+            self.fst = Transducer(self.path)
+        low = self.pre.lower[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        return self.fst.ids(low.tobytes().decode("utf-32-le").encode("utf-8", "surrogatepass")).astype(np.uint32)
 
     @property
     def dtype(self) -> str:
@@ -85,33 +99,50 @@ class Encoder:
 
     def encode(self, texts: list[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has, with `end` after each text."""
-        parts, owner, closing = [], [], []  # a piece of a text and the id that closes it, or -1
+        parts, owner, closing, whole = [], [], [], []  # a piece of a text, the id that closes it or -1, and if it is one long word
         for i, text in enumerate(texts):
             pieces, marks = [text], []
             if "<|" in text:
                 marks = [self.pre.specials[s] for s in self.pre.special_at.findall(text)]
                 pieces = self.pre.special_at.split(text)
             for piece, mark in zip(pieces, [*marks, -1 if end is None else end], strict=True):
-                some = list(self.pre.cut(self.pre.plain(piece)))
-                parts += some
-                owner += [i] * len(some)
-                closing += [-1] * (len(some) - 1) + [mark]
+                for own, giant in self.pre.cut(self.pre.plain(piece), self.giant):
+                    parts.append(own)
+                    owner.append(i)
+                    closing.append(-1)
+                    whole.append(giant)
+                closing[-1] = mark
         out, sizes = [], np.zeros(len(texts), np.int64)
-        for run in packed(parts):
-            if self.used > MOST_IDS:
-                self.memo.keys[:] = 0
-                self.used = 0
-            begin, stop, hashed, low = self.pre.words("\n".join(parts[k] for k in run))
-            value = self.memo.get(begin, stop, hashed, low)
-            n, at = value & 0xFFFFFF, value >> 24
-            made = np.zeros(len(n) + 1, np.int64)
-            np.cumsum(n, out=made[1:])
-            ids = self.arena[np.repeat(at - made[:-1], n) + np.arange(made[-1])]
-            ends = made[np.searchsorted(begin, np.cumsum([len(parts[k]) + 1 for k in run]))]
-            mark = np.array([closing[k] for k in run], np.int64)
+
+        def add(ids: np.ndarray, made: np.ndarray, which: list[int]) -> None:
+            """Ids of the parts `which`, of which there are `made` up to each part's end."""
+            mark = np.array([closing[k] for k in which], np.int64)
             shut = mark >= 0
-            out.append(np.insert(ids, ends[shut], mark[shut].astype(np.uint32)))
-            np.add.at(sizes, [owner[k] for k in run], np.diff(ends, prepend=0) + shut)
+            out.append(np.insert(ids, made[shut], mark[shut].astype(np.uint32)))
+            np.add.at(sizes, [owner[k] for k in which], np.diff(made, prepend=0) + shut)
+
+        k = 0
+        while k < len(parts):
+            if whole[k]:
+                ids = self._giant(parts[k])
+                add(ids, np.array([len(ids)]), [k])
+                k += 1
+                continue
+            stop = k
+            while stop < len(parts) and not whole[stop]:
+                stop += 1
+            for points, pieces in slices(parts[k:stop]):
+                if self.used > MOST_IDS:
+                    self.memo.clear()
+                    self.used = 0
+                words = self.pre.words(points)
+                value = self.memo.get(words, words.begin, words.end, self.pre.hashes(words.low, words.begin, words.end))
+                n, at = value & 0xFFFFFFFF, value >> 32
+                made = np.zeros(len(n) + 1, np.int64)
+                np.cumsum(n, out=made[1:])
+                ids = self.arena[np.repeat(at - made[:-1], n) + np.arange(made[-1])]
+                add(ids, made[np.searchsorted(words.begin, [p[2] for p in pieces])], [k + p[0] for p in pieces])
+            k = stop
         return np.concatenate(out) if out else np.empty(0, np.uint32), sizes
 
 
@@ -124,7 +155,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)

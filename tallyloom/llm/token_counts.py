@@ -8,35 +8,40 @@ carries the change of the token count; the last byte of a word reads the end-of-
 States and transitions are made when first met and kept (the table is started anew beyond
 `MOST_STATES`), so the cost of a known word is one lookup a byte.
 
-Texts are read in chunks. A chunk is a map from the state it is entered in to the state it is left
-in and the tokens emitted: blanks bring every state to the start state, so the map is what stands
-before its first blank, a constant count, and what stands after its last. These maps form a monoid
-(`ChunkMap.then`) and are combined by a prefix scan, so chunks can be cut anywhere.
+Every text is read in chunks of `CHUNK` code points, cut anywhere. A chunk is a map from the
+transducer state it is entered in to the state it is left in and the tokens emitted: its `head`
+goes on with a word of the chunk before and is read from the entry state, the words that lie whole
+in it emit a constant, and a word that goes on beyond it is read up to the edge. A chunk without an
+edge of words has a head alone and maps every state to where its bytes lead. Maps compose
+(`ChunkMap.then`), and a parallel prefix scan, log n levels deep, gives the state and count at every
+chunk's end; a map remembers what it did to a state, so each chunk's bytes are read once.
 
 Defined results: null text counts as empty: no bytes, no tokens, not over the limit; repeated rows
-are counted each on its own; special strings in a text count as one token, the library's default.
+are counted each on its own; special strings in a text count as one token, the library's default;
+texts and words of any length are read in bounded slices; a column that bears the new name is
+replaced, as `withColumn` does.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType
 
-from ._common import small_batches, table
-from .wordstream import Memo, Pretokenizer, byte_letters, packed
+from ._common import add_columns, table
+from .wordstream import Memo, Pretokenizer, Words, byte_letters, slices
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 #: States kept before the tables are started anew; bounds a worker's memory.
-MOST_STATES = 150_000
-CHUNK = 1 << 18
+MOST_STATES = 100_000
+CHUNK = 1 << 12
 _END, _NONE = 256, -1
+#: A state: for each start a token can grow from, its place in the trie, the token before it and the count there.
+State = tuple[tuple[int, int, int], ...]
+START: State = ((0, _NONE, 0),)
 
 
 class Transducer:
@@ -72,8 +77,8 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        self.items = [((0, _NONE, 0),)]
-        self.number = {self.items[0]: 0}
+        self.items = [START]
+        self.number = {START: 0}
         self.step: dict[int, tuple[int, int]] = {}
 
     def merged(self, symbols: tuple[int, ...]) -> list[int]:
@@ -99,9 +104,10 @@ class Transducer:
             known = self.pairs[key] = self.merged(alone + self.text[token]) == want
         return known
 
-    def _compile(self, state: int, symbol: int) -> tuple[int, int]:
+    def _stand(self, state: State, symbol: int) -> tuple[list, int, int]:
+        """After a symbol: what can still grow, the token that stands last, and the tokens emitted."""
         grown, last, emitted = [], _NONE, 0
-        for node, before, count in self.items[state]:
+        for node, before, count in state:
             after = self.trie.get(node << 9 | symbol)
             if after is None:
                 continue
@@ -111,147 +117,194 @@ class Transducer:
                 last, emitted = token, count + 1
         if last == _NONE:
             raise ValueError("no token can stand last here")
-        now = (*((node, before, count - emitted) for node, before, count in grown), (0, last, 0))
-        at = 0
-        if symbol < _END:
-            at = self.number.get(now)
-            if at is None:
-                at = self.number[now] = len(self.items)
-                self.items.append(now)
+        return grown, last, emitted
+
+    def _compile(self, state: int, symbol: int) -> tuple[int, int]:
+        grown, last, emitted = self._stand(self.items[state], symbol)
+        at = self._number((*((node, before, count - emitted) for node, before, count in grown), (0, last, 0))) if symbol < _END else 0
         self.step[state << 9 | symbol] = (at, emitted)
         return at, emitted
 
+    def _number(self, state: State) -> int:
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.items)
+            self.items.append(state)
+        return at
+
+    def run(self, state: State, data: bytes, closes: bool) -> tuple[State, int]:
+        """The state that bytes of a word lead to and the tokens emitted; the last byte ends the word if it `closes`."""
+        total, body = 0, data[:-1] if closes else data
+        for k in range(0, len(body), 4096):
+            if len(self.items) > MOST_STATES:
+                self._clear()
+            at, step = self._number(state), self.step
+            for x in body[k : k + 4096]:
+                found = step.get(at << 9 | x) or self._compile(at, x)
+                at = found[0]
+                total += found[1]
+            state = self.items[at]
+        if not closes:
+            return state, total
+        at, x = self._number(state), data[-1] + _END
+        return START, total + (self.step.get(at << 9 | x) or self._compile(at, x))[1]
+
+    def ids(self, word: bytes) -> np.ndarray:
+        """The tokens of one word, from the tokens that stand last after each of its bytes."""
+        last, state = np.zeros(len(word), np.int64), START
+        for k in range(0, len(word) - 1, 4096):
+            if len(self.items) > MOST_STATES:
+                self._clear()
+            at, step = self._number(state), self.step
+            for i, x in enumerate(word[k : min(k + 4096, len(word) - 1)], k):
+                at = (step.get(at << 9 | x) or self._compile(at, x))[0]
+                last[i] = self.items[at][-1][1]
+            state = self.items[at]
+        last[-1] = self._stand(state, word[-1] + _END)[1]
+        out, at = np.zeros(len(word), np.int64), len(word)
+        n = 0
+        while at > 0:
+            out[n] = last[at - 1]
+            at -= len(self.text[int(out[n])])
+            n += 1
+        return out[:n][::-1]
+
     def count(self, word: str) -> int:
-        """The number of tokens of one pre-token."""
+        """The number of tokens of one short word."""
         if len(self.items) > MOST_STATES:
             self._clear()
-        own = word.encode("utf-8", "surrogatepass")
-        state, total, step = 0, 0, self.step
+        own, step = word.encode("utf-8", "surrogatepass"), self.step
+        at = total = 0
         for x in own[:-1]:
-            found = step.get(state << 9 | x) or self._compile(state, x)
-            state = found[0]
+            found = step.get(at << 9 | x) or self._compile(at, x)
+            at = found[0]
             total += found[1]
         x = own[-1] + _END
-        return total + (step.get(state << 9 | x) or self._compile(state, x))[1]
+        return total + (step.get(at << 9 | x) or self._compile(at, x))[1]
 
 
-class ChunkMap(NamedTuple):
-    """What a chunk does to any entry state: `head` is read from it, `count` is added, `tail` is left open.
+class ChunkMap:
+    """From the state a chunk is entered in to the state it is left in and the tokens emitted on the way.
 
-    A chunk without a blank is all head (`open`): it maps every state to where its text leads.
+    `closes` tells whether the chunk holds an edge of words: then it is left in `tail` whatever the
+    entry state, and `count` tokens come beside those of its head. A composed map has a `first`
+    map, and an `after` map unless first closes.
     """
 
-    head: str
-    count: int
-    tail: str
-    open: bool
-
-    @classmethod
-    def of(cls, counter: Counter, text: str) -> ChunkMap:
-        first, last = _first_blank(text), _last_blank(text)
-        if first < 0:
-            return cls(text, 0, "", True)
-        return cls(text[:first], counter.closed([text[first:last]])[0] if last > first else 0, text[last:], False)
-
-    def then(self, after: ChunkMap, counter: Counter) -> ChunkMap:
-        if self.open and after.open:
-            return ChunkMap(self.head + after.head, 0, "", True)
-        if self.open:
-            return ChunkMap(self.head + after.head, after.count, after.tail, False)
-        if after.open:
-            return ChunkMap(self.head, self.count, self.tail + after.head, False)
-        return ChunkMap(self.head, self.count + counter.closed([self.tail + after.head])[0] + after.count, after.tail, False)
-
-    def total(self, counter: Counter) -> int:
-        return self.count + sum(counter.closed([self.head, self.tail]))
-
-
-def _first_blank(text: str) -> int:
-    return min((i for i in (text.find(" "), text.find("\n")) if i >= 0), default=-1)
-
-
-def _last_blank(text: str) -> int:
-    return max(text.rfind(" "), text.rfind("\n"))
-
-
-def prefix_scan(maps: list[ChunkMap], counter: Counter) -> list[ChunkMap]:
-    """Inclusive scan of chunk maps by doubling: each round combines what is twice as far apart."""
-    out, step = list(maps), 1
-    while step < len(out):
-        out = [out[i - step].then(x, counter) if i >= step else x for i, x in enumerate(out)]
-        step *= 2
+    def __init__(self, fst: Transducer, head: bytes = b"", closes: bool = True, count: int = 0, tail: State = START, first: ChunkMap | None = None, after: ChunkMap | None = None):
+        self.fst, self.head, self.closes, self.count, self.tail, self.first, self.after = fst, head, closes, count, tail, first, after
+        self.known: dict[State, tuple[State, int]] = {}
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        found = self.known.get(state)
+        if found is None:
+            found = self.known[state] = self._read(state)
+        return found
+
+    def _read(self, state: State) -> tuple[State, int]:
+        if self.first is None:
+            left, n = self.fst.run(state, self.head, self.closes) if self.head else (state, 0)
+        else:
+            left, n = self.first(state)
+            if self.after is not None:
+                left, more = self.after(left)
+                n += more
+        return (self.tail, n + self.count) if self.closes else (left, n)
+
+    def then(self, after: ChunkMap) -> ChunkMap:
+        """This chunk and the one after it as one map."""
+        if self.closes:  # what follows starts in a known state
+            tail, count = after(self.tail)
+            return ChunkMap(self.fst, closes=True, count=count, tail=tail, first=self)
+        return ChunkMap(self.fst, closes=after.closes, tail=after.tail, first=self, after=after)
+
+
+def prefix_scan(maps: list[ChunkMap]) -> list[ChunkMap]:
+    """For each chunk the map of all chunks up to it: pairs are combined, scanned, and filled in between."""
+    if len(maps) < 2:
+        return maps
+    pairs = prefix_scan([a.then(b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
+    out = [maps[0]]
+    for i in range(1, len(maps)):
+        out.append(pairs[i // 2] if i % 2 else pairs[i // 2 - 1].then(maps[i]))
     return out
 
 
 class Counter:
     """Token counts of whole texts for one tokenizer file."""
 
-    _made: dict[str, Counter] = {}
+    _made: dict[tuple[str, int], Counter] = {}
 
     @classmethod
-    def shared(cls, path: str) -> Counter:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def shared(cls, path: str, chunk: int = CHUNK) -> Counter:
+        if (path, chunk) not in cls._made:
+            cls._made[path, chunk] = cls(path, chunk)
+        return cls._made[path, chunk]
 
     def __init__(self, path: str, chunk: int = CHUNK):
         self.pre, self.fst, self.chunk = Pretokenizer(path), Transducer(path), chunk
-        self.memo = Memo(lambda words: np.fromiter(map(self.fst.count, words), np.int64, len(words)), bits=21, dtype=np.int32)
+        self.memo = Memo(lambda words: np.fromiter(map(self.fst.count, words), np.int64, len(words)), bits=21)
 
-    def closed(self, texts: list[str]) -> list[int]:
-        """Counts of texts that start and end in the start state."""
-        counts = [0] * len(texts)
-        parts, owner = [], []
+    def counts(self, texts: list[str]) -> list[int]:
+        """Counts of whole texts: special strings, and the scans of the parts between them."""
+        counts, parts, owner = [0] * len(texts), [], []
         for i, text in enumerate(texts):
+            pieces = [text]
             if "<|" in text:
                 counts[i] += len(self.pre.special_at.findall(text))
                 pieces = self.pre.special_at.split(text)
-            else:
-                pieces = [text]
             for piece in pieces:
                 if piece:
                     parts.append(self.pre.plain(piece))
                     owner.append(i)
-        for run in packed(parts):
-            begin, end, hashed, low = self.pre.words("\n".join(parts[k] for k in run))
-            if not len(begin):
-                continue
-            made = np.zeros(len(begin) + 1, np.int64)
-            np.cumsum(self.memo.get(begin, end, hashed, low), out=made[1:])
-            ends = np.cumsum([len(parts[k]) + 1 for k in run])
-            at = made[np.searchsorted(begin, ends)]
-            for k, n in zip(run, np.diff(at, prepend=0).tolist(), strict=True):
-                counts[owner[k]] += n
+        maps: list[list[ChunkMap]] = [[] for _ in parts]
+        for points, pieces in slices(parts):
+            for k, made in self._maps(self.pre.words(points), pieces):
+                maps[k].append(made)
+        for i, own in zip(owner, maps, strict=True):
+            counts[i] += prefix_scan(own)[-1](START)[1]
         return counts
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """Counts of whole texts; long ones by chunk maps and a prefix scan."""
-        short = [i for i, t in enumerate(texts) if len(t) <= self.chunk]
-        out = [0] * len(texts)
-        for i, n in zip(short, self.closed([texts[i] for i in short]), strict=True):
-            out[i] = n
-        for i, t in enumerate(texts):
-            if len(t) > self.chunk:
-                maps = [ChunkMap.of(self, t[k : k + self.chunk]) for k in range(0, len(t), self.chunk)]
-                out[i] = prefix_scan(maps, self)[-1].total(self)
-        return out
-
-
-def token_counts(docs: DataFrame, text: str = "text", name: str = "n_tokens", vocabulary: str | None = None) -> DataFrame:
-    """Add the token count of a text column to a table; all its columns stay."""
+    def _maps(self, words: Words, pieces: list[tuple[int, int, int]]):
+        """(part, map) of each chunk in a slice."""
+        cuts = [(k, p, min(p + self.chunk, b)) for k, a, b in pieces for p in range(a, b, self.chunk)]
+        start, stop = np.array([c[1] for c in cuts]), np.array([c[2] for c in cuts])
+        edges = np.append(words.edges, len(words.low) + 1)
+        first = edges[np.searchsorted(edges, start)]  # the first edge of words in or after the chunk
+        low, high = np.searchsorted(words.begin, first), np.searchsorted(words.end, stop, "right")
+        high = np.maximum(low, high)  # the words that lie whole in the chunk
+        whole = np.repeat(low, high - low) + _count_up(high - low)
+        emitted = np.zeros(len(words.begin) + 1, np.int64)
+        if len(whole):
+            begin, end = words.begin[whole], words.end[whole]
+            emitted[whole + 1] = self.memo.get(words, begin, end, self.pre.hashes(words.low, begin, end))
+        emitted = np.cumsum(emitted)
+        whole_count = (emitted[high] - emitted[low]).tolist()
+        beyond = np.append(words.begin, len(words.low) + 1)[high]  # where a word starts that goes on beyond
+        rows = zip(cuts, first.tolist(), whole_count, beyond.tolist(), strict=True)
+        for (k, p, q), f, count, tail_at in rows:
+            head = words.text(p, min(f, q)).encode("utf-8", "surrogatepass") if f > p else b""
+            tail, n = START, 0
+            if f <= tail_at < q:
+                tail, n = self.fst.run(START, words.text(tail_at, q).encode("utf-8", "surrogatepass"), False)
+            yield k, ChunkMap(self.fst, head, f <= q, count + n, tail)
+
+
+def _count_up(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of many sizes in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def token_counts(docs: DataFrame, text: str = "text", name: str = "n_tokens", vocabulary: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Add the token count of a text column to a table; all its other columns stay."""
     import public_tokenizers
 
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter.shared(path)
-        for batch in batches:
-            found = counter.counts([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, name])
+    def count(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(Counter.shared(path, chunk).counts([t or "" for t in texts]), pa.int64())]
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, LongType()))
+    return add_columns(docs, text, {name: LongType()}, count)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
