@@ -1,64 +1,103 @@
 """Secret scans in built-in expressions only: patterns, and entropy of sliding windows.
 
 Spark has no function that gives all match positions, so a text is split by the pattern and the
-matches are extracted; their lengths, added up in turn, are the positions (code points). Patterns
-run only on texts that pass a cheap guard.
+matches are extracted; running sums of their lengths are the positions (code points). Running values
+over a row's array are worked out in about sqrt(n) groups of sqrt(n) entries (`_scan`), so a text
+with a hundred thousand matches takes seconds. Patterns run only on texts that pass a cheap guard.
 
 The entropy method looks at runs of key-like characters that hold both a digit and a letter. A
-window of `WINDOW` characters slides over the run; the sum of c * log2(c) over its character counts
-is updated from the count of the character that leaves and of the one that enters, so the entropy
-log2(W) - sum / W costs a constant for each step. A run is a secret if its richest window reaches
-the threshold of its character class (hexadecimal or general) and no allow-list pattern fits it and
-no base span overlaps it.
+window of `WINDOW` characters slides over the run; the counts of its characters are kept, and the
+sum of c * log2(c) over them changes with the one count that a character leaving or entering
+changes, so the entropy log2(W) - sum / W costs a constant for each step. A run is a secret if its
+richest window reaches the threshold of its character class, no allow-list pattern fits it and no
+base span overlaps it.
 
 Defined results: null text counts as empty and has no spans (the SHA-256 is that of the empty
-string); repeated rows are scanned each on its own; nothing is dropped, whatever the text's length.
+string); repeated rows are scanned each on its own; nothing is dropped, whatever the text's length;
+columns of the input that bear the names of `with_spans`'s results are replaced.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, unused
+from ._common import table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 RUN, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
-#: Least entropy in bits of the richest window, by character class.
-HEX_BITS, KEY_BITS = 3.0, 3.9
-#: Runs that are no secrets: UUIDs, dates and times, hash names, paths, words joined by - or _.
+#: Character classes of runs, narrowest first, and the least entropy in bits of a run's richest window. A window of
+#: 20 random characters of the class lies above it at least 99 times in 100.
+CLASSES = (
+    ("^([0-9a-f]+|[0-9A-F]+)$", 2.8),
+    ("^([0-9a-z]+|[0-9A-Z]+)$", 3.3),
+    ("^[0-9A-Za-z]+$", 3.5),
+    ("", 3.5),
+)
+#: A word, number or name in camel case, as identifiers and paths are made of.
+_PLAIN = "(([A-Z]?[a-z]+([A-Z][a-z]+)*|[A-Z]+)[0-9]{0,4}|[0-9]+)"
+#: Runs that are no secrets: UUIDs, dates and times, hash names, and plain parts joined to identifiers or whole paths.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
     r"^(sha1|sha256|sha384|sha512|md5)[-_=]",
-    r"^/|//|/[a-z]+/",
-    r"^[A-Za-z]+([-_][A-Za-z]+)*[-_]?[0-9]{1,4}$",
-    r"^([A-Za-z]+|[0-9]+)([-_/]([A-Za-z]+|[0-9]+))+$",
+    rf"^[-_/=]*{_PLAIN}([-_/=]+{_PLAIN})*[-_/=]*$",
 )
+_LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+#: Characters of a run whose windows are worked out together.
+_PART = 1024
+_SPANS = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 
 def _kind(name: str) -> Column:
     return F.lit(KINDS.index(name))
 
 
-def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """All matches of a pattern in turn: array of (start, kind, end), in code points."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, as a lambda's variable (a column named in a lambda may be worked out for each entry)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(xs: Column, zero: int, op: Callable[[Column, Column], Column]) -> Column:
+    """Of an array of whole numbers, what the entries before each come to (exclusive scan), in sqrt(n) groups."""
+    start = F.struct(F.lit(zero).alias("total"), F.array().cast("array<int>").alias("before"))
+
+    def run(entries: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(entries, start, lambda a, x: F.struct(op(a["total"], value(x)).alias("total"), F.concat(a["before"], F.array(a["total"])).alias("before")))
+
+    def grouped(own: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(own))).cast("int"))
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: run(F.slice(own, k, n), lambda x: x))
+
+    def together(groups: Column) -> Column:
+        bases = run(groups, lambda g: g["total"])["before"]
+        return F.flatten(F.zip_with(groups, bases, lambda g, b: F.transform(g["before"], lambda x: op(b, x))))
+
+    return _let(_let(xs, grouped), together)
+
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.char_length(x["piece"])
-        end = start + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), _kind(kind).alias("kind"), end.alias("end")))).alias("out"))
+def _matches(t: Column, kind: str, pattern: str, guard: Column, hits: Column | None = None) -> Column:
+    """Spans (start, kind, end, hit) of all matches in turn, in code points; `hit` is the match, or another text of it."""
+    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
-    both = F.transform(found, lambda x, i: F.struct(pieces[i].alias("piece"), x.alias("hit")))
-    return F.aggregate(both, state, step, lambda a: a["out"])
+    def spans(own: Column) -> Column:
+        pairs = F.zip_with(own, F.slice(F.split(t, pattern, -1), 1, F.size(own)), lambda x, p: F.struct(F.char_length(p).alias("gap"), F.char_length(x).alias("n")))
+
+        def placed(steps: Column) -> Column:
+            before = _scan(F.transform(steps, lambda s: s["gap"] + s["n"]), 0, lambda a, b: a + b)
+            ends = F.zip_with(steps, before, lambda s, a: F.struct((a + s["gap"]).alias("start"), _kind(kind).alias("kind"), (a + s["gap"] + s["n"]).alias("end")))
+            return F.zip_with(ends, own if hits is None else hits, lambda e, h: F.struct(e["start"], e["kind"], e["end"], h.alias("hit")))
+
+        return _let(pairs, placed)
+
+    return F.when(guard, _let(found, spans)).otherwise(F.array().cast(_SPANS))
 
 
 def _any(tests) -> Column:
@@ -66,52 +105,94 @@ def _any(tests) -> Column:
 
 
 def _windows(run: Column) -> Column:
-    """Bits of the richest window of a run of ASCII characters, by incremental counts."""
+    """Bits of the richest window of a run of at least `WINDOW` key-like characters, by incremental counts."""
     w = WINDOW
-    clogc = F.array(*[F.lit(0.0 if c == 0 else c * math.log2(c)) for c in range(w + 1)])
-    chars = F.split(run, "")
-    # one more layer makes the characters a value that the lambdas below share
-    held = F.transform(F.array(chars), lambda cs: _richest(cs, clogc))
-    return held[0]
+    parts = F.regexp_extract_all(run, F.lit(f".{{1,{_PART}}}"), F.lit(0))
+
+    def least(own: Column) -> Column:
+        # a window that begins in one part may end in the next
+        heads = F.concat(F.transform(F.slice(own, 2, F.size(own)), lambda x: F.substring(x, 1, w - 1)), F.array(F.lit("")))
+        full = F.filter(F.zip_with(own, heads, lambda x, y: F.concat(x, y)), lambda x: F.length(x) >= w)
+        return F.array_min(F.transform(full, _least))
 
+    return F.lit(math.log2(w)) - _let(parts, least) / w
 
-def _richest(cs: Column, clogc: Column) -> Column:
+
+def _least(part: Column) -> Column:
+    """The least sum of c * log2(c) over a window's character counts.
+
+    The state holds the counts as a string, a character for each letter that may occur ("A" for 0). Events are
+    characters entering, from the `WINDOW`th on each after the one that leaves.
+    """
     w = WINDOW
-    first = F.slice(cs, 1, w)
-    count = lambda part, x: F.size(F.filter(part, lambda y: y == x))
-    begin = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, x: s + clogc[count(first, x)])
+    clogc = F.array(*[F.lit(0.0 if c == 0 else c * math.log2(c)) for c in range(w + 2)])
+    codes = F.transform(F.split(part, ""), lambda c: F.instr(F.lit(_LETTERS), c))
+    events = F.transform(F.sequence(F.lit(0), (F.length(part) - w) * 2 + w - 1), lambda k: F.when(k < w, k + 1).when((k - w) % 2 == 0, -((k - w) / 2 + 1).cast("int")).otherwise(((k - w) / 2).cast("int") + w + 1))
 
-    def step(a: Column, i: Column) -> Column:
-        core = F.slice(cs, i + 1, w - 1)  # what stays: characters i+1 .. i+w-1 (1-based)
-        out, new = count(core, cs[i - 1]), count(core, cs[i + w - 1])
-        s = a["s"] - clogc[out + 1] + clogc[out] - clogc[new] + clogc[new + 1]
-        return F.struct(s.alias("s"), F.least(a["least"], s).alias("least"))
+    def step(a: Column, e: Column, cs: Column) -> Column:
+        at, by = cs[F.abs(e) - 1], F.signum(e).cast("int")
+        n = F.ascii(F.substring(a["counts"], at, F.lit(1))) - 65
+        s = a["s"] - clogc[n] + clogc[n + by]
+        counts = F.overlay(a["counts"], F.chr(n + by + 65), at, 1)
+        return F.struct(s.alias("s"), counts.alias("counts"), F.when(e >= w, F.least(a["least"], s)).otherwise(a["least"]).alias("least"))
 
-    steps = F.when(F.size(cs) > w, F.sequence(F.lit(1), F.size(cs) - w)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(begin.alias("s"), begin.alias("least")), step, lambda a: a["least"])
-    return F.lit(math.log2(w)) - least / w
+    start = F.struct(F.lit(0.0).alias("s"), F.lit("A" * len(_LETTERS)).alias("counts"), F.lit(float("inf")).alias("least"))
+    return _let(codes, lambda cs: F.aggregate(events, start, lambda a, e: step(a, e, cs), lambda a: a["least"]))
 
 
-def with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """Add __base and __all, arrays of (start, kind, end) by start and kind."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    at = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    t = F.col("__t")
+def _threshold(run: Column) -> Column:
+    chosen = F.lit(CLASSES[-1][1])
+    for pattern, bits in reversed(CLASSES[:-1]):
+        chosen = F.when(run.rlike(pattern), F.lit(bits)).otherwise(chosen)
+    return chosen
+
+
+def _base_spans(t: Column) -> dict[str, Column]:
+    """Spans of each base kind."""
     secret = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
-    assign = F.filter(_spans(t, ASSIGN, "assign"), lambda x, i: F.char_length(secret[i]) >= 6)
-    at = at.withColumn("__assign", F.when(t.rlike(r"(?i)(?:passw|secret|token|api_?key)"), assign).otherwise(none))
-    at = at.withColumn("__access", F.when(t.contains("AKIA"), _spans(t, ACCESS, "access")).otherwise(none))
-    at = at.withColumn("__hex", F.when(t.rlike(HEX), _spans(t, HEX, "hex")).otherwise(none))
-    at = at.withColumn("__base", F.sort_array(F.concat("__assign", "__access", "__hex")))
-    at = at.withColumn("__runs", F.when(t.rlike(RUN), _spans(t, RUN, "entropy")).otherwise(none))
-    run = lambda x: F.substring(t, x["start"] + 1, x["end"] - x["start"])
-    held = F.transform("__runs", lambda x: F.struct(x.alias("span"), run(x).alias("run")))
-    mixed = F.filter(held, lambda x: x["run"].rlike("[0-9]") & x["run"].rlike("[A-Za-z]"))
-    apart = F.filter(mixed, lambda x: ~F.exists("__base", lambda b: (b["start"] < x["span"]["end"]) & (b["end"] > x["span"]["start"])))
-    apart = F.filter(apart, lambda x: ~_any(x["run"].rlike(p) for p in ALLOWED))
-    rich = F.filter(apart, lambda x: _windows(x["run"]) >= F.when(x["run"].rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).otherwise(F.lit(KEY_BITS)))
-    at = at.withColumn("__more", F.when(F.size("__runs") > 0, F.transform(rich, lambda x: x["span"])).otherwise(none))
-    return at.withColumn("__all", F.sort_array(F.concat("__base", "__more")))
+    assign = _matches(t, "assign", ASSIGN, t.rlike(r"(?i)(?:passw|secret|token|api_?key)"), secret)
+    return {
+        "assign": F.filter(assign, lambda x: F.char_length(x["hit"]) >= 6),
+        "access": _matches(t, "access", ACCESS, t.contains("AKIA")),
+        "hex": _matches(t, "hex", HEX, t.rlike(HEX)),
+    }
+
+
+def _apart(every: Column) -> Column:
+    """Of spans by start, the runs that no base span overlaps: none before reaches them, the next one begins behind them."""
+    last = 2**31 - 1
+
+    def judged(own: Column) -> Column:
+        reach = _scan(F.transform(own, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(-1)), -1, F.greatest)
+        after = F.reverse(_scan(F.reverse(F.transform(own, lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(last))), last, F.least))
+        held = F.zip_with(own, F.arrays_zip(reach.alias("reach"), after.alias("after")), lambda x, y: F.struct(x.alias("span"), ((x["kind"] == 3) & (y["reach"] <= x["start"]) & (y["after"] >= x["end"])).alias("free")))
+        return F.transform(F.filter(held, lambda h: h["free"]), lambda h: h["span"])
+
+    return _let(every, judged)
+
+
+def _own_spans(df: DataFrame) -> DataFrame:
+    """Add __assign, __access, __hex, __base and __all to rows with a text __t."""
+    t = F.col("__t")
+    for kind, spans in _base_spans(t).items():
+        df = df.withColumn(f"__{kind}", spans)
+    df = df.withColumn("__base", F.sort_array(F.concat("__assign", "__access", "__hex")))
+    df = df.withColumn("__runs", _matches(t, "entropy", RUN, t.rlike(RUN)))
+    mixed = F.filter("__runs", lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]") & ~_any(x["hit"].rlike(p) for p in ALLOWED))
+    df = df.withColumn("__mixed", mixed)
+    apart = F.when(F.size("__base") > 0, _apart(F.sort_array(F.concat("__base", "__mixed")))).otherwise(F.col("__mixed"))
+    rich = F.filter(apart, lambda x: _windows(x["hit"]) >= _threshold(x["hit"]))
+    df = df.withColumn("__more", F.when(F.size("__mixed") > 0, rich).otherwise(F.array().cast(_SPANS)))
+    return df.withColumn("__all", F.sort_array(F.concat("__base", "__more"))).drop("__runs", "__mixed", "__more")
+
+
+def with_spans(docs: DataFrame, text: str) -> DataFrame:
+    """Add __assign, __access, __hex, __base and __all, arrays of spans (start, kind, end) by start and kind."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")
+    found = _own_spans(docs.select(own, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t")))
+    made = ["__assign", "__access", "__hex", "__base", "__all"]
+    spans = [F.transform(c, lambda x: F.struct(x["start"], x["kind"], x["end"])).alias(c) for c in made]
+    return found.select(*[F.col(f"__own.`{c}`") for c in docs.columns if c not in made], *spans)
 
 
 def _listed(spans: str) -> Column:
@@ -127,28 +208,34 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Replace every span by a mark; n_chars, where there, follows the new text. Texts without spans stay as they are."""
-    own = docs.columns
-    text = unused(docs, "__own")
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias(text), F.col("text").alias("__text"))
-    found = with_spans(inner, "__text")
-    t = F.col("__t")
-
-    def step(a: Column, x: Column) -> Column:
-        new = x["start"] >= a["at"]
-        between = F.when(new, F.concat(F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], between).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate("__all", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
-    clean = F.when(F.size("__all") > 0, rest).otherwise(F.col("__text"))
+    own, size = docs.columns, 1 << 16
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__own"), F.coalesce(F.col("text"), F.lit("")).alias("__t"))
+    found = _own_spans(inner)
+    t, some = F.col("__t"), F.size("__all") > 0
+    blocks = F.transform(F.sequence(F.lit(0), (F.char_length(t) / size).cast("int")), lambda k: F.substring(t, k * size + 1, F.lit(size)))
+
+    def between(held: Column, a: Column, b: Column) -> Column:
+        """The text in [a, b), from the blocks it lies in."""
+        first, last = F.floor(a / size).cast("int"), F.floor(b / size).cast("int")
+        one = F.substring(held[first], a % size + 1, b - a)
+        middle = F.array_join(F.slice(held, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        more = F.concat(F.substring(held[first], a % size + 1, F.lit(size)), middle, F.substring(held[last], F.lit(1), b % size))
+        return F.when(first == last, one).otherwise(more)
+
+    def cleaned(held: Column) -> Column:
+        reach = _scan(F.transform("__all", lambda x: x["end"]), 0, F.greatest)
+        pieces = F.zip_with("__all", reach, lambda x, a: F.when(x["start"] >= a, F.concat(between(held, a, x["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), between(held, F.array_max(F.transform("__all", lambda x: x["end"])), F.char_length(t)))
+
+    clean = F.when(some, _let(blocks, cleaned)).otherwise(F.col("__own.text"))
     found = found.withColumn("__clean", clean)
-    out = [F.col(f"{text}.`{c}`") for c in own]
+    out = [F.col(f"__own.`{c}`") for c in own]
     for i, c in enumerate(own):
         if c.lower() == "text":
             out[i] = F.col("__clean").alias(c)
         elif c.lower() == "n_chars":
             kind = docs.schema[c].dataType
-            out[i] = F.when(F.size("__all") > 0, F.char_length("__clean").cast(kind)).otherwise(F.col(f"{text}.`{c}`")).alias(c)
+            out[i] = F.when(some, F.char_length("__clean").cast(kind)).otherwise(F.col(f"__own.`{c}`")).alias(c)
     return found.select(*out)
 
 
@@ -167,6 +254,7 @@ def _sql_spans(pattern: str, kind: int, keep: str) -> str:
 
 
 _allowed_sql = " AND ".join(f"NOT regexp_matches(hit, '{p}')" for p in ALLOWED)
+_bits_sql = " ".join(f"WHEN regexp_matches(hit, '{p}') THEN {bits}" for p, bits in CLASSES[:-1])
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (
@@ -184,7 +272,7 @@ bits AS (
   FROM (SELECT doc_id, start, stop, hit, i, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY ALL),
 more AS (
   SELECT doc_id, 3 AS kind, start, stop FROM bits GROUP BY doc_id, start, stop, hit
-  HAVING max(h) >= CASE WHEN regexp_matches(hit, '^[0-9a-fA-F]+$') THEN {HEX_BITS} ELSE {KEY_BITS} END),
+  HAVING max(h) >= CASE {_bits_sql} ELSE {CLASSES[-1][1]} END),
 every AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT * FROM more),
 named AS (SELECT *, ['{"', '".join(KINDS)}'][kind + 1] || ':' || start || ':' || stop AS s FROM every),
 j AS (
