@@ -10,25 +10,29 @@ chosen by a hash of the id); every text is then scored whole, in one pass, with
 Defined results: null text or text without a letter gives `und` and score 0; ties between
 languages go to the first by name; repeated rows are scored each on its own; no labelled rows
 means no profiles, and every text is `und`; a null doc_id is not held out and not learned from.
+Grams are counted in slices of `SLICE` code points, so a long text takes memory for its distinct
+grams and not for all of them. Columns that bear the new names are replaced, as `withColumn` does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import DoubleType, StringType
 
-from ._common import small_batches, table, unused
+from ._common import add_columns, small_batches, table, unused
 
 #: Grams kept of a profile and of a text; labelled texts a language's profile is fitted on.
 TOP = 300
 TRAIN_PER_LANG = 1500
 #: Languages that a model holds at most; more are an error, not cut off.
 MOST_LANGS = 500
+#: Code points whose grams are counted at once.
+SLICE = 1 << 18
 
 _FOLDED: list[np.ndarray] = []
 
@@ -40,29 +44,52 @@ def _fold() -> np.ndarray:
     return _FOLDED[0]
 
 
-def gram_codes(text: str) -> np.ndarray:
-    """Codes of all letter n-grams of a text, n = 1 to 3, words padded with one mark on each side.
+def gram_codes(text: str, size: int = SLICE) -> Iterator[np.ndarray]:
+    """Codes of all letter n-grams of a text, n = 1 to 3, words padded with one mark on each side, slice by slice.
 
     A code packs up to three 21-bit code points; the mark is 1. Grams with the mark inside, and
-    the mark alone, are left out. Empty for a text without letters.
+    the mark alone, are left out. Nothing for a text without letters.
     """
-    at = _fold()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if not at.any():
-        return np.empty(0, np.int64)
-    at = np.concatenate(([0], at, [0]))
-    keep = np.ones(len(at), bool)
-    keep[1:] = (at[1:] != 0) | (at[:-1] != 0)
-    c = at[keep]
-    c[c == 0] = 1
-    gap = c == 1
-    two = (c[:-1] << 21) | c[1:]
-    three = ((c[:-2] << 42) | two[1:])[~gap[1:-1]]
-    return np.concatenate((c[~gap], two, three))
-
-
-def top_grams(codes: np.ndarray, top: int = TOP) -> np.ndarray:
+    low, before, last, some = text.lower(), np.empty(0, np.int64), 0, False
+    for k in range(0, len(low) + 1, size):
+        at = _fold()[np.frombuffer(low[k : k + size].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if k == 0:
+            at = np.concatenate(([0], at))
+        if k + size > len(low):
+            at = np.concatenate((at, [0]))
+        if not len(at):
+            continue
+        some = some or bool(at.any())
+        keep = at != 0
+        keep[1:] |= at[:-1] != 0
+        keep[0] |= last != 0 or k == 0
+        last = at[-1]
+        new = at[keep]
+        new[new == 0] = 1
+        c = np.concatenate((before, new))
+        n, before = len(before), c[-2:]
+        two = (c[:-1] << 21) | c[1:]
+        three = ((c[:-2] << 42) | two[1:])[c[1:-1] != 1]
+        old = int(n == 2 and c[1] != 1) if n < 2 else 0  # grams of three all end in what is new, as two marks are carried
+        if some:
+            yield np.concatenate((new[new != 1], two[max(0, n - 1) :], three[old:]))
+
+
+def gram_counts(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each occurs, over all parts."""
+    found, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    for codes in parts:
+        own, m = np.unique(codes, return_counts=True)
+        if len(found):
+            own, back = np.unique(np.concatenate((found, own)), return_inverse=True)
+            m = np.bincount(back, np.concatenate((n, m))).astype(np.int64)
+        found, n = own, m
+    return found, n
+
+
+def top_grams(counts: tuple[np.ndarray, np.ndarray], top: int = TOP) -> np.ndarray:
     """The most frequent codes, most frequent first, ties by code."""
-    found, n = np.unique(codes, return_counts=True)
+    found, n = counts
     if len(found) > top:
         least = np.partition(n, len(n) - top)[len(n) - top]
         found, n = found[n >= least], n[n >= least]
@@ -93,10 +120,10 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language and how clearly it is nearest: its rival's share of the two distances."""
-        codes = gram_codes(text) if text and self.langs else ()
-        if len(codes) == 0:
+        grams = top_grams(gram_counts(gram_codes(text)), self.top) if text and self.langs else ()
+        if len(grams) == 0:
             return "und", 0.0
-        far = self.distances(top_grams(codes, self.top))
+        far = self.distances(grams)
         best = int(far.argmin())
         if len(far) == 1:
             return self.langs[0], float(1 - far[0])
@@ -125,12 +152,12 @@ def learn(labelled: DataFrame, top: int = TOP, per_lang: int = TRAIN_PER_LANG) -
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
+            by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    by.setdefault(lang, []).append(gram_codes(text))
-            for lang, codes in by.items():
-                found, n = np.unique(np.concatenate(codes), return_counts=True)
+                    by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                found, n = gram_counts(codes for text in texts for codes in gram_codes(text))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     seen = sample.select("lang", "text").mapInArrow(grams, "lang string, code long, n long")
@@ -145,18 +172,12 @@ def learn(labelled: DataFrame, top: int = TOP, per_lang: int = TRAIN_PER_LANG) -
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the predicted language and its score to any table; all its columns stay."""
-    small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [profiles.predict(x) for x in batch.column(at).to_pylist()]
-            langs, scores = [x[0] for x in found], [x[1] for x in found]
-            new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, lang, score])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        found = [profiles.predict(x) for x in texts]
+        return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
 
-    schema = StructType([*docs.schema.fields]).add(lang, StringType()).add(score, DoubleType())
-    return docs.mapInArrow(run, schema)
+    return add_columns(docs, text, {lang: StringType(), score: DoubleType()}, run)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
