@@ -18,6 +18,7 @@ fingerprints form one component; a component is named by its smallest doc_id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +26,52 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType
 
-from ._common import durable, small_batches, table, unused
+from ._common import add_columns, durable, table, unused
 from .components import component_labels
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
+#: Bytes of a text whose shingles are hashed at once.
+BLOCK = 1 << 18
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _MASK = (1 << 23) - 1
 #: Generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 _GENERATOR = 0b101011100011
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def _blocks(data: bytes, size: int) -> Iterator[bytes]:
+    """Bytes in blocks of about `size`, cut at blanks; a longer word stays whole."""
+    at = 0
+    while len(data) - at > size:
+        found = _BLANK.search(data, at + size)
+        if not found:
+            break
+        yield data[at : found.start()]
+        at = found.start()
+    yield data[at:]
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, block: int = BLOCK) -> int:
     """The 64-bit SimHash of a text's word shingles, as an unsigned integer; 0 without words."""
     if not text:
         return 0
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
-    whole, hashed = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= size:
-        return hashed(whole, SEED)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = [0, *ends[:-size].tolist()]
-    stops = (ends[size - 1 :] - 1).tolist()
-    h = np.fromiter([hashed(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64, len(stops))
-    ones = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    hashed, rest, n, ones = xxhash.xxh64_intdigest, [], 0, np.zeros(64, np.int64)
+    for part in _blocks(text.encode("utf-8", "surrogatepass").lower(), block):
+        found = rest + part.split()
+        if len(found) < size:
+            rest = found
+            continue
+        whole = b" ".join(found)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+        starts = [0, *ends[:-size].tolist()]
+        stops = (ends[size - 1 :] - 1).tolist()
+        h = np.fromiter([hashed(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64, len(stops))
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n, rest = n + len(h), found[len(found) - size + 1 :]
+    if not n:
+        return hashed(b" ".join(rest), SEED) if rest else 0
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 class Golay:
@@ -123,16 +143,12 @@ def reach(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    """Add the fingerprint (long, the bit pattern) to a table; all its columns stay."""
-    small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
+    """Add the fingerprint (long, the bit pattern) to a table; all its other columns stay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((fingerprint(x) for x in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, name])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64))]
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, LongType()))
+    return add_columns(docs, text, {name: LongType()}, run)
 
 
 def near_pairs(fps: DataFrame) -> DataFrame:
