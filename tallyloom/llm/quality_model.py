@@ -1,34 +1,45 @@
 """A quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of `PASSAGE` words. Every passage is encoded (character classes,
-word lengths, repetition) and embedded by a small layer; gated attention, tanh(Vh) * sigmoid(Uh),
+A document is a bag of passages of `PASSAGE` words. Every passage is encoded twice: by its surface
+(character classes, word lengths, repetition) and by its words, the mean of learned embeddings of
+hashed words and word pairs. A small layer embeds both; gated attention, tanh(Vh) * sigmoid(Uh),
 gives each passage a weight within its document; the weighted sum of the embeddings is the
-document's representation, and its logistic score says how likely label 1 is. Weights are learned
-from document labels alone, on a bounded sample of labelled rows (`TRAIN_ROWS`, chosen by a hash of
-the id); every document is scored on all its passages.
+document's representation, and its logistic score says how likely label 1 is. All weights are
+learned from document labels alone, on a bounded sample of labelled rows (`TRAIN_ROWS`, and fewer
+where their texts have more than `TRAIN_CHARS` characters in all; chosen by a hash of the id, each
+with its whole text); every document is scored on all its passages.
 
 Defined results: null or empty text is a bag of one blank passage and gets a score like any other;
 repeated rows are scored each on its own; without any labelled row every score is 0.5; a null
 doc_id is not held out and never learned from; of rows that share a labelled doc_id, one is learned
-from (the least by its encoding).
+from (the least by its text's hash); a doc_id of any type will do. Long texts are encoded in slices
+of about `SLICE` bytes, so memory grows with their passages alone. A column that bears the new name
+is replaced, as `withColumn` does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType
 
-from ._common import small_batches, table
+from ._common import add_columns, small_batches, table
 
 PASSAGE = 64
-#: Labelled rows that the model is fitted on, and passages of one of them (spread evenly).
-TRAIN_ROWS, TRAIN_PASSAGES = 6000, 64
-HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, SEED = 32, 16, 25, 64, 0.01, 7
+#: Labelled rows that the model is fitted on at most, in expectation, and characters in all of them.
+TRAIN_ROWS, TRAIN_CHARS = 6000, 24_000_000
+HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, SEED = 32, 16, 12, 64, 0.01, 7
+#: Batches that are learned from at least, however few rows there are.
+STEPS = 150
+#: Hash buckets of words and word pairs, and the length of their embeddings.
+BUCKETS, LEXICAL = 1 << 12, 8
+#: Bytes of texts that are encoded at once.
+SLICE = 1 << 20
 
 _SIGNS = b"#*$%&|<>!?.,;:'\"()[]{}/\\_-+=@~^`"
 _BLANK, _LOWER, _VOWEL, _UPPER, _DIGIT, _HIGH, _REST = range(7)
@@ -52,9 +63,72 @@ _CLASS = _classes()
 FEATURES = CLASSES + 8
 
 
-def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The encoded passages of many texts, and how many each text has."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+class Bags(NamedTuple):
+    """Encoded passages: surface features, passages of each text, buckets of their words and pairs, and how many each has."""
+
+    x: np.ndarray
+    bags: np.ndarray
+    terms: np.ndarray
+    sizes: np.ndarray
+
+    def of(self, rows: np.ndarray) -> Bags:
+        """The bags of some texts, in that order."""
+        first = np.cumsum(self.bags) - self.bags
+        passages = _ranges(first[rows], self.bags[rows])
+        at = np.cumsum(self.sizes) - self.sizes
+        return Bags(self.x[passages], self.bags[rows], self.terms[_ranges(at[passages], self.sizes[passages])], self.sizes[passages])
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of many runs in turn."""
+    return np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+def joined(parts: list[Bags]) -> Bags:
+    return Bags(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def encode(texts: list[str | None], size: int = SLICE) -> Bags:
+    """The encoded passages of many texts."""
+    out, run, n = [], [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if len(raw) > size:
+            if run:
+                out.append(_encode(run))
+            parts = [_encode([part]) for part in _pieces(raw, size)]
+            whole = joined(parts)
+            out.append(whole._replace(bags=np.array([whole.bags.sum()])))
+            run, n = [], 0
+            continue
+        run.append(raw)
+        n += len(raw)
+        if n > size:
+            out.append(_encode(run))
+            run, n = [], 0
+    if run or not out:
+        out.append(_encode(run))
+    return joined(out)
+
+
+def _pieces(raw: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of whole passages, all but the last; a piece grows until it holds one."""
+    at, want = 0, size
+    while len(raw) - at > want:
+        kind = _CLASS[np.frombuffer(raw, np.uint8, want, at)] != _BLANK
+        kind[1:] &= ~kind[:-1].copy()
+        begin = np.flatnonzero(kind)
+        whole = (len(begin) - 1) // PASSAGE * PASSAGE
+        if whole > 0:
+            cut = at + int(begin[whole])
+            yield raw[at:cut]
+            at, want = cut, size
+        else:
+            want *= 2
+    yield raw[at:]
+
+
+def _encode(raw: list[bytes]) -> Bags:
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])
     kind = _CLASS[data]
@@ -70,7 +144,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     n = int(bags.sum())
     out = np.zeros((n, FEATURES), np.float32)
     if not len(begin):
-        return out, bags
+        return Bags(out, bags, np.empty(0, np.uint16), np.zeros(n, np.int64))
     doc = np.repeat(np.arange(len(raw)), words)
     passage = offset[doc] + (np.arange(len(begin)) - first[doc]) // PASSAGE
     of_char = passage[np.cumsum(start)[solid] - 1]
@@ -86,8 +160,9 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     fresh = np.ones(len(order), bool)
     fresh[1:] = (hashed[order][1:] != hashed[order][:-1]) | (passage[order][1:] != passage[order][:-1])
     distinct = np.bincount(passage[order][fresh], minlength=n)
+    near = passage[1:] == passage[:-1]
     same = np.zeros(len(hashed), bool)
-    same[1:] = (hashed[1:] == hashed[:-1]) & (passage[1:] == passage[:-1])
+    same[1:] = (hashed[1:] == hashed[:-1]) & near
     share = lambda mask: np.bincount(passage[mask], minlength=n) / some
     last = kind[stop - 1]
     out[:, :CLASSES] = chars / all_chars[:, None]
@@ -104,7 +179,11 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         ),
         1,
     )
-    return out, bags
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    pairs = ((hashed[:-1] * np.uint64(0xBF58476D1CE4E5B9) + hashed[1:]) * np.uint64(0x94D049BB133111EB) >> shift)[near]
+    terms = np.concatenate(((hashed * np.uint64(0xD6E8FEB86659FD93) >> shift), pairs)).astype(np.uint16)
+    of_term = np.concatenate((passage, passage[1:][near]))
+    return Bags(out, bags, terms[np.argsort(of_term, kind="stable")], np.bincount(of_term, minlength=n))
 
 
 def _inverse(x: np.ndarray) -> np.ndarray:
@@ -119,6 +198,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The mean row of each of many runs of rows in turn; 0 for an empty run."""
+    out = np.zeros((len(sizes), values.shape[1]), values.dtype)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        at = np.cumsum(sizes) - sizes
+        out[some] = np.add.reduceat(values, at[some]) / sizes[some, None]
+    return out
+
+
 class AttentionModel:
     """Gated-attention multiple-instance classifier; parameters are small arrays."""
 
@@ -126,23 +215,36 @@ class AttentionModel:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
         self.mean, self.spread = mean, spread
-        self.p = {"W": draw(len(mean), HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, ATTENTION), "U": draw(HIDDEN, ATTENTION), "w": draw(ATTENTION), "c": draw(HIDDEN), "d": np.zeros(1)}
-
-    def _forward(self, x: np.ndarray, bags: np.ndarray) -> dict:
-        p, at = self.p, np.cumsum(bags) - bags
-        h = np.maximum(((x - self.mean) / self.spread) @ p["W"] + p["b"], 0)
+        self.p = {
+            "E": rng.normal(0, 0.1, (BUCKETS, LEXICAL)),
+            "W": draw(len(mean) + LEXICAL, HIDDEN),
+            "b": np.zeros(HIDDEN),
+            "V": draw(HIDDEN, ATTENTION),
+            "U": draw(HIDDEN, ATTENTION),
+            "w": draw(ATTENTION),
+            "c": draw(HIDDEN),
+            "d": np.zeros(1),
+        }
+
+    def _inputs(self, own: Bags) -> np.ndarray:
+        return np.concatenate(((own.x - self.mean) / self.spread, _means(self.p["E"][own.terms], own.sizes)), 1)
+
+    def _forward(self, own: Bags) -> dict:
+        p, bags, at = self.p, own.bags, np.cumsum(own.bags) - own.bags
+        x = self._inputs(own)
+        h = np.maximum(x @ p["W"] + p["b"], 0)
         t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         e = (t * g) @ p["w"]
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, at), bags))
         a = e / np.repeat(np.add.reduceat(e, at), bags)
         z = np.add.reduceat(a[:, None] * h, at)
-        return {"h": h, "t": t, "g": g, "a": a, "z": z, "at": at, "y": _sigmoid(z @ p["c"] + p["d"])}
+        return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "at": at, "y": _sigmoid(z @ p["c"] + p["d"])}
 
-    def score(self, x: np.ndarray, bags: np.ndarray) -> np.ndarray:
-        return self._forward(x, bags)["y"]
+    def score(self, own: Bags) -> np.ndarray:
+        return self._forward(own)["y"]
 
-    def _gradients(self, x: np.ndarray, bags: np.ndarray, label: np.ndarray) -> dict:
-        p, f = self.p, self._forward(x, bags)
+    def _gradients(self, own: Bags, label: np.ndarray) -> dict:
+        p, bags, f = self.p, own.bags, self._forward(own)
         miss = (f["y"] - label) / len(label)
         dz = np.repeat(miss[:, None] * p["c"], bags, 0)
         da = (dz * f["h"]).sum(1)
@@ -151,20 +253,22 @@ class AttentionModel:
         dt, dg = gate * f["g"] * (1 - f["t"] ** 2), gate * f["t"] * f["g"] * (1 - f["g"])
         dh = f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T
         dh *= f["h"] > 0
-        x = (x - self.mean) / self.spread
-        return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ miss, "d": np.array([miss.sum()])}
+        lexical = (dh @ p["W"][-LEXICAL:].T) / np.maximum(own.sizes, 1)[:, None]
+        each = np.repeat(lexical, own.sizes, 0)
+        words = np.stack([np.bincount(own.terms, each[:, k], BUCKETS) for k in range(LEXICAL)], 1)
+        return {"E": words, "W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ miss, "d": np.array([miss.sum()])}
 
-    def fit(self, x: np.ndarray, bags: np.ndarray, label: np.ndarray) -> AttentionModel:
+    def fit(self, known: Bags, label: np.ndarray) -> AttentionModel:
         """Adam over shuffled batches of bags, a fixed number of epochs."""
-        rng, first = np.random.default_rng(SEED), np.cumsum(bags) - bags
+        rng = np.random.default_rng(SEED)
         m, v, step = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS) + 1e-4
-            order = rng.permutation(len(bags))
+        epochs = max(EPOCHS, -(-STEPS * BATCH // len(label)))
+        for epoch in range(epochs):
+            rate = RATE * (1 - epoch / epochs) + 1e-4
+            order = rng.permutation(len(label))
             for k in range(0, len(order), BATCH):
                 own = order[k : k + BATCH]
-                rows = np.concatenate([np.arange(first[i], first[i] + bags[i]) for i in own])
-                found, step = self._gradients(x[rows], bags[own], label[own]), step + 1
+                found, step = self._gradients(known.of(own), label[own]), step + 1
                 for name, g in found.items():
                     g = g + 1e-4 * self.p[name] if self.p[name].ndim > 1 else g
                     m[name], v[name] = 0.9 * m[name] + 0.1 * g, 0.999 * v[name] + 0.001 * g * g
@@ -176,63 +280,49 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> AttentionModel | None:
-    """Fit on about `rows` labelled documents that are not held out; None where there are none."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> AttentionModel | None:
+    """Fit on about `rows` labelled documents that are not held out, whole; None where there are none."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).cast("double").alias("__label"))
-    n = known.count()
     dealt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
-    sample = known.where(dealt < rows / max(n, 1))  # about `rows` rows, whatever the table holds
-    bags = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "__label", "text")
+    n = known.count()
+    some = known.where(dealt < rows / max(n, 1))  # about `rows` rows, whatever the table holds
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    total = own.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    fewer = own.where(dealt < min(1.0, chars / max(total, 1)) * rows / max(n, 1))
+    keyed = fewer.select(F.struct(F.col("doc_id").cast("string").alias("id"), "__label", F.xxhash64("text").alias("held")).alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, sizes = encode(batch.column(2).to_pylist())
-            first, out = np.cumsum(sizes) - sizes, []
-            for at, n in zip(first.tolist(), sizes.tolist(), strict=True):
-                some = at + (np.arange(n) if n <= TRAIN_PASSAGES else np.linspace(0, n - 1, TRAIN_PASSAGES).astype(int))
-                out.append(x[some].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "x"])
+            for k in range(batch.num_rows):
+                own = encode(batch.column(3).slice(k, 1).to_pylist())
+                made = [own.x.astype("<f4"), own.terms.astype("<u2"), own.sizes.astype("<i8")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(k, 1) for i in range(3)), *(pa.array([c.tobytes()], pa.binary()) for c in made)], ["id", "label", "held", "x", "terms", "sizes"])
 
     # repeated rows of a document count once, so what reaches the driver is bounded by the sample
-    encoded = bags.mapInArrow(run, "doc_id long, label double, x binary")
-    got = encoded.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()
+    encoded = keyed.select("key.*", "text").mapInArrow(run, "id string, label double, held long, x binary, terms binary, sizes binary")
+    first = F.min_by(F.struct("x", "terms", "sizes"), F.coalesce("held", F.lit(0))).alias("own")
+    got = sorted(encoded.groupBy("id", "label").agg(first).collect(), key=lambda r: (r["id"], r["label"]))
     if not got:
         return None
-    got = sorted(got, key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
-    parts = [np.frombuffer(bytes(r["x"]), "<f4").reshape(-1, FEATURES) for r in got]
-    x, sizes = np.concatenate(parts).astype(np.float64), np.array([len(p) for p in parts])
-    model = AttentionModel(x.mean(0), x.std(0) + 1e-3)
-    return model.fit(x, sizes, np.array([min(max(r["label"], 0.0), 1.0) for r in got]))
+    parts = []
+    for r in got:
+        x = np.frombuffer(r["own"]["x"], "<f4").reshape(-1, FEATURES)
+        parts.append(Bags(x, np.array([len(x)]), np.frombuffer(r["own"]["terms"], "<u2"), np.frombuffer(r["own"]["sizes"], "<i8")))
+    bags = joined(parts)
+    bags = bags._replace(x=bags.x.astype(np.float64))
+    model = AttentionModel(bags.x.mean(0), bags.x.std(0) + 1e-3)
+    return model.fit(bags, np.array([min(max(r["label"], 0.0), 1.0) for r in got]))
 
 
 def score(docs: DataFrame, model: AttentionModel | None, text: str = "text", name: str = "score") -> DataFrame:
-    """Add the score to a table; all its columns stay."""
-    small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
+    """Add the score to a table; all its other columns stay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found = batch.column(at).to_pylist(), []
-            for some in _runs(texts):
-                found.append(np.full(len(some), 0.5) if model is None else model.score(*encode(some)))
-            new = pa.array(np.concatenate(found) if found else np.empty(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, name])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
-
-
-def _runs(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str | None]]:
-    run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t or "")
-        if n >= size:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(np.full(len(texts), 0.5) if model is None else model.score(encode(texts)), pa.float64())]
+
+    return add_columns(docs, text, {name: DoubleType()}, run)
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
