@@ -115,6 +115,24 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rank: str, n: i
     return out.withColumn(rank, F.col("__at") + F.col("__base")).drop("__at", "__part", "__p", "__base", *[f"__g{i}" for i in range(len(group))])
 
 
+#: A key is hot if it holds more than one in so many of all rows; so there are fewer hot keys than this.
+HOT = 2000
+
+
+def by_key(rows: DataFrame, known: DataFrame, key: str, n: str) -> DataFrame:
+    """`rows` with what `known`, one row a key, says of their key; column `n` of known tells how many rows a key has at most.
+
+    What is known of hot keys, under `HOT` rows whatever the tables' sizes, is broadcast, so the rows
+    of a hot key stay where they are; all others meet by a shuffle.
+    """
+    total = known.agg(F.sum(n).alias("__total"))
+    judged = known.join(F.broadcast(total)).withColumn("__hot", F.col(n).cast("double") * HOT > F.col("__total")).drop("__total")  # one row
+    hot = F.broadcast(judged.where("__hot").drop("__hot", n))
+    cold = judged.where(~F.col("__hot")).drop("__hot", n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Add, for each (name, column) in `sums`, the sum of the column over all rows before this one in `order`.
 

@@ -9,8 +9,9 @@ that some fingerprint within two bits of it can have as home, and pairs are comp
 No pair within the threshold is missed, at any size.
 
 Texts are fingerprinted where they are read; only 8-byte fingerprints are shuffled, each distinct
-one once, so copies cost nothing beyond a partial aggregation. Links become components through
-star contraction over cut tables (see `components`).
+one once, so copies cost nothing beyond a partial aggregation; a fingerprint that many rows share is
+a hot key, whose component is broadcast to them (`by_key`). Links become components through star
+contraction over cut tables (see `components`).
 
 Defined results: null and blank texts have fingerprint zero and link like any other; equal
 fingerprints form one component; a component is named by its smallest doc_id.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ._common import add_columns, durable, table, unused
+from ._common import add_columns, by_key, durable, table, unused
 from .components import component_labels
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
@@ -176,14 +177,16 @@ def group_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """(doc_id, text_hash, fp, part, component_id) for each document; `part` is one fingerprint of its component."""
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     at = durable(fingerprints(own.withColumn("text_hash", F.xxhash64("text"))).drop("text"), "fp")
-    first = durable(at.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
+    first = durable(at.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fps")
     links = durable(near_pairs(first), "links")
     moved = component_labels(links, "x", "y")  # only fingerprints that have a link
-    least = moved.join(first, moved["node"] == first["fp"]).groupBy("label").agg(F.min("first").alias("component_id"))
-    named = moved.join(least, "label").select(F.col("node").alias("fp"), F.col("label").alias("part"), "component_id")
+    moved = durable(moved.join(first, moved["node"] == first["fp"]).select("fp", F.col("label").alias("part"), "first", "n"), "moved")
+    least = moved.groupBy("part").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("many"))
+    named = by_key(moved.select("fp", "part"), least, "part", "many")
     known = first.join(named, "fp", "left")
-    known = known.select("fp", F.coalesce("part", "fp").alias("part"), F.when(F.col("part").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return at.join(known, "fp").select("doc_id", "text_hash", "fp", "part", "component_id")
+    component = F.when(F.col("part").isNull(), F.col("first")).otherwise(F.col("component_id"))
+    known = durable(known.select("fp", F.coalesce("part", "fp").alias("part"), component.alias("component_id"), "n"), "known")
+    return by_key(at, known, "fp", "n").select("doc_id", "text_hash", "fp", "part", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
