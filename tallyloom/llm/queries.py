@@ -5,7 +5,7 @@ from __future__ import annotations
 from .embedding_links import op5_embedding_links
 from .language_id import op2_language_id
 from .mixture import OP6_SQL, op6_mixture
-from .packing import OP8_SQL, op8_packing
+from .packing import op8_packing
 from .quality_model import op9_quality_model
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import OP7_SQL, op7_secrets
@@ -30,5 +30,4 @@ ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op6_mixture": OP6_SQL,
     "op7_secrets": OP7_SQL,
-    "op8_packing": OP8_SQL,
 }
