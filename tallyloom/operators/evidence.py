@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
 from tallyloom.operators.markdown import heading_rows
+from tallyloom.operators.search import in_order
 
 #: The kinds of an evidence card.
 KINDS = ("source_span", "document_span", "git_commit", "fingerprint_comparison", "search_result")
@@ -60,14 +61,14 @@ def numbered(number: Column) -> Column:
 def append(log: DataFrame, new: DataFrame, arrival: str) -> DataFrame:
     """New cards that the log lacks, first arrival of each signature, with ids that go on from the log's largest.
 
-    Ids follow arrival, a total order, so the last step is a window over what is new (one writer by
-    nature); duplicates are taken out before it.
+    Ids follow arrival, a total order; places in it come from range-dealt partitions (`in_order`), so no
+    task holds all new cards. Duplicates are taken out before.
     """
     fresh = new.join(log.select("signature"), "signature", "left_anti")
     first = fresh.groupBy("signature").agg(F.min(arrival).alias(arrival))
     last = log.agg(F.coalesce(F.max(F.substring("evidence_id", 2, 20).cast("long")), F.lit(0)).alias("last"))
-    placed = first.withColumn("k", F.row_number().over(Window.orderBy(arrival))).crossJoin(F.broadcast(last))  # one row
-    return placed.withColumn("evidence_id", numbered(F.col("last") + F.col("k")))
+    placed = in_order(first, [F.col(arrival)]).crossJoin(F.broadcast(last))  # one row
+    return placed.withColumn("evidence_id", numbered(F.col("last") + F.col("place")))
 
 
 def cited(docs: DataFrame) -> DataFrame:

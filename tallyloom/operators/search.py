@@ -79,10 +79,20 @@ def _overlaps_of(counted: DataFrame, targets: list[str], key: str) -> DataFrame:
     return both.groupBy("target", "candidate").agg(F.sum(F.least("ln", "rn")).alias("shared"))
 
 
-def head_candidates(bag: DataFrame, units: DataFrame, targets: list[str], k: int = 30) -> DataFrame:
+def named(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Candidates with display_name and commit of their work; the work's id and no commit where `names` has none."""
+    if names is None:
+        return rows.withColumns({"display_name": F.col("candidate"), "commit": F.lit("")})
+    known = names.select(F.col("work_id").alias("candidate"), F.col("display_name").alias("__name"), F.col("commit").alias("__commit"))
+    full = rows.join(known, "candidate", "left")
+    return full.withColumns({"display_name": F.coalesce("__name", "candidate"), "commit": F.coalesce("__commit", F.lit(""))}).drop("__name", "__commit")
+
+
+def head_candidates(bag: DataFrame, units: DataFrame, targets: list[str], k: int = 30, names: DataFrame | None = None) -> DataFrame:
     """The likeliest sources of each target at head: the better of the balanced blob and shape containments.
 
-    Candidates that share nothing stay in, with score 0; a work is never its own candidate.
+    Scores are rounded to six places; ties go by display name, then commit (`names`: work_id, display_name,
+    commit). Candidates that share nothing stay in, with score 0; a work is never its own candidate.
     """
     scored = None
     for name, rows, key in (("blob", bag, "blob"), ("shape", units, "shape")):
@@ -97,9 +107,9 @@ def head_candidates(bag: DataFrame, units: DataFrame, targets: list[str], k: int
         pairs = scored.select("target", "candidate").join(_overlaps_of(counted, targets, key), ["target", "candidate"], "left")
         full = bags.containment(pairs, total).select("target", "candidate", F.col("shared").alias(f"{name}_shared"), F.col("balanced").alias(f"{name}_balanced"))
         scored = scored.join(full, ["target", "candidate"])
-    scored = scored.withColumn("score", F.greatest("blob_balanced", "shape_balanced"))
-    top = bags.top_candidates(scored, [F.desc("score"), F.asc("candidate")], k)
-    return top.select("target", "candidate", "blob_shared", "shape_shared", "score", F.col("rank").cast("long").alias("rank"))
+    scored = named(scored.withColumn("score", F.round(F.greatest("blob_balanced", "shape_balanced"), 6)), names)
+    top = bags.top_candidates(scored, [F.desc("score"), F.asc("display_name"), F.asc("commit"), F.asc("candidate")], k)
+    return top.select("target", "candidate", "display_name", "commit", "blob_shared", "shape_shared", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def reachable(history: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -108,15 +118,18 @@ def reachable(history: DataFrame, wanted: DataFrame) -> DataFrame:
     return history.join(ids, "object_id", "left_semi").select("work_id", "object_id").distinct()
 
 
-def history_search(target: DataFrame, history: DataFrame, name: str, k: int | None = 30) -> DataFrame:
-    """Works whose history holds blobs of the target, best contained first; works without a hit are left out."""
+def history_search(target: DataFrame, history: DataFrame, name: str, k: int | None = 30, names: DataFrame | None = None) -> DataFrame:
+    """Works whose history holds blobs of the target, best contained first; works without a hit are left out.
+
+    Containment is rounded to six places; ties go by unique blobs, then display name.
+    """
     own = target.groupBy(F.col("blob").alias("object_id")).agg(F.count(F.lit(1)).alias("n"))
     total = own.agg(F.sum("n").alias("target_total"))
     hits = reachable(history.where(F.col("work_id") != name), target).join(own, "object_id")
     found = hits.groupBy(F.col("work_id").alias("candidate")).agg(F.count(F.lit(1)).alias("shared_unique"), F.sum("n").alias("shared"))
-    found = found.crossJoin(F.broadcast(total)).withColumn("containment", bags.ratio(F.col("shared"), F.col("target_total")))  # one row
-    found = found.select(F.lit(name).alias("target"), "candidate", "shared_unique", "shared", "target_total", "containment")
-    return found.orderBy(F.desc("containment"), F.desc("shared_unique"), "candidate").limit(k) if k else found
+    found = found.crossJoin(F.broadcast(total)).withColumn("containment", F.round(bags.ratio(F.col("shared"), F.col("target_total")), 6))  # one row
+    found = named(found, names).select(F.lit(name).alias("target"), "candidate", "display_name", "shared_unique", "shared", "target_total", "containment")
+    return found.orderBy(F.desc("containment"), F.desc("shared_unique"), "display_name", "candidate").limit(k) if k else found
 
 
 def history_matches(target: DataFrame, history: DataFrame, name: str) -> DataFrame:

@@ -117,7 +117,7 @@ def rules_base(spark, d):
 
 
 @query(
-    "WITH m AS (SELECT work_id, max(commit_text) AS locked_commit, 'r1' AS locked_ref FROM documents_md WHERE id % 3 = 0 GROUP BY work_id), b AS (SELECT d.*, CASE WHEN d.id % 2 = 0 THEN 'r1' ELSE 'r2' END AS ref, locked_commit, locked_ref FROM documents_md d LEFT JOIN m USING (work_id) WHERE d.id % 50 < 40 OR d.id < 20) "
+    "WITH m AS (SELECT work_id, max(commit_text) AS locked_commit, 'r1' AS locked_ref FROM documents_md WHERE id % 3 = 0 GROUP BY work_id), b AS (SELECT d.*, CASE WHEN d.id % 2 = 0 THEN 'r1' ELSE 'r2' END AS ref, locked_commit, locked_ref FROM documents_md d LEFT JOIN m USING (work_id)) "
     + _rules(
         ("base.manifest_missing", "locked_commit IS NULL", "work_id", "id", "b"),
         ("base.target_ref_mismatch", "locked_commit IS NOT NULL AND ref <> locked_ref", "ref", "id", "b"),

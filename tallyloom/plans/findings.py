@@ -115,7 +115,7 @@ def duplicate_keys(spark, d):
     return evidence.duplicates(numbered, "evidence_id")
 
 
-@query("SELECT pack, commit, author, subject, length(body) AS body_chars, coalesce(lag(commit) OVER (PARTITION BY author ORDER BY id), '') AS parent, author || ':' || substr(commit, 1, 12) AS locator FROM commits WHERE id < 5000")
+@query("SELECT pack, commit, author, subject, length(body) AS body_chars, coalesce(lag(commit) OVER (PARTITION BY author ORDER BY id), '') AS parent, author || ':' || substr(commit, 1, 12) AS locator FROM commits")
 def commit_meta(spark, d):
     return evidence.commit_rows(relation(spark, d, "commits"))
 
@@ -127,7 +127,11 @@ def commit_stats(spark, d):
     return evidence.commit_stats(relation(spark, d, "commits"))
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT n, {_SIGNATURE} AS signature FROM cards), k AS (SELECT signature, min(n) AS n FROM s GROUP BY signature),
+    a AS (SELECT signature, n, row_number() OVER (ORDER BY n) AS number FROM k)
+    SELECT n, signature, CASE WHEN number < 1000 THEN 'E' || lpad(number::VARCHAR, 3, '0') ELSE 'E' || number::VARCHAR END AS evidence_id FROM a"""
+)
 def evidence_stream(spark, d):
     """The evidence log fed as a stream: signatures seen before are dropped, ids are given batch by batch."""
     return ingest.run_once(relation(spark, d, "cards"), evidence.signature())

@@ -75,6 +75,12 @@ RELATIONS: dict[str, tuple[str, dict[str, str], str]] = {
         },
         "",
     ),
+    # the newest commit and the display name of a work; some works have none
+    "heads": (
+        "supplier",
+        {"work_id": "'w' || CAST(s_suppkey AS STRING)", "display_name": "'work ' || CAST(s_nationkey AS STRING)", "commit": "{s}s_name{e}"},
+        "s_suppkey % 7 <> 3",
+    ),
     "refs": (
         "orders",
         {"work_id": "'c' || CAST(o_custkey % 1400 AS STRING)", "ref": "'r' || CAST(o_orderkey % 5 AS STRING)", "commit": "{s}CAST(o_orderkey AS STRING){e}", "ord": "o_orderkey"},

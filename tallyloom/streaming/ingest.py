@@ -40,14 +40,16 @@ def start(lines: DataFrame, folder: str, signature: Column, arrival: str):
 
 
 def run_once(cards: DataFrame, signature: Column, arrival: str = "n", files: int = 3) -> DataFrame:
-    """Write cards as JSON lines in order of arrival, stream them into a new log and return it."""
+    """Write cards as JSON lines in `files` deliveries, in order of arrival, stream each into a new log and return it.
+
+    A delivery is read to its end before the next is written, so ids follow arrival and not the age of files.
+    """
     spark = cards.sparkSession
     folder = fresh_path(spark, "evidence")
     edges = cards.approxQuantile(arrival, [k / files for k in range(1, files)], 0.01)
     part = F.coalesce(sum(((F.col(arrival) > e).cast("int") for e in edges), F.lit(0)), F.lit(0))
-    for k in range(len(edges) + 1):  # the stream takes files by age, so they are written in order of arrival
-        cards.where(part == k).repartition(1).write.mode("append").json(f"{folder}/in")
     schema: StructType = cards.schema
-    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in")
-    start(lines, folder, signature, arrival).awaitTermination()
+    for k in range(len(edges) + 1):
+        cards.where(part == k).write.mode("append").json(f"{folder}/in")
+        start(spark.readStream.schema(schema).json(f"{folder}/in"), folder, signature, arrival).awaitTermination()
     return log_of(spark, folder, f"{arrival} long, signature string, evidence_id string, batch int").select(arrival, "signature", "evidence_id")
