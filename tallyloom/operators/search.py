@@ -105,11 +105,11 @@ def head_candidates(bag: DataFrame, units: DataFrame, targets: list[str], k: int
             scored = works.select(F.col("work_id").alias("candidate"), F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
             scored = scored.join(own, "target", "left_semi").where(F.col("target") != F.col("candidate"))
         pairs = scored.select("target", "candidate").join(_overlaps_of(counted, targets, key), ["target", "candidate"], "left")
-        full = bags.containment(pairs, total).select("target", "candidate", F.col("shared").alias(f"{name}_shared"), F.col("balanced").alias(f"{name}_balanced"))
+        full = bags.containment(pairs, total).select("target", "candidate", F.col("shared").alias(f"{name}_shared"), F.round("balanced", 6).alias(f"{name}_balanced"))
         scored = scored.join(full, ["target", "candidate"])
-    scored = named(scored.withColumn("score", F.round(F.greatest("blob_balanced", "shape_balanced"), 6)), names)
+    scored = named(scored.withColumn("score", F.greatest("blob_balanced", "shape_balanced")), names)
     top = bags.top_candidates(scored, [F.desc("score"), F.asc("display_name"), F.asc("commit"), F.asc("candidate")], k)
-    return top.select("target", "candidate", "display_name", "commit", "blob_shared", "shape_shared", "score", F.col("rank").cast("long").alias("rank"))
+    return top.select("target", "candidate", "display_name", "commit", "blob_shared", "shape_shared", "blob_balanced", "shape_balanced", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def reachable(history: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -375,7 +375,7 @@ def union_examples(spark, d):
       least(coalesce(b.shared, 0) / tn, coalesce(b.shared, 0) / cn) AS blob_balanced,
       least(CASE WHEN x.n > 0 THEN coalesce(u.shared, 0) / x.n ELSE 0 END, CASE WHEN y.n > 0 THEN coalesce(u.shared, 0) / y.n ELSE 0 END) AS shape_balanced
       FROM p LEFT JOIN b USING (target, candidate) LEFT JOIN u USING (target, candidate) LEFT JOIN ut x ON x.work_id = p.target LEFT JOIN ut y ON y.work_id = p.candidate)
-    SELECT target, candidate, coalesce(display_name, candidate) AS display_name, coalesce(commit, '') AS commit, blob_shared, shape_shared, round(greatest(blob_balanced, shape_balanced), 6) AS score,
+    SELECT target, candidate, coalesce(display_name, candidate) AS display_name, coalesce(commit, '') AS commit, blob_shared, shape_shared, round(blob_balanced, 6) AS blob_balanced, round(shape_balanced, 6) AS shape_balanced, round(greatest(blob_balanced, shape_balanced), 6) AS score,
     row_number() OVER (PARTITION BY target ORDER BY round(greatest(blob_balanced, shape_balanced), 6) DESC, coalesce(display_name, candidate), coalesce(commit, ''), candidate) AS rank
     FROM s LEFT JOIN heads ON work_id = candidate QUALIFY rank <= 30"""
 )
