@@ -76,8 +76,8 @@ def measures(docs: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> Data
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             "n_lines": F.size("__l").cast("long"),
-            "n_stop_words": F.size(F.filter("__w", lambda x: x.isin(stop))).cast("long"),
-            "n_alpha_words": F.size(F.filter("__w", lambda x: x.rlike("[A-Za-zÀ-ɏ]"))).cast("long"),
+            "n_stop_words": F.size(F.filter("__w", lambda x: F.lower(x).isin(stop))).cast("long"),
+            "n_alpha_words": F.size(F.filter("__w", lambda x: x.rlike(r"\p{L}"))).cast("long"),
         }
     )
     return at.drop("__t", "__w", "__l", "__h", "__p", "__r")
@@ -148,8 +148,8 @@ m AS (
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines,
     len(ls) AS n_lines,
-    len(list_filter(ws, lambda x: x IN ({", ".join(f"'{s}'" for s in dict.fromkeys(STOP_WORDS))}))) AS n_stop_words,
-    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-zÀ-ɏ]'))) AS n_alpha_words,
+    len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{s}'" for s in dict.fromkeys(STOP_WORDS))}))) AS n_stop_words,
+    len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_alpha_words,
     coalesce(r.n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN rep r USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM m)
