@@ -169,12 +169,6 @@ def ancestors(commits: DataFrame, start: int) -> DataFrame:
         hops, step = durable(after.select("id", "parent_id").distinct(), "hops"), step * 2
 
 
-def resolve_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """Calls joined to the function they name, where exactly one has that name."""
-    named = functions.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("callee_path")).where("n = 1").drop("n")
-    return calls.join(named, "symbol").select("symbol", "caller_path", "callee_path")
-
-
 def comparison(left: DataFrame, right: DataFrame) -> DataFrame:
     """The totals of a two-sided comparison, in one row."""
     n = lambda name: F.count(F.lit(1)).alias(name)

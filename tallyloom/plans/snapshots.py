@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
-from tallyloom.operators import bags, search
+from tallyloom.operators import bags, code_units, search
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapters import relation
 
@@ -427,16 +427,50 @@ def reachable_commits(spark, d):
     return search.ancestors(relation(spark, d, "commits").select("id", "parent_id"), 900)
 
 
-@query("WITH e AS (SELECT symbol AS name, count(*) AS n, min(path) AS path FROM units WHERE work_id = 'w1' GROUP BY symbol) SELECT u.symbol, u.path AS caller_path, e.path AS callee_path FROM units u JOIN e ON e.name = u.symbol AND e.n = 1 WHERE u.work_id = 'w2'")
+_FN = "'fn_' || CAST(id AS STRING)"
+_CALLS = f"""(SELECT work_id, path, {_FN} AS symbol, 'fn_' || CAST(id + 50 AS STRING) AS callee, id FROM code UNION ALL SELECT work_id, path, {_FN}, 'helper', id FROM code)"""
+_DEFINED = f"""(SELECT work_id, path, {_FN} AS symbol, 2 AS line, id FROM code UNION ALL SELECT work_id, path, 'helper', 7 - id % 2, id FROM code)"""
+
+
+@query(
+    f"""WITH e AS (SELECT * FROM {_CALLS} x), f AS (SELECT * FROM {_DEFINED} x), one AS (SELECT work_id, symbol, min(path) AS callee_path FROM f GROUP BY work_id, symbol HAVING count(*) = 1)
+    SELECT e.work_id, e.path, e.symbol, callee, callee_path FROM e JOIN one ON one.work_id = e.work_id AND one.symbol = callee"""
+)
 def call_resolution(spark, d):
-    left, right = sides(spark, d, "units")
-    return search.resolve_calls(left, right.select("symbol", F.col("path").alias("caller_path")))
+    found = code_units.resolved(code_units.extract(relation(spark, d, "code")))
+    return found.select("work_id", "path", "symbol", "callee", "callee_path")
 
 
-@query("SELECT work_id, path, array_to_string(list_sort(list_distinct(list(symbol))), ',') AS calls FROM units WHERE work_id IN ('w1', 'w2') GROUP BY work_id, path")
+@query(
+    f"""WITH e AS (SELECT * FROM {_CALLS} x), f AS (SELECT * FROM {_DEFINED} x), one AS (SELECT work_id, symbol FROM f GROUP BY work_id, symbol HAVING count(*) = 1),
+    o AS (SELECT work_id, path, symbol, string_agg(DISTINCT callee, ',' ORDER BY callee) AS outgoing FROM e GROUP BY ALL),
+    i AS (SELECT e.work_id, callee AS symbol, string_agg(DISTINCT e.symbol, ',' ORDER BY e.symbol) AS incoming FROM e JOIN one ON one.work_id = e.work_id AND one.symbol = callee GROUP BY ALL)
+    SELECT f.work_id, f.path, f.symbol, coalesce(outgoing, '') AS outgoing, coalesce(incoming, '') AS incoming
+    FROM f LEFT JOIN o USING (work_id, path, symbol) LEFT JOIN i ON i.work_id = f.work_id AND i.symbol = f.symbol"""
+)
 def call_sets(spark, d):
-    some = relation(spark, d, "units").where(F.col("work_id").isin(LEFT, RIGHT))
-    return some.groupBy("work_id", "path").agg(F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("calls"))
+    found = code_units.units(code_units.extract(relation(spark, d, "code")))
+    return found.select("work_id", "path", "symbol", F.array_join("outgoing_names", ",").alias("outgoing"), F.array_join("incoming_names", ",").alias("incoming"))
+
+
+@query(
+    f"""WITH f AS (SELECT * FROM {_DEFINED} x)
+    SELECT f.work_id, f.path, symbol, CASE WHEN c.id % 2 = 0 THEN 'c' ELSE 'rust' END AS lang, f.line::INT AS line, (CASE WHEN symbol = 'helper' THEN f.line WHEN c.id % 2 = 0 THEN 6 ELSE 5 END)::INT AS end_line,
+    CASE WHEN symbol = 'helper' THEN '' ELSE array_to_string(list_sort(['"' || p_brand || '"', CAST(p_size AS VARCHAR)]), '|') END AS literals, blob
+    FROM f JOIN code c ON c.path = f.path JOIN part ON p_partkey = c.id"""
+)
+def code_functions(spark, d):
+    """Functions of C and Rust sources with their lines and literals."""
+    found = code_units.units(code_units.extract(relation(spark, d, "code")))
+    return found.select("work_id", "path", "symbol", "lang", "line", "end_line", F.array_join("literals", "|").alias("literals"), "blob")
+
+
+@query("SELECT lang, symbol, count(*) AS n, 1 AS shapes FROM (SELECT CASE WHEN id % 2 = 0 THEN 'c' ELSE 'rust' END AS lang, unnest(['fn', 'helper']) AS symbol FROM code) GROUP BY lang, symbol")
+def code_shapes(spark, d):
+    """Functions that differ in names and constants alone have one shape."""
+    found = code_units.units(code_units.extract(relation(spark, d, "code")))
+    kind = F.regexp_extract("symbol", "^[a-z]+", 0)
+    return found.groupBy("lang", kind.alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("shape").cast("int").alias("shapes"))
 
 
 @query(

@@ -53,7 +53,7 @@ def asm_shape(spark, d):
 @query()
 def asm_units(spark, d):
     """One unit for each label block with enough items; blocks by a running count of labels."""
-    return units.assembly_units(relation(spark, d, "sources"), least=6)
+    return units.assembly_units(relation(spark, d, "sources"))
 
 
 @query()

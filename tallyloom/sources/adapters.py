@@ -161,6 +161,25 @@ RELATIONS: dict[str, tuple[str, dict[str, str], str]] = {
         },
         "",
     ),
+    # two functions a file: one calls its namesake fifty parts on, which lies in the same work, and a helper that many files define
+    "code": (
+        "part",
+        {
+            "id": "p_partkey",
+            "work_id": "'w' || CAST(p_partkey % 50 AS STRING)",
+            "path": "'src/p' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN '.c' ELSE '.rs' END",
+            "blob": "{s}'c' || CAST(p_partkey AS STRING){e}",
+            "text": (
+                f"CASE WHEN p_partkey % 2 = 0 THEN '#include <x.h>' {_N} 'static int fn_' || CAST(p_partkey AS STRING) || '(int a) /* {{{{ */' {_N} chr(123) {_N} "
+                f"'  if (a > ' || CAST(p_size AS STRING) || ') return helper(a, \"' || p_brand || '\");' {_N} '  return fn_' || CAST(p_partkey + 50 AS STRING) || '(a);' {_N} chr(125) {_N} "
+                f"'int helper(int x, const char *s) ' || chr(123) || ' return x; ' || chr(125) "
+                f"ELSE '// fn no() ' || chr(123) {_N} 'pub fn fn_' || CAST(p_partkey AS STRING) || '(a: u32) -> u32 ' || chr(123) {_N} "
+                f"'    if a > ' || CAST(p_size AS STRING) || ' ' || chr(123) || ' return util::helper(a, \"' || p_brand || '\"); ' || chr(125) {_N} '    fn_' || CAST(p_partkey + 50 AS STRING) || '(a)' {_N} chr(125) {_N} "
+                f"'fn helper(x: u32, s: &str) -> u32 ' || chr(123) || ' x ' || chr(125) END"
+            ),
+        },
+        "",
+    ),
     "texts": ("documents", {"doc_id": "doc_id", "work_id": "source", "text": "text", "lang": "lang"}, ""),
 }
 

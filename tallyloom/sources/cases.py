@@ -33,9 +33,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def touch(spark: SparkSession, path: str) -> None:
-    """Make an empty file where there is none."""
+    """Make a file of one blank line where there is none (Spark's readers pass over files without bytes)."""
     if not exists(spark, path):
-        put_text(spark, path, "")
+        put_text(spark, path, "\n")
 
 
 def put_records(rows: DataFrame, root: str, name: str, key: str = "case_id", text: str = "text") -> int:
