@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import texts as T
 
 #: The order of a case's fixed documents.
-FIXED = ("identity.md", "base.md", "contradictions.md", "report.md")
+FIXED = ("identity.md", "base.md", "report.md", "issues/contradictions.md")
 
 
 def heading_rows(docs: DataFrame) -> DataFrame:
@@ -86,11 +86,19 @@ def labels_in(text: Column, labels: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(form.contains(x), F.lit(x)) for x in labels]))
 
 
-def line_span(rows: DataFrame, key: str, start: int, end: int, text: str = "text") -> DataFrame:
-    """Lines start to end (1-based, inclusive) of each text; what lies past its end is left out."""
+def line_span(rows: DataFrame, key: str, start: int, end: int, text: str = "text", strict: bool = False) -> DataFrame:
+    """Lines start to end (1-based, inclusive) of each text, without a last one that is empty.
+
+    What lies past a text's end is left out, or an error if `strict`. Requests that differ by text are
+    for `capture.span_cards`.
+    """
     if start < 1 or end < start:
         raise ValueError(f"no such line range: {start}:{end}")
-    own = F.slice(F.split(F.coalesce(text, F.lit("")), "\n", -1), start, end - start + 1)
+    lines = T.lines(F.col(text))
+    own = F.slice(lines, start, end - start + 1)
+    if strict:
+        past = F.concat(F.lit("past the end: "), F.size(lines).cast("string"), F.lit(" lines"))
+        own = F.when(F.size(lines) < end, F.raise_error(past)).otherwise(own)
     return rows.select(key, F.posexplode(own).alias("n", "line")).select(key, (F.col("n") + start).alias("n"), "line")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import evidence, report, rules
 from tallyloom.plans.findings import _REFS, _REGISTRY
 from tallyloom.plans.registry import query
-from tallyloom.plans.texts import _HEADS, _LEN
+from tallyloom.plans.texts import _BARE, _FORK, _HEADS, _LEN
 from tallyloom.sources.adapters import relation
 
 MODULES = {"memory": ["node-1", "node-2"], "scheduler": ["node-3", "node-4"], "network": ["node-5"]}
@@ -186,7 +186,12 @@ def rules_graph(spark, d):
     return rules.architecture_graph(relation(spark, d, "documents_md"))
 
 
-@query()
+@query(
+    _rules(
+        ("identity.platform_fork_leak", f"path <> 'identity.md' AND regexp_matches(body, '{_FORK}')", "''", "id", "documents_md"),
+        ("identity.bare_suffix_name", f"path <> 'identity.md' AND regexp_matches(body, '{_BARE}')", "''", "id", "documents_md"),
+    )
+)
 def rules_leaks(spark, d):
     return rules.leaks(relation(spark, d, "documents_md"))
 

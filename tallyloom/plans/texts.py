@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
-from tallyloom.operators import markdown, units
+from tallyloom.operators import code_units, markdown, units
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapters import relation
 
@@ -50,7 +50,18 @@ def asm_shape(spark, d):
     return units.whole_shape(relation(spark, d, "sources"))
 
 
-@query()
+_BLOCKS = (
+    """SELECT l.id, n, line, regexp_matches(line, '""" + T.LABEL + """') AS is_label, count(*) FILTER (regexp_matches(line, '""" + T.LABEL + """')) OVER (PARTITION BY l.id ORDER BY n) AS block
+    FROM (""" + _LINES + """) l WHERE line <> ''"""
+)
+
+
+@query(
+    f"""WITH b AS ({_BLOCKS}), i AS ({_ITEMS}),
+    u AS (SELECT b.id, block::BIGINT AS block, coalesce(max(CASE WHEN is_label THEN regexp_extract(line, '{T.LABEL}', 1) END), '(file)') AS label, sum(coalesce(len(items), 0))::INT AS n_items, string_agg(array_to_string(items, ' '), ' ' ORDER BY b.n) AS text
+      FROM b LEFT JOIN i ON i.id = b.id AND i.n = b.n GROUP BY b.id, block)
+    SELECT id, block, label, n_items, sha256(text) AS shape, 'unit_' || substr(sha256(id || chr(0) || label || chr(0) || 'asm'), 1, 16) AS unit_id FROM u WHERE n_items >= {units.LEAST_ITEMS}"""
+)
 def asm_units(spark, d):
     """One unit for each label block with enough items; blocks by a running count of labels."""
     return units.assembly_units(relation(spark, d, "sources"))
@@ -68,15 +79,21 @@ def dom_shape(spark, d):
     return units.dom_shapes(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html")
 
 
-@query()
+@query(
+    r"""SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(text, '"([^"
+]*)"', 1), regexp_extract_all(text, '\b[0-9]+\b')), lambda x: trim(x)), lambda x: len(x) BETWEEN 1 AND 200))), '|') AS literals FROM sources"""
+)
 def literal_set(spark, d):
     return relation(spark, d, "sources").select("id", F.array_join(T.literals(F.col("text")), "|").alias("literals"))
 
 
-@query("SELECT symbol, count(*) AS n FROM (SELECT event_type AS symbol FROM events) WHERE symbol NOT IN ('if', 'for', 'while', 'switch', 'return', 'view', 'loop', 'match') GROUP BY symbol")
+_SYMBOL = "CASE id % 4 WHEN 0 THEN 'while' WHEN 1 THEN 'println' WHEN 2 THEN 'Self' ELSE subject END"
+
+
+@query(f"SELECT symbol, count(*) AS n FROM (SELECT {_SYMBOL} AS symbol FROM commits) WHERE symbol NOT IN ({', '.join(repr(k) for k in sorted(code_units.NO_NAMES))}) GROUP BY symbol")
 def keyword_filter(spark, d):
-    at = relation(spark, d, "commits").select(F.col("subject").alias("symbol"))
-    return units.without_keywords(at, "symbol", ("if", "for", "while", "switch", "return", "view", "loop", "match")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    at = relation(spark, d, "commits").selectExpr(f"{_SYMBOL} AS symbol")
+    return units.without_keywords(at, "symbol", tuple(code_units.NO_NAMES)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM texts")
@@ -85,7 +102,8 @@ def content_hash(spark, d):
 
 
 @query(
-    """SELECT doc_id, n, line FROM (SELECT doc_id, unnest(range(1, len(ls) + 1))::INT AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM texts))
+    """SELECT doc_id, n, line FROM (SELECT doc_id, unnest(range(1, len(ls) + 1))::INT AS n, unnest(ls) AS line
+      FROM (SELECT doc_id, CASE WHEN s[-1] = '' THEN s[1 : len(s) - 1] ELSE s END AS ls FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM texts)))
     WHERE n BETWEEN 2 AND 4"""
 )
 def line_span(spark, d):
@@ -192,7 +210,10 @@ def code_anchors(spark, d):
     return documents(spark, d).select("id", F.array_join(T.code_anchors(F.col("body")), "|").alias("anchors"))
 
 
-@query()
+_FORK, _BARE = r"\bT20[0-9]{10,}-[0-9]+\b", r"(^|[^A-Za-z0-9])[0-9]{2,4}\s*(作品|队伍|仓库|报告)"
+
+
+@query(f"SELECT id, regexp_matches(body, '{_FORK}') AS fork_id, regexp_matches(body, '{_BARE}') AS bare_suffix FROM documents_md")
 def leak_scan(spark, d):
     body = F.col("body")
     return documents(spark, d).select("id", body.rlike(T.FORK_ID).alias("fork_id"), body.rlike(T.BARE_SUFFIX).alias("bare_suffix"))
@@ -208,7 +229,7 @@ def markdown_scan(spark, d):
     return markdown.parsed(markdown.whole_text(documents(spark, d)))
 
 
-@query()
+@query("SELECT id, path, CASE WHEN path LIKE 'modules/%' THEN 100 ELSE 200 END::BIGINT AS rank FROM documents_md WHERE path LIKE 'modules/%' OR path LIKE 'findings/%'")
 def document_set(spark, d):
     """The documents of a case in their fixed order: named files, then modules, then findings."""
     return markdown.document_set(documents(spark, d))
