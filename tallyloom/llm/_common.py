@@ -120,16 +120,14 @@ HOT = 2000
 
 
 def by_key(rows: DataFrame, known: DataFrame, key: str, n: str) -> DataFrame:
-    """`rows` with what `known`, one row a key, says of their key; column `n` of known tells how many rows a key has at most.
+    """`rows` with what `known` (a written table, one row a key) says of their key; its column `n` is the rows of a key.
 
     What is known of hot keys, under `HOT` rows whatever the tables' sizes, is broadcast, so the rows
     of a hot key stay where they are; all others meet by a shuffle.
     """
-    total = known.agg(F.sum(n).alias("__total"))
-    judged = known.join(F.broadcast(total)).withColumn("__hot", F.col(n).cast("double") * HOT > F.col("__total")).drop("__total")  # one row
-    hot = F.broadcast(judged.where("__hot").drop("__hot", n))
-    cold = judged.where(~F.col("__hot")).drop("__hot", n)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    most = (known.agg(F.sum(n)).first()[0] or 0) / HOT
+    hot = F.broadcast(known.where(F.col(n) > most).drop(n))
+    rest = rows.join(hot, key, "left_anti").join(known.where(F.col(n) <= most).drop(n), key)
     return rows.join(hot, key).unionByName(rest)
 
 

@@ -3,8 +3,9 @@
 Each round relinks every node to the smallest of its neighbours (large star, then small star) with
 two partial aggregations and two joins on the node. The number of rounds grows with the logarithm
 of a component's diameter. Each round's links are written to the shared folder, so lineage stays
-short and a lost executor costs one round at most. The hub of a large component is a hot key: what
-is known of it is broadcast (`by_key`). Nothing but row counts reaches the driver.
+short and a lost executor costs one round at most. The hub of a large component is a hot key of an
+inner sort-merge join, which Spark's adaptive skew join splits. Nothing but row counts reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -12,22 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_key, durable
+from ._common import durable
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the smallest of the node and its neighbours."""
     both = links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select(F.col("y").alias("u"), F.col("x").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    up = by_key(both.where(F.col("v") > F.col("u")), low, "u", "n")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    up = both.where(F.col("v") > F.col("u")).join(low, "u")
     return up.select(F.col("m").alias("x"), F.col("v").alias("y")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its neighbours below it are linked to the smallest of them."""
     down = links.select(F.col("y").alias("u"), F.col("x").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    rest = by_key(down, low, "u", "n").where(F.col("v") != F.col("m")).select(F.col("m").alias("x"), F.col("v").alias("y"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    rest = down.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("m").alias("x"), F.col("v").alias("y"))
     return rest.union(low.select(F.col("m").alias("x"), F.col("u").alias("y"))).distinct()
 
 

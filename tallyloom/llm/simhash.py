@@ -181,8 +181,8 @@ def group_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     links = durable(near_pairs(first), "links")
     moved = component_labels(links, "x", "y")  # only fingerprints that have a link
     moved = durable(moved.join(first, moved["node"] == first["fp"]).select("fp", F.col("label").alias("part"), "first", "n"), "moved")
-    least = moved.groupBy("part").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("many"))
-    named = by_key(moved.select("fp", "part"), least, "part", "many")
+    least = moved.groupBy("part").agg(F.min("first").alias("component_id"))
+    named = moved.select("fp", "part").join(least, "part")
     known = first.join(named, "fp", "left")
     component = F.when(F.col("part").isNull(), F.col("first")).otherwise(F.col("component_id"))
     known = durable(known.select("fp", F.coalesce("part", "fp").alias("part"), component.alias("component_id"), "n"), "known")
