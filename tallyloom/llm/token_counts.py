@@ -36,7 +36,7 @@ from .wordstream import Memo, Pretokenizer, Words, byte_letters, slices
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 #: States kept before the tables are started anew; bounds a worker's memory.
-MOST_STATES = 100_000
+MOST_STATES = 250_000
 CHUNK = 1 << 12
 _END, _NONE = 256, -1
 #: A state: for each start a token can grow from, its place in the trie, the token before it and the count there.
@@ -61,9 +61,12 @@ class Transducer:
         vocab = model["vocab"]
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        #: How a token is made and when; made in two ways, whole words decide on pairs instead.
+        self.made = {new: (rank, a, b) for (a, b), (rank, new) in self.merge.items()}
+        self.one_way = len(self.made) == len(self.merge)
         self.base = {s[0]: i for i, s in self.text.items() if len(s) == 1}
         self.trie: dict[int, int] = {}
-        self.token = [_NONE]
+        self.token, self.inner = [_NONE], [False]
         for i, s in self.text.items():
             node = 0
             for x in s:
@@ -71,6 +74,8 @@ class Transducer:
                 if after is None:
                     after = self.trie[node << 9 | x] = len(self.token)
                     self.token.append(_NONE)
+                    self.inner.append(False)
+                    self.inner[node] = True
                 node = after
             self.token[node] = i
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -101,9 +106,25 @@ class Transducer:
             want = [token] if before == _NONE else [before, token]
             if len(self.pairs) > 4 * MOST_STATES:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged(alone + self.text[token]) == want
+            decide = self._apart(before, token) if before != _NONE and self.one_way else self.merged(alone + self.text[token]) == want
+            known = self.pairs[key] = decide
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge across the border comes before one that makes the two tokens, seen by undoing their last merges in turn."""
+        limit, base = 1 << 62, (-1, 0, 0)
+        while True:
+            across = self.merge.get((a, b))
+            if across is not None and across[0] < limit:
+                return False
+            left, right = self.made.get(a, base), self.made.get(b, base)
+            if left[0] > right[0]:
+                limit, a = left[0], left[2]
+            elif right[0] >= 0:
+                limit, b = right[0] + 1, right[1]  # the same merge further left comes first
+            else:
+                return True
+
     def _stand(self, state: State, symbol: int) -> tuple[list, int, int]:
         """After a symbol: what can still grow, the token that stands last, and the tokens emitted."""
         grown, last, emitted = [], _NONE, 0
@@ -111,7 +132,8 @@ class Transducer:
             after = self.trie.get(node << 9 | symbol)
             if after is None:
                 continue
-            grown.append((after, before, count))
+            if self.inner[after]:
+                grown.append((after, before, count))
             token = self.token[after]
             if last == _NONE and token != _NONE and self.valid(_NONE, token) and (before == _NONE or self.valid(before, token)):
                 last, emitted = token, count + 1
