@@ -3,40 +3,41 @@
 On unit vectors a cosine of at least c is a distance of at most t = sqrt(2 - 2c), a metric, so
 covering radii prune: nothing under nodes a and b can link if d(a, b) - r(a) - r(b) > t.
 
-Equal vectors of a label are first made one. Labels are dealt into blocks of about `BLOCK`
-vectors: the top levels of a label's tree are pivots (farthest-first, so nested nets with falling
-radii) fitted on a bounded sample; every vector belongs to its nearest pivot's cell, and a cell too
-large for a block is split by a hash. A vector is sent to its own block and to each block whose
-cell's covering radius it comes within t of; one task holds two blocks at most, however hot a label
-or a group of near copies. There a cover tree is built of each side, levels with halving radii, and
-the two are traversed together; leaf pairs that survive are decided by the cosine in double
-precision. A task returns link counts and a spanning forest of its links, never all pairs, so the
-output grows with the vectors and not with the square of a dense group.
-
-In data without structure (independent random directions) no bound prunes and the block pairs of a
-label grow with the square of its number of blocks; that is the nature of the exact problem.
+Equal vectors of a label are first made one. The top of each label's tree is grown level by level
+over the cluster, as far down as it takes: a cell of more than `BLOCK` vectors gets up to `FAN`
+pivots of its own (farthest first over a sample of it), every vector's home is its nearest pivot's
+cell, and it visits each other cell whose covering radius it comes within t of. A cell whose vectors
+all lie within t / 2 of one of them is settled at once: there every pair links, so counts and a
+spanning star are sums. What is left are cells of at most a block: a cover tree is built of the
+cell's own vectors and one of its visitors (block by block), levels with halving radii, and the two
+are traversed together; leaf pairs that survive are decided by the cosine in double precision. No
+task holds more than two blocks, however hot a label or a group of near copies. A task returns the
+link counts of its cell's own vectors and a spanning forest, never all pairs.
+
+In data without structure (independent random directions) no bound prunes and vectors visit all
+cells of their label, so work grows with the square of the label there; that is the nature of the
+exact problem.
 
 Defined results: a vector that is null, zero or holds null or non-finite components, or has no
-label, links with nothing; vectors of different length don't link; repeated vec_ids are rows of
-their own.
+label or no vec_id, links with nothing and is counted by none; vectors of different length don't
+link; repeated vec_ids are rows of their own and link like others of their vector.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import durable, small_batches, table
+from ._common import durable, table
 from .components import component_labels
 
 COSINE = 0.98
-#: Vectors of a block; pivots in all (and 8 sampled vectors for each) that the driver holds.
-BLOCK, MOST_PIVOTS = 2048, 2048
+#: Vectors of a block; pivots of a cell at most, and sampled vectors for each; vectors that a task measures at once.
+BLOCK, FAN, SAMPLED, RUN = 2048, 32, 8, 8192
 LEAF = 8
 _SLACK = 1e-6
 
@@ -137,19 +138,22 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return kept
 
 
-def block_links(reps: np.ndarray, copies: np.ndarray, x: np.ndarray, side: np.ndarray, alone: bool, cosine: float) -> dict[str, np.ndarray]:
-    """Link counts (rep, added) and a forest (x, y) of what one pair of blocks links."""
+def block_links(reps: np.ndarray, copies: np.ndarray, x: np.ndarray, home: np.ndarray, inner: bool, cosine: float) -> dict[str, np.ndarray]:
+    """Link counts (rep, added) of the home vectors of a block and a forest (x, y) of their links, with each other if `inner` and with visitors."""
     reach, norm = math.sqrt(2 - 2 * cosine), np.sqrt((x * x).sum(1))
     unit = x / norm[:, None]
-    first = np.flatnonzero(side == 0)
-    one = CoverTree(unit[first])
-    if alone:
-        i, j = links_between(one, one, reach)
-        i, j = first[i], first[j]
-    else:
-        second = np.flatnonzero(side == 1)
-        i, j = links_between(one, CoverTree(unit[second]), reach)
-        i, j = first[i], second[j]
+    first, second = np.flatnonzero(home), np.flatnonzero(~home)
+    own = CoverTree(unit[first])
+    left, right = [np.empty(0, int)], [np.empty(0, int)]
+    if inner:
+        i, j = links_between(own, own, reach)
+        left.append(first[i])
+        right.append(first[j])
+    if len(second):
+        i, j = links_between(own, CoverTree(unit[second]), reach)
+        left.append(first[i])
+        right.append(second[j])
+    i, j = np.concatenate(left), np.concatenate(right)
     keep = np.zeros(len(i), bool)
     for k in range(0, len(i), 1 << 16):
         p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
@@ -157,7 +161,8 @@ def block_links(reps: np.ndarray, copies: np.ndarray, x: np.ndarray, side: np.nd
     i, j = i[keep], j[keep]
     added = np.zeros(len(reps), np.int64)
     np.add.at(added, i, copies[j])
-    np.add.at(added, j, copies[i])
+    both = home[j]
+    np.add.at(added, j[both], copies[i[both]])
     tree, some = _forest(len(reps), i, j), np.flatnonzero(added)
     return {
         "x": np.concatenate((reps[some], reps[i[tree]])),
@@ -172,139 +177,140 @@ def usable(vector: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _pivots(distinct: DataFrame, block: int, most: int) -> tuple[dict, DataFrame | None]:
-    """The top of each large label's tree: pivots by farthest-first traversal of a bounded sample.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    held = column.combine_chunks()
+    return np.asarray(held.flatten(), float).reshape(len(held), -1)
+
+
+def _share(rows: DataFrame, salt: int) -> Column:
+    """A number in [0, 1) for each vector, the same in every run."""
+    return F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(1 << 40)) / float(1 << 40)
+
 
-    Of more than `most` large labels the largest get pivots; the others come back as a table
-    (label, dim, splits) and are dealt by hash alone, every pair of their blocks compared.
+def _measured(rows: DataFrame, cells: DataFrame, block: int, fan: int) -> DataFrame:
+    """Rows of open cells with their distances `d` to the cell's pivots and the nearest one, `child`.
+
+    `cells` holds (node, n, total), the home vectors and all rows of each. A cell in whose sample all
+    vectors are one has no second pivot; it is dealt by hash.
     """
-    large = distinct.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    big = large.orderBy(F.desc("n"), "label", "dim").limit(most + 1).collect()
-    if not big:
-        return {}, None
-    rest = None
-    if len(big) > most:
-        big = big[:most]
-        keys = distinct.sparkSession.createDataFrame([(r["label"], r["dim"]) for r in big], large.select("label", "dim").schema)
-        others = durable(large, "large").join(F.broadcast(keys), ["label", "dim"], "left_anti")
-        rest = others.select("label", "dim", F.ceil(F.col("n") / block).cast("int").alias("splits"))
-    each = max(1, most // len(big))
-    want = {(r["label"], r["dim"]): min(each, -(-r["n"] // block)) for r in big}
-    share = F.create_map(*[F.lit(v) for r in big for v in (f"{r['label']}:{r['dim']}", 8.0 * want[r["label"], r["dim"]] / r["n"])])
-    dealt = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
-    sample = distinct.where(dealt < F.coalesce(share[F.concat_ws(":", "label", "dim")], F.lit(0.0)))
-    found: dict = {}
-    for r in sample.select("label", "dim", "rep", "vector").orderBy("rep").collect():  # about 8 a pivot
-        found.setdefault((r["label"], r["dim"]), []).append(r["vector"])
-    out = {}
-    for key, rows in found.items():
-        x = _unit(np.array(rows, float))
+    want = F.least(F.lit(fan), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / block))).cast("int")
+    cells = cells.withColumns({"want": want, "runs": F.ceil(F.col("total") / RUN).cast("int")})
+    joined = rows.join(cells, "node")
+    sample = joined.where(F.col("home") & (_share(rows, 5) < SAMPLED * F.col("want") / F.col("n"))).select("node", "want", "rep", "vector")
+
+    def pick(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rep")
+        x = _unit(_matrix(group.column("vector")))
         picked, d = [0], _far(x[:1], x)[0]
-        while len(picked) < min(want[key], len(x)):
+        while len(picked) < group.column("want")[0].as_py() and d.max() > 1e-7:
             picked.append(int(d.argmax()))
             d = np.minimum(d, _far(x[picked[-1:]], x)[0])
-        out[key] = x[picked]
-    return out, rest
-
-
-def link(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK, most: int = MOST_PIVOTS) -> DataFrame:
+        return pa.table({"node": group.column("node")[:1], "pivots": pa.array([x[picked].ravel().tolist()], pa.list_(pa.float64())), "k": pa.array([len(picked)], pa.int32())})
+
+    pivots = durable(sample.groupBy("node").applyInArrow(pick, "node string, pivots array<double>, k int"), "pivots")
+    # an unlucky cell may have no sample: then any of its vectors will do
+    lacking = joined.where("home").join(pivots, "node", "left_anti").groupBy("node").agg(F.min_by("vector", "rep").alias("v"))
+    lacking = lacking.select("node", F.transform("v", lambda x: x.cast("double")).alias("pivots"), F.lit(1).alias("k"))
+    dealt = pivots.union(lacking).join(cells.select("node", "runs", "want"), "node").withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    salted = joined.withColumn("run", F.floor(_share(rows, 7) * F.col("runs")).cast("int")).select("node", "run", "rep", "copies", "vector", "home")
+    kind = rows.schema["vector"].dataType.simpleString()
+
+    def measure(own: pa.Table, known: pa.Table) -> pa.Table:
+        n, k = own.num_rows, known.column("k")[0].as_py() if known.num_rows else 0
+        if not n or not k:
+            own = own.slice(0, 0)
+            d = np.empty((0, 1))
+            child = np.empty(0, int)
+        elif k == 1:
+            d = np.tile(_far(_unit(_matrix(own.column("vector"))), _unit(np.array([known.column("pivots")[0].as_py()], float))), (1, known.column("want")[0].as_py()))
+            child = own.column("rep").to_numpy() % d.shape[1]
+        else:
+            d = _far(_unit(_matrix(own.column("vector"))), np.array(known.column("pivots")[0].as_py()).reshape(k, -1))
+            child = d.argmin(1)
+        size = d.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * (len(d) + 1), size, dtype=np.int32)), pa.array(d.ravel()))
+        kept = own.select(["node", "rep", "copies", "vector", "home"])
+        return kept.append_column("child", pa.array(child.astype(np.int32))).append_column("d", lists)
+
+    measured = salted.groupBy("node", "run").cogroup(dealt.groupBy("node", "run")).applyInArrow(measure, f"node string, rep long, copies long, vector {kind}, home boolean, child int, d array<double>")
+    return durable(measured, "measured")
+
+
+def _grown(distinct: DataFrame, reach: float, block: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """Leaf rows (node, rep, copies, vector, home, dense) and the links that dense cells give."""
+    node = F.concat_ws(":", F.col("label").cast("string"), F.col("dim").cast("string"))
+    rows = durable(distinct.select(node.alias("node"), "rep", "copies", "vector", F.lit(True).alias("home")), "rows")
+    leaves, settled = [], []
+    columns = ["node", "rep", "copies", "vector", "home"]
+    while True:
+        size = rows.groupBy("node").agg(F.count_if("home").alias("n"), F.count(F.lit(1)).alias("total"))
+        cells = durable(size.where(F.col("n") > block), "cells")
+        if cells.isEmpty():
+            leaves.append(rows.withColumn("dense", F.lit(False)))
+            break
+        leaves.append(rows.join(cells.select("node"), "node", "left_anti").withColumn("dense", F.lit(False)))
+        measured = _measured(rows, cells, block, fan)
+        radius = measured.where("home").groupBy("node", "child").agg(F.max(F.col("d")[F.col("child")]).alias("r"), F.max(F.col("d")[0]).alias("far"))
+        radius = radius.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("child", "r"))).alias("radii"), F.max("far").alias("far"))
+        radius = durable(radius.withColumn("dense", F.col("far") + _SLACK <= reach / 2), "radii")
+        dense = measured.join(radius.where("dense").select("node"), "node", "left_semi")
+        leaves.append(dense.select(*columns, F.lit(True).alias("dense")))
+        every = dense.where("home").groupBy("node").agg(F.sum("copies").alias("all"), F.min("rep").alias("first"))
+        star = dense.where("home").join(every, "node")
+        settled.append(star.select(F.col("rep").alias("x"), F.col("rep").alias("y"), (F.col("all") - F.col("copies")).alias("added")).where("added > 0"))
+        settled.append(star.where("rep <> first").select(F.col("first").alias("x"), F.col("rep").alias("y"), F.lit(0).cast("long").alias("added")))
+        open_rows = measured.join(radius.where("NOT dense").select("node", "radii"), "node")
+        near = F.filter(F.map_entries("radii"), lambda e: (F.col("d")[e["key"]] <= e["value"] + reach + _SLACK) | (F.col("home") & (e["key"] == F.col("child"))))
+        each = open_rows.select("node", "rep", "copies", "vector", "home", "child", F.explode(F.transform(near, lambda e: e["key"])).alias("to"))
+        rows = each.select(F.concat_ws("/", "node", F.col("to").cast("string")).alias("node"), "rep", "copies", "vector", (F.col("home") & (F.col("to") == F.col("child"))).alias("home"))
+        rows = durable(rows, "rows")
+    leaf = leaves[0]
+    for more in leaves[1:]:
+        leaf = leaf.unionByName(more)
+    return leaf, functools.reduce(DataFrame.unionByName, settled) if settled else None
+
+
+def link(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(x, y, added) rows from distinct (label, dim, rep, copies, vector): counts have x = y, forest links not."""
-    small_batches(distinct.sparkSession)
-    (pivots, rest), reach = _pivots(distinct, block, most), math.sqrt(2 - 2 * cosine)
-    kind = distinct.schema["label"].dataType.simpleString()
-
-    def cells(batch: pa.RecordBatch) -> Iterator[tuple[tuple, np.ndarray, np.ndarray, np.ndarray | None]]:
-        """(label key, rows, home cell, distances to the pivots) for each label in a batch."""
-        keys: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            keys.setdefault(key, []).append(i)
-        for key, rows in keys.items():
-            own = pivots.get(key)
-            if own is None:
-                yield key, np.array(rows), np.zeros(len(rows), int), None
-                continue
-            x = np.array(batch.column(4).take(pa.array(rows)).to_pylist(), float)
-            d = _far(_unit(x), own)
-            yield key, np.array(rows), d.argmin(1), d
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, _, home, d in cells(batch):
-                if d is not None:
-                    n = len(home)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f"{key[0]}:{key[1]}"] * n), pa.array(home), pa.array(d[np.arange(n), home])], ["key", "cell", "far"]
-                    )
-
-    size: dict = {}
-    if pivots:
-        seen = distinct.mapInArrow(measure, "key string, cell long, far double").groupBy("key", "cell")
-        for r in seen.agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row a pivot
-            size[r["key"], r["cell"]] = (r["far"], max(1, -(-r["n"] // block)))
-    shape = {}
-    for key, own in pivots.items():
-        known = [size.get((f"{key[0]}:{key[1]}", c), (0.0, 0)) for c in range(len(own))]
-        n = np.array([k[1] for k in known])
-        shape[key] = (np.array([k[0] for k in known]), n, np.cumsum(n) - n)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            salt, splits = batch.column(5).to_numpy(), batch.column(6).to_numpy()
-            for key, rows, home, d in cells(batch):
-                if d is None:
-                    n = int(splits[rows[0]])
-                    mine = salt[rows] % n
-                    parts = [(rows, mine, mine, np.zeros(len(rows), int))]
-                    for other in range(n):
-                        some = np.flatnonzero(mine != other)
-                        a, b = np.minimum(mine[some], other), np.maximum(mine[some], other)
-                        parts.append((rows[some], a, b, (mine[some] == b).astype(int)))
-                else:
-                    radius, n, base = shape[key]
-                    mine = base[home] + salt[rows] % n[home]
-                    parts = [(rows, mine, mine, np.zeros(len(rows), int))]
-                    for c in range(len(n)):
-                        there = np.flatnonzero(d[:, c] <= radius[c] + reach + _SLACK)
-                        for other in range(base[c], base[c] + n[c]):
-                            some = there[mine[there] != other]
-                            a, b = np.minimum(mine[some], other), np.maximum(mine[some], other)
-                            parts.append((rows[some], a, b, (mine[some] == b).astype(int)))
-                for own, a, b, side in parts:
-                    for k in range(0, len(own), 4096):
-                        at = pa.array(own[k : k + 4096])
-                        yield pa.RecordBatch.from_arrays(
-                            [*(batch.column(c).take(at) for c in range(5)), pa.array(a[k : k + 4096]), pa.array(b[k : k + 4096]), pa.array(side[k : k + 4096])],
-                            ["label", "dim", "rep", "copies", "vector", "a", "b", "side"],
-                        )
+    leaf, settled = _grown(distinct, math.sqrt(2 - 2 * cosine), block, fan)
+    size = leaf.groupBy("node", "dense").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visitors"))
+    some = (F.col("homes") > 0) & ((F.col("visitors") > 0) | (~F.col("dense") & (F.col("homes") > 1)))
+    parts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int")
+    size = durable(size.where(some).select("node", parts("homes").alias("hs"), parts("visitors").alias("vs")), "leaves")
+    at = leaf.join(size, "node")
+    piece = lambda n: F.array(F.floor(_share(leaf, 11) * F.col(n)).cast("int"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = at.withColumn("h", F.explode(F.when(F.col("home"), piece("hs")).otherwise(all_of("hs"))))
+    at = at.withColumn("v", F.explode(F.when(F.col("home"), all_of("vs")).otherwise(piece("vs"))))
 
     def compare(group: pa.Table) -> pa.Table:
-        x = np.array(group.column("vector").to_pylist(), float)
-        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-        order = np.argsort(group.column("rep").to_numpy(), kind="stable")  # the same trees in each run
-        side = group.column("side").to_numpy()[order]
-        return pa.table(block_links(group.column("rep").to_numpy()[order], group.column("copies").to_numpy()[order], x[order], side, a == b, cosine))
+        group = group.sort_by("rep")  # the same trees in each run
+        home = np.array(group.column("home").to_pylist(), bool)
+        inner = group.column("v")[0].as_py() == 0 and not group.column("dense")[0].as_py()
+        return pa.table(block_links(group.column("rep").to_numpy(), group.column("copies").to_numpy(), _matrix(group.column("vector")), home, inner, cosine))
 
-    salted = distinct.select("label", "dim", "rep", "copies", "vector", F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1 << 30)).alias("salt"))
-    salted = salted.withColumn("splits", F.lit(1)) if rest is None else salted.join(rest, ["label", "dim"], "left").select(*salted.columns, F.coalesce("splits", F.lit(1)).alias("splits"))
-    element = distinct.schema["vector"].dataType.simpleString()
-    sent = salted.mapInArrow(route, f"label {kind}, dim int, rep long, copies long, vector {element}, a long, b long, side long")
-    return sent.groupBy("label", "dim", "a", "b").applyInArrow(compare, "x long, y long, added long")
+    found = at.select("node", "h", "v", "rep", "copies", "vector", "home", "dense").groupBy("node", "h", "v").applyInArrow(compare, "x long, y long, added long")
+    return found if settled is None else found.unionByName(settled)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(vec_id, n_links, component_id) of rows (vec_id, embedding, label)."""
     at = vectors.select("vec_id", "label", F.col("embedding").alias("vector")).withColumn("usable", usable(F.col("vector"), F.col("label")))
-    at = at.withColumns({"dim": F.size("vector"), "k1": F.xxhash64("vector"), "k2": F.xxhash64("vector", F.lit(1))})
+    at = at.withColumns({"dim": F.size("vector"), "k1": F.xxhash64("vector"), "k2": F.xxhash64(F.lit(1), "vector")})
     fit = at.where("usable and vec_id is not null")
     keys = ["label", "dim", "k1", "k2"]
-    distinct = durable(fit.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector")), "vectors")
-    found = durable(link(distinct.select("label", "dim", "rep", "copies", "vector"), cosine, block), "links")
+    least = F.min("vec_id").alias("first")
+    distinct = fit.groupBy(*keys).agg(least, F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"))
+    distinct = durable(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors")  # written, so the numbers stay
+    found = durable(link(distinct.select("label", "dim", "rep", "copies", "vector"), cosine, block, fan), "links")
     added = found.where("added > 0").groupBy(F.col("x").alias("rep")).agg(F.sum("added").alias("added"))
-    moved = component_labels(found.where("x <> y"), "x", "y")
-    moved = moved.select(F.col("node").alias("rep"), F.col("label").alias("least"))
-    known = distinct.select(*keys, "rep", "copies").join(added, "rep", "left").join(moved, "rep", "left")
+    moved = component_labels(found.where("x <> y"), "x", "y").withColumnsRenamed({"node": "rep", "label": "part"})
+    moved = durable(moved.join(distinct.select("rep", "first"), "rep"), "moved")
+    named = moved.join(moved.groupBy("part").agg(F.min("first").alias("least")), "part").select("rep", "least")
+    known = distinct.select(*keys, "rep", "copies", "first").join(added, "rep", "left").join(named, "rep", "left")
     n_links = (F.coalesce("added", F.lit(0)) + F.col("copies") - 1).cast("long")
-    known = known.select(*keys, n_links.alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    known = known.select(*keys, n_links.alias("n_links"), F.coalesce("least", "first").alias("component_id"))
     linked = fit.select("vec_id", *keys).join(known, keys).select("vec_id", "n_links", "component_id")
     single = at.where("not usable or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(single)

@@ -263,15 +263,28 @@ def test_embedding_links(spark, folder, block):
         assert (got[i]["n_links"], got[i]["component_id"]) == (sum(i in p for p in links), want[i])
 
 
-def test_embedding_labels_without_pivots(spark):
+@pytest.mark.parametrize(("block", "fan"), [(8, 2), (8, 5), (20, 32)])
+def test_embedding_cells_of_any_depth(spark, block, fan):
+    """Cells split again and again, dense ones among them, give the links of all pairs."""
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 4))
-    made = [(i, (base[rng.integers(12)] + rng.normal(scale=0.05, size=4)).tolist(), i % 5) for i in range(150)]
-    table = spark.createDataFrame(made, "vec_id long, embedding array<double>, label int")
-    distinct = table.select("label", F.lit(4).alias("dim"), F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("vector"))
-    counts = lambda most: {r["x"]: r["n"] for r in embedding_links.link(distinct, block=8, most=most).where("added > 0").groupBy("x").agg(F.sum("added").alias("n")).collect()}
-    whole = embedding_links.link(distinct, block=1000).where("added > 0").collect()
-    assert counts(2) == counts(100) == {r["x"]: r["added"] for r in whole} != {}
+    made = [(base[rng.integers(12)] + rng.normal(scale=0.05, size=4)).tolist() for _ in range(160)]
+    made += [(base[0] + rng.normal(scale=0.001, size=4)).tolist() for _ in range(60)]  # every pair of these links
+    table = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(made)], "vec_id long, embedding array<double>, label int")
+    links = brute_vectors(table.collect())
+    got = rows(embedding_links.near_vectors(table, block=block, fan=fan), "vec_id")
+    want = components(range(len(made)), links)
+    count = [0] * len(made)
+    for i, j in links:
+        count[i] += 1
+        count[j] += 1
+    assert [got[i]["n_links"] for i in range(len(made))] == count and {i: r["component_id"] for i, r in got.items()} == want
+
+
+def test_embedding_rows_of_one_id(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (2, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (3, [1.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_links.near_vectors(table.withColumn("node", F.lit("clash"))).collect()), key=str)
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (None, 0, None)]
 
 
 def test_embedding_query_keeps_one_of_each(spark, folder):
