@@ -8,10 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the setting is missing (tests, a single machine) is a temporary folder set.
+    Where the setting is missing, a temporary folder is set if the session runs on one machine; on a
+    cluster that is an error, as executors would not see the driver's folders.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
@@ -20,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = sc._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     at = tempfile.mkdtemp(prefix="tallyloom-")
     sc.setCheckpointDir(at)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -27,7 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tallyloom-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tallyloom-{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove what this process has written to the shared folder, once no result that rests on it is needed; returns how many."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
 
 
 def durable(df: DataFrame, what: str = "cut") -> DataFrame:

@@ -85,14 +85,20 @@ def public(cards: DataFrame, refs: DataFrame) -> DataFrame:
     return kept.select("evidence_id", "c.kind", "c.title", shown.alias("source_path"), F.substring("evidence_id", 2, 20).cast("long").alias("number")).orderBy("number")
 
 
-def reverse_references(docs: DataFrame) -> DataFrame:
-    """For each cited id the places that cite it, each document and section once."""
+def reverse_references(docs: DataFrame, anchor: Column | None = None) -> DataFrame:
+    """For each cited id the places that cite it: each document, section and anchor once.
+
+    `anchor` tells where a document's sections are shown; without it they are shown under their own titles.
+    """
+    docs = docs.withColumn("__anchor", F.lit(None).cast("string") if anchor is None else anchor)
     sections = heading_rows(docs).where("level = 2").select("id", F.struct("line", "title").alias("h")).groupBy("id").agg(F.collect_list("h").alias("hs"))
-    at = cited(docs).join(sections, "id", "left")
+    at = cited(docs).join(sections, "id", "left").join(docs.select("id", "__anchor"), "id")
     before = F.filter("hs", lambda h: h["line"] <= F.col("line"))
-    place = at.select("evidence_id", F.col("path").alias("document"), F.coalesce(F.array_max(before)["title"], F.lit("")).alias("section")).distinct()
-    found = place.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("document", "section"))).alias("places"))
-    return found.withColumn("places", F.array_join(F.transform("places", lambda x: F.concat_ws("#", x["document"], x["section"])), "|"))
+    place = at.select("evidence_id", F.col("path").alias("document"), F.coalesce(F.array_max(before)["title"], F.lit("")).alias("section"), "__anchor")
+    place = place.withColumn("anchor", F.coalesce("__anchor", T.slugify(F.col("section")))).drop("__anchor").distinct()
+    found = place.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("document", "section", "anchor"))).alias("places"))
+    shown = F.transform("places", lambda x: F.concat_ws("#", x["document"], x["section"], x["anchor"]))
+    return found.withColumn("places", F.array_join(shown, "|"))
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:

@@ -24,7 +24,7 @@ def _content(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """One row `c`: shared instances, totals, containments of either side, and the lesser of them."""
     shared = bags.side_counts(left, right, *keys).agg(F.coalesce(F.sum(F.least("ln", "rn")), F.lit(0)).alias("s"))
     both = shared.crossJoin(left.agg(F.count(F.lit(1)).alias("l"))).crossJoin(right.agg(F.count(F.lit(1)).alias("r")))  # single rows
-    a, b = F.round(bags.ratio(F.col("s"), F.col("l")), 6), F.round(bags.ratio(F.col("s"), F.col("r")), 6)
+    a, b = F.bround(bags.ratio(F.col("s"), F.col("l")), 6), F.bround(bags.ratio(F.col("s"), F.col("r")), 6)
     return both.select(
         F.struct(
             F.col("s").alias("shared_instances"),

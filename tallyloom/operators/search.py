@@ -105,7 +105,7 @@ def head_candidates(bag: DataFrame, units: DataFrame, targets: list[str], k: int
             scored = works.select(F.col("work_id").alias("candidate"), F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
             scored = scored.join(own, "target", "left_semi").where(F.col("target") != F.col("candidate"))
         pairs = scored.select("target", "candidate").join(_overlaps_of(counted, targets, key), ["target", "candidate"], "left")
-        full = bags.containment(pairs, total).select("target", "candidate", F.col("shared").alias(f"{name}_shared"), F.round("balanced", 6).alias(f"{name}_balanced"))
+        full = bags.containment(pairs, total).select("target", "candidate", F.col("shared").alias(f"{name}_shared"), F.bround("balanced", 6).alias(f"{name}_balanced"))
         scored = scored.join(full, ["target", "candidate"])
     scored = named(scored.withColumn("score", F.greatest("blob_balanced", "shape_balanced")), names)
     top = bags.top_candidates(scored, [F.desc("score"), F.asc("display_name"), F.asc("commit"), F.asc("candidate")], k)
@@ -127,7 +127,7 @@ def history_search(target: DataFrame, history: DataFrame, name: str, k: int | No
     total = own.agg(F.sum("n").alias("target_total"))
     hits = reachable(history.where(F.col("work_id") != name), target).join(own, "object_id")
     found = hits.groupBy(F.col("work_id").alias("candidate")).agg(F.count(F.lit(1)).alias("shared_unique"), F.sum("n").alias("shared"))
-    found = found.crossJoin(F.broadcast(total)).withColumn("containment", F.round(bags.ratio(F.col("shared"), F.col("target_total")), 6))  # one row
+    found = found.crossJoin(F.broadcast(total)).withColumn("containment", F.bround(bags.ratio(F.col("shared"), F.col("target_total")), 6))  # one row
     found = named(found, names).select(F.lit(name).alias("target"), "candidate", "display_name", "shared_unique", "shared", "target_total", "containment")
     return found.orderBy(F.desc("containment"), F.desc("shared_unique"), "display_name", "candidate").limit(k) if k else found
 

@@ -102,11 +102,11 @@ def public_evidence(spark, d):
 
 
 @query(
-    f"""WITH r AS ({_REFS}), s AS (SELECT evidence_id, path AS document, coalesce(section, '') AS section, min(line) AS line FROM r GROUP BY ALL)
-    SELECT evidence_id, count(*) AS n, string_agg(document || '#' || section, '|' ORDER BY document, section) AS places FROM s GROUP BY evidence_id"""
+    f"""WITH r AS ({_REFS}), s AS (SELECT DISTINCT evidence_id, r.path AS document, coalesce(section, '') AS section, 'module-' || module_id AS anchor FROM r JOIN documents_md d ON d.id = r.id)
+    SELECT evidence_id, count(*) AS n, string_agg(document || '#' || section || '#' || anchor, '|' ORDER BY document, section, anchor) AS places FROM s GROUP BY evidence_id"""
 )
 def reverse_references(spark, d):
-    return evidence.reverse_references(relation(spark, d, "documents_md"))
+    return evidence.reverse_references(relation(spark, d, "documents_md"), F.concat(F.lit("module-"), F.col("module_id")))
 
 
 @query("SELECT evidence_id, count(*) AS n FROM (SELECT 'E' || lpad((n % 900)::VARCHAR, 3, '0') AS evidence_id FROM cards) GROUP BY evidence_id HAVING count(*) > 1")

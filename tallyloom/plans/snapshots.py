@@ -375,8 +375,8 @@ def union_examples(spark, d):
       least(coalesce(b.shared, 0) / tn, coalesce(b.shared, 0) / cn) AS blob_balanced,
       least(CASE WHEN x.n > 0 THEN coalesce(u.shared, 0) / x.n ELSE 0 END, CASE WHEN y.n > 0 THEN coalesce(u.shared, 0) / y.n ELSE 0 END) AS shape_balanced
       FROM p LEFT JOIN b USING (target, candidate) LEFT JOIN u USING (target, candidate) LEFT JOIN ut x ON x.work_id = p.target LEFT JOIN ut y ON y.work_id = p.candidate)
-    SELECT target, candidate, coalesce(display_name, candidate) AS display_name, coalesce(commit, '') AS commit, blob_shared, shape_shared, round(blob_balanced, 6) AS blob_balanced, round(shape_balanced, 6) AS shape_balanced, round(greatest(blob_balanced, shape_balanced), 6) AS score,
-    row_number() OVER (PARTITION BY target ORDER BY round(greatest(blob_balanced, shape_balanced), 6) DESC, coalesce(display_name, candidate), coalesce(commit, ''), candidate) AS rank
+    SELECT target, candidate, coalesce(display_name, candidate) AS display_name, coalesce(commit, '') AS commit, blob_shared, shape_shared, round_even(blob_balanced, 6) AS blob_balanced, round_even(shape_balanced, 6) AS shape_balanced, round_even(greatest(blob_balanced, shape_balanced), 6) AS score,
+    row_number() OVER (PARTITION BY target ORDER BY round_even(greatest(blob_balanced, shape_balanced), 6) DESC, coalesce(display_name, candidate), coalesce(commit, ''), candidate) AS rank
     FROM s LEFT JOIN heads ON work_id = candidate QUALIFY rank <= 30"""
 )
 def head_candidates(spark, d):
@@ -394,7 +394,7 @@ _HISTORY = """h AS (SELECT DISTINCT work_id, object_id FROM history WHERE work_i
 @query(
     f"""WITH {_HISTORY}
     SELECT 'w1' AS target, h.work_id AS candidate, coalesce(any_value(display_name), h.work_id) AS display_name, count(*) AS shared_unique, sum(n)::BIGINT AS shared, (SELECT sum(n) FROM t)::BIGINT AS target_total,
-    round(sum(n)::BIGINT / (SELECT sum(n) FROM t)::BIGINT, 6) AS containment FROM h JOIN t ON blob = object_id LEFT JOIN heads ON heads.work_id = h.work_id GROUP BY h.work_id
+    round_even(sum(n)::BIGINT / (SELECT sum(n) FROM t)::BIGINT, 6) AS containment FROM h JOIN t ON blob = object_id LEFT JOIN heads ON heads.work_id = h.work_id GROUP BY h.work_id
     ORDER BY containment DESC, shared_unique DESC, display_name, candidate LIMIT 30"""
 )
 def history_search(spark, d):

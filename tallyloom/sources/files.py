@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tallyloom.operators import evidence
+from tallyloom.sources.git import read_objects
 
 WORKS = (
     "work_id string, year int, school string, team string, work_name string, display_name string, canonical_dir string, "
@@ -121,6 +122,7 @@ class _GitReader(DataSourceReader):
 
     def read(self, partition: _Snapshot) -> Iterator[tuple]:
         listed = _git(partition.repo, "ls-tree", "-r", "-l", "-z", "--full-tree", partition.commit)
+        wanted: list[tuple[str, str]] = []
         for entry in filter(None, listed.split(b"\0")):
             head, _, path = entry.partition(b"\t")
             meta = head.split()
@@ -131,7 +133,9 @@ class _GitReader(DataSourceReader):
             if not self.blobs:
                 yield partition.work_id, mode, kind, object_id, name, None if size == "-" else int(size)
             elif kind == "blob" and int(size) <= self.most and (not self.suffixes or name.endswith(self.suffixes)):
-                yield partition.work_id, name, object_id, _git(partition.repo, "cat-file", "blob", object_id)
+                wanted.append((name, object_id))
+        for (name, object_id), (_, data) in zip(wanted, read_objects(partition.repo, [o for _, o in wanted]), strict=True):
+            yield partition.work_id, name, object_id, data
 
 
 class GitSource(DataSource):

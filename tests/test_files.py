@@ -64,3 +64,43 @@ def test_git_trees(spark, tmp_path):
     assert [r["path"] for r in search.fingerprint_rows(tree).collect()] == ["src/é a.c"]
     blobs = files.read_trees(spark, {"w": (str(repo), "HEAD")}, content=True, suffixes=".c").collect()
     assert [bytes(r["data"]) for r in blobs] == [b"int main;"]
+
+
+def test_git_readers(spark, tmp_path):
+    from tallyloom.sources import git
+
+    repo = str(tmp_path / "r")
+    (tmp_path / "r").mkdir()
+    run = lambda *args: subprocess.run(["git", "-C", repo, "-c", "user.name=A B", "-c", "user.email=e@x", *args], check=True, capture_output=True, text=True).stdout.strip()
+    run("init", "-q")
+    (tmp_path / "r/a b.c").write_text("one\n")
+    run("add", ".")
+    run("commit", "-qm", "first\n\nbody line\n")
+    (tmp_path / "r/a b.c").write_text("one\ntwo\n")
+    (tmp_path / "r/x.bin").write_bytes(b"\0\1\xff" * 50)
+    run("add", ".")
+    run("commit", "-qm", "second")
+    head, tree = run("rev-parse", "HEAD"), run("rev-parse", "HEAD^{tree}")
+    repos = {"w": (repo, "HEAD")}
+    revisions = {r["work_id"]: r for r in git.read_revisions(spark, repos | {"v": (repo, "nowhere")}).collect()}
+    assert (revisions["w"]["commit"], revisions["w"]["tree"]) == (head, tree) and revisions["v"]["problem"] == "no such revision"
+    commits = {r["subject"]: r for r in git.read_commits(spark, repos).collect()}
+    assert (commits["first"]["body"], commits["second"]["parents"], commits["second"]["author"]) == ("body line", commits["first"]["commit"], "A B")
+    numbers = sorted((r["commit"] == head, r["path"], r["additions"], r["deletions"]) for r in git.read_numstat(spark, repos).collect())
+    assert numbers == [(False, "a b.c", "1", "0"), (True, "a b.c", "1", "0"), (True, "x.bin", "-", "-")]
+    objects = {r["object_id"]: r["path"] for r in git.read_history(spark, repos).collect()}
+    assert objects[head] == "" and len(objects) == 7 and sorted(objects.values()) == ["", "", "", "", "a b.c", "a b.c", "x.bin"]
+    assert git.read_text(repo, "HEAD", "a b.c") == "one\ntwo\n" and git.read_text(repo, "HEAD", "x.bin").startswith("\0\1")
+    with pytest.raises(ValueError):
+        git.read_blob(repo, "HEAD", "a b.c", most=3)
+    blob = run("rev-parse", "HEAD:a b.c")
+    assert list(git.read_objects(repo, [blob, "0" * 40, blob])) == [(blob, b"one\ntwo\n"), ("0" * 40, None), (blob, b"one\ntwo\n")]
+    works = spark.createDataFrame([("w", "r"), ("n", "none"), ("p", ".")], "work_id string, canonical_dir string")
+    assert sorted(tuple(r) for r in git.repo_states(spark, works, str(tmp_path)).collect()) == [("n", False, False), ("p", True, False), ("w", True, True)]
+
+
+def test_written_tables_are_removed(spark):
+    from tallyloom.operators import cuts
+
+    kept = cuts.durable(spark.range(3), "three")
+    assert kept.count() == 3 and cuts.discard(spark) >= 1 and cuts.discard(spark) == 0
