@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
-from tallyloom.operators import bags, code_units, search
+from tallyloom.operators import bags, code_units, results, search
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapters import relation
 
@@ -58,9 +58,9 @@ def top_level_dirs(spark, d):
     return inner.select("work_id", P.top_dir(F.col("path")).alias("dir")).distinct()
 
 
-@query("SELECT work_id, blob, path FROM bag WHERE blob <> '' AND path <> '' AND work_id = 'w1'")
+@query("SELECT work_id, blob, path FROM bag WHERE blob <> '' AND path <> ''")
 def cache_scan(spark, d):
-    return sides(spark, d)[0].where("blob <> '' and path <> ''").select("work_id", "blob", "path")
+    return relation(spark, d, "bag").where("blob <> '' and path <> ''").select("work_id", "blob", "path")
 
 
 @query(
@@ -98,12 +98,17 @@ def snapshot_counts(spark, d):
 
 
 @query(
-    """WITH m AS (SELECT work_id, count(*) AS files, max(ord) % 4 AS v, max(ord) % 3 AS a FROM bag GROUP BY work_id)
-    SELECT work_id, v = 3 AS known_schema, a > 0 AS has_units, v = 3 AND a > 0 AND files > 0 AS complete FROM m"""
+    """WITH m AS (SELECT work_id, max(ord) % 4 AS v, max(ord) % 3 AS a FROM bag GROUP BY work_id)
+    SELECT h.work_id, h.commit FROM heads h JOIN m ON m.work_id = h.work_id WHERE v = 3 AND a > 0"""
 )
 def cache_completeness(spark, d):
-    made = relation(spark, d, "bag").groupBy("work_id").agg(F.count(F.lit(1)).alias("files"), (F.max("ord") % 4).alias("version"), (F.max("ord") % 3).alias("units"))
-    return made.select("work_id", (F.col("version") == 3).alias("known_schema"), (F.col("units") > 0).alias("has_units"), search.complete(F.col("version") == 3, F.col("units") > 0, F.col("files") > 0).alias("complete"))
+    """Works whose cached snapshot can be used again: of the commit wanted, with all components, made by this version of the shape hash."""
+    heads = relation(spark, d, "heads")
+    made = relation(spark, d, "bag").groupBy("work_id").agg((F.max("ord") % 4).alias("v"), (F.max("ord") % 3).alias("a")).join(heads, "work_id")
+    parts = F.when(F.col("a") > 0, F.array(F.lit("blob"), F.lit("ast"))).otherwise(F.array(F.lit("blob")))
+    version = F.when(F.col("v") == 3, results.SHAPE_VERSION).otherwise("v0")
+    snapshots = made.select("work_id", "commit", parts.alias("components"), version.alias("shape_version"))
+    return results.reusable(snapshots, heads.select("work_id", "commit"))
 
 
 # --- paths -----------------------------------------------------------------------------------
@@ -119,9 +124,9 @@ def clean_rel(spark, d):
     return relation(spark, d, "raw_paths").select("id", P.clean_rel(F.col("raw")).alias("path"))
 
 
-@query("SELECT work_id, path, path = 'src1' OR starts_with(path, 'src1/') AS below FROM bag WHERE work_id = 'w1'")
+@query("SELECT work_id, path, path = 'src1' OR starts_with(path, 'src1/') AS below FROM bag")
 def under_prefix(spark, d):
-    return sides(spark, d)[0].select("work_id", "path", P.under(F.col("path"), F.lit("src1")).alias("below"))
+    return relation(spark, d, "bag").select("work_id", "path", P.under(F.col("path"), F.lit("src1")).alias("below"))
 
 
 @query(
@@ -194,12 +199,12 @@ def scope_digest(spark, d):
     return listed.select("g", F.substring(F.sha2(F.to_json(F.struct("include")), 256), 1, 10).alias("digest"))
 
 
-@query(f"SELECT work_id, path, blob FROM bag WHERE work_id = 'w1' AND (path = 'src0' OR starts_with(path, 'src0/'))")
+@query(f"SELECT work_id, path, blob FROM bag WHERE path = 'src0' OR starts_with(path, 'src0/')")
 def history_prefix(spark, d):
-    return sides(spark, d)[0].where(P.under(F.col("path"), F.lit("src0"))).select("work_id", "path", "blob")
+    return relation(spark, d, "bag").where(P.under(F.col("path"), F.lit("src0"))).select("work_id", "path", "blob")
 
 
-@query("SELECT id, raw, rank() OVER (ORDER BY raw, id) AS place FROM (SELECT id, raw FROM raw_paths WHERE id < 1000000)")
+@query("SELECT id, raw, rank() OVER (ORDER BY raw, id) AS place FROM raw_paths")
 def unit_order(spark, d):
     return search.in_order(relation(spark, d, "raw_paths"), [F.col("raw"), F.col("id")]).select("id", "raw", "place")
 
