@@ -36,6 +36,8 @@ TRAIN_ROWS, TRAIN_CHARS = 6000, 24_000_000
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, SEED = 32, 16, 12, 64, 0.01, 7
 #: Batches that are learned from at least, however few rows there are.
 STEPS = 150
+#: Passages that are seen in all, beyond which few rows are not learned from more often.
+MOST_SEEN = 200_000
 #: Hash buckets of words and word pairs, and the length of their embeddings.
 BUCKETS, LEXICAL = 1 << 12, 8
 #: Bytes of texts that are encoded at once.
@@ -208,6 +210,17 @@ def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(sizes: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[slice, slice]]:
+    """Passages in runs with about `most` terms, and the terms of each run."""
+    ends = np.cumsum(sizes)
+    k = 0
+    while k < len(sizes):
+        before = int(ends[k] - sizes[k])
+        stop = max(k + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield slice(k, stop), slice(before, int(ends[stop - 1]))
+        k = stop
+
+
 class AttentionModel:
     """Gated-attention multiple-instance classifier; parameters are small arrays."""
 
@@ -227,7 +240,10 @@ class AttentionModel:
         }
 
     def _inputs(self, own: Bags) -> np.ndarray:
-        return np.concatenate(((own.x - self.mean) / self.spread, _means(self.p["E"][own.terms], own.sizes)), 1)
+        lexical = np.empty((len(own.sizes), LEXICAL))
+        for some, terms in _blocks(own.sizes):
+            lexical[some] = _means(self.p["E"][own.terms[terms]], own.sizes[some])
+        return np.concatenate(((own.x - self.mean) / self.spread, lexical), 1)
 
     def _forward(self, own: Bags) -> dict:
         p, bags, at = self.p, own.bags, np.cumsum(own.bags) - own.bags
@@ -254,15 +270,17 @@ class AttentionModel:
         dh = f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T
         dh *= f["h"] > 0
         lexical = (dh @ p["W"][-LEXICAL:].T) / np.maximum(own.sizes, 1)[:, None]
-        each = np.repeat(lexical, own.sizes, 0)
-        words = np.stack([np.bincount(own.terms, each[:, k], BUCKETS) for k in range(LEXICAL)], 1)
+        words = np.zeros((BUCKETS, LEXICAL))
+        for some, terms in _blocks(own.sizes):
+            each = np.repeat(lexical[some], own.sizes[some], 0)
+            words += np.stack([np.bincount(own.terms[terms], each[:, k], BUCKETS) for k in range(LEXICAL)], 1)
         return {"E": words, "W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ miss, "d": np.array([miss.sum()])}
 
     def fit(self, known: Bags, label: np.ndarray) -> AttentionModel:
         """Adam over shuffled batches of bags, a fixed number of epochs."""
         rng = np.random.default_rng(SEED)
         m, v, step = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
-        epochs = max(EPOCHS, -(-STEPS * BATCH // len(label)))
+        epochs = max(EPOCHS, min(-(-STEPS * BATCH // len(label)), MOST_SEEN // len(known.x)))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs) + 1e-4
             order = rng.permutation(len(label))
