@@ -36,7 +36,7 @@ def anchors(body):
     found = []
     for token in re.findall(r"`([^`]+)`", body):
         token = token.strip()
-        if "/" in token or token.endswith(ENDS) or re.match(r"sys_|SYS_|CONFIG_", token) or re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*(\(\))?|[A-Za-z_][A-Za-z0-9_]*\(", token):
+        if "/" in token or token.endswith(ENDS) or re.match(r"sys_|SYS_|CONFIG_", token) or re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*\(\)?|[A-Z][A-Za-z0-9_]{2,}", token):
             found.append(token)
     for pattern in (PATH, CALLS, SETTINGS):
         found += re.findall(pattern, body)
