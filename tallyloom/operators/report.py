@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
-from tallyloom.operators import evidence
+from tallyloom.operators import case_rules, evidence
 
 
 def registry(works: DataFrame) -> DataFrame:
@@ -76,11 +76,11 @@ def material_digest(docs: DataFrame) -> DataFrame:
 def section_view(title: Column) -> Column:
     """The view that shows a report section."""
     return (
-        F.when(title.isin("Summary", "Key points"), "overview")
-        .when(title.isin("Workload", "Lineage"), "lineage")
-        .when(title == "Architecture", "architecture")
-        .when(title.startswith("Risk"), "risk")
-        .when(title == "Modules", "modules")
+        F.when(title.isin(*case_rules.REPORT_BEFORE[:2]), "overview")
+        .when(title.isin(*case_rules.REPORT_BEFORE[2:4]), "lineage")
+        .when(title == case_rules.GRAPH_SECTION, "architecture")
+        .when(title.isin(*case_rules.SECTION_OF.values()), "risk")
+        .when(title == case_rules.MODULE_SECTION, "modules")
         .otherwise("evidence")
     )
 

@@ -180,6 +180,26 @@ RELATIONS: dict[str, tuple[str, dict[str, str], str]] = {
         },
         "",
     ),
+    # module reviews with front matter, some of them against their contract
+    "case_modules": (
+        "part",
+        {
+            "id": "p_partkey",
+            "n": "p_size",
+            "case_id": "'w' || CAST(p_partkey % 50 AS STRING)",
+            "path": "'modules/m' || CAST(p_partkey AS STRING) || '.md'",
+            "text": (
+                f"'---' {_N} 'contract: module_review' {_N} 'module_id: ' || CASE p_partkey % 3 WHEN 0 THEN 'memory' WHEN 1 THEN 'scheduler' ELSE 'network' END {_N} "
+                f"'status: ' || CASE p_size % 6 WHEN 0 THEN 'implemented' WHEN 1 THEN 'partial' WHEN 2 THEN 'minimal' WHEN 3 THEN 'absent' WHEN 4 THEN 'partial' ELSE 'odd' END {_N} "
+                f"'originality: ' || CASE p_size % 3 WHEN 0 THEN 'novel' WHEN 1 THEN 'adapted_minor' ELSE 'inherited' END {_N} "
+                f"CASE WHEN p_size % 5 = 0 THEN '' ELSE 'base_delta: none' {_N} '' END || '---' {_N} '# ' || p_name {_N} CASE WHEN p_size % 8 = 0 THEN '# Again' {_N} '' ELSE '' END "
+                f"|| '## 适用范围' {_N} CASE WHEN p_size % 3 = 0 THEN '  ' ELSE 'text' END {_N} '## 实现内容' {_N} 'text' {_N} '## 相对 Base 的变化' {_N} '### ' || CASE WHEN p_partkey % 3 = 1 OR p_size % 2 = 1 THEN 'node-3' ELSE 'node-1' END || ': part' {_N} "
+                f"'## 真实工作量判断' {_N} 'text' {_N} '## 继承、外部依赖与缺失' {_N} 'text' {_N} '## 文档声明复核' {_N} CASE WHEN p_size % 9 = 0 THEN 'T2020260000' || CAST(100000 + p_partkey AS STRING) || '-1' ELSE 'text' END {_N} "
+                f"CASE WHEN p_size % 7 = 0 THEN '' ELSE '## 证据' {_N} 'text' {_N} '' END || CASE WHEN p_size % 4 = 0 THEN '## Extra' {_N} 'x' ELSE '' END"
+            ),
+        },
+        "",
+    ),
     "texts": ("documents", {"doc_id": "doc_id", "work_id": "source", "text": "text", "lang": "lang"}, ""),
 }
 
