@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.running import running_sum
+
 
 def counts(bag: DataFrame, *keys: str) -> DataFrame:
     """Multiplicity n of each key in each work."""
@@ -80,27 +82,29 @@ def shared_content(left: DataFrame, right: DataFrame, key: str = "blob") -> Data
 
 
 def residual(left: DataFrame, right: DataFrame, key: str = "blob") -> DataFrame:
-    """Rows of left that right doesn't match, matches on the same path being used up first.
+    """(path, key) rows of left that right doesn't match, matches on the same path being used up first.
 
-    Equal rows are told apart by position only, so which of them stays is of no consequence.
+    Both sides are counts by (path, key) from the start. What the same paths leave over of a key is
+    used up by path, through running sums that hold even if a key has a third of all rows.
     """
+    own = left.groupBy("path", key).agg(F.count(F.lit(1)).alias("n"))
     exact = right.groupBy("path", key).agg(F.count(F.lit(1)).alias("same"))
-    content = right.groupBy(key).agg(F.count(F.lit(1)).alias("all"))
-    n = F.row_number().over(Window.partitionBy("path", key).orderBy(F.lit(1)))
-    rest = left.withColumn("rn", n).join(exact, ["path", key], "left")
-    used = F.col("rn") <= F.coalesce("same", F.lit(0))
-    consumed = rest.where(used).groupBy(key).agg(F.count(F.lit(1)).alias("used"))
-    rest = rest.where(~used).withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("path")))
-    rest = rest.join(content, key, "left").join(consumed, key, "left")
-    left_over = F.greatest(F.coalesce("all", F.lit(0)) - F.coalesce("used", F.lit(0)), F.lit(0))
-    return rest.where(F.col("k") > left_over).select(*left.columns)
+    rest = own.join(exact, ["path", key], "left").withColumn("used", F.least("n", F.coalesce("same", F.lit(0))))
+    rest = rest.select("path", key, "used", (F.col("n") - F.col("used")).alias("over"))
+    used = rest.groupBy(key).agg(F.sum("used").alias("used"))
+    left_over = right.groupBy(key).agg(F.count(F.lit(1)).alias("all")).join(used, key, "left")
+    left_over = left_over.select(key, (F.col("all") - F.coalesce("used", F.lit(0))).alias("capacity")).where("capacity > 0")
+    wanted = running_sum(rest.where("over > 0").select("path", key, "over"), key, [F.col("path")], "over", "before")
+    taken = F.least(F.col("over"), F.greatest(F.lit(0), F.coalesce("capacity", F.lit(0)) - F.col("before")))
+    stays = wanted.join(left_over, key, "left").withColumn("stays", F.col("over") - taken).where("stays > 0")
+    return stays.select("path", key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("stays"))).alias("__k")).drop("__k")
 
 
 def greedy_directories(target: DataFrame, candidate: DataFrame, key: str, directory: Column, order: list[Column]) -> DataFrame:
     """Shared and total instances by directory of the target, each row using up one of the candidate's."""
     capacity = candidate.groupBy(key).agg(F.count(F.lit(1)).alias("capacity"))
-    placed = target.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).join(capacity, key, "left")
-    hit = (F.col("rn") <= F.coalesce("capacity", F.lit(0))).cast("long")
+    placed = running_sum(target.withColumn("__one", F.lit(1)), key, order, "__one", "__before").join(capacity, key, "left")
+    hit = (F.col("__before") < F.coalesce("capacity", F.lit(0))).cast("long")
     return placed.groupBy(directory.alias("directory")).agg(F.sum(hit).alias("shared_instances"), F.count(F.lit(1)).alias("target_instances"))
 
 

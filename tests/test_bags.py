@@ -110,3 +110,16 @@ def test_ancestors_stop_at_the_root(spark):
     got = {r["id"]: r["depth"] for r in search.ancestors(merged, 29).collect()}
     assert got == {i: 29 - i if i > 3 else 1 + 3 - i for i in range(30)}
     assert search.ancestors(commits, 99).count() == 0
+
+
+def test_running_sums_of_a_hot_group(spark):
+    from tallyloom.operators.running import running_sum
+
+    rows = [("hot" if i % 3 else f"g{i % 7}", i * 37 % 500, i % 4) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, v int").repartition(7)
+    got = {(r["g"], r["o"]): r["before"] for r in running_sum(df, "g", [F.col("o")], "v", "before").collect()}
+    total = Counter()
+    for g, o, v in sorted(rows):
+        assert got[g, o] == total[g]
+        total[g] += v
+    assert len(got) == len(rows)
