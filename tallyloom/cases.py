@@ -2,21 +2,28 @@
 
     compare_commits(left, right, left_include=["kernel"], units=(left_units, right_units))
     head_candidates(bag, units, ["w1"]), history_search(target, history, "w1")
+    case_issues(files, manifests, reviews, taxonomy, CARDS), check_all(..., build=compile_case)
     validate(docs, cards, required=[...], allowed=[...], optional="...", taxonomy={...})
+
+`case_issues` checks whole cases by the contracts they are written to; `validate` checks any Markdown
+documents by headings, fields and a taxonomy given as arguments.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
-from tallyloom.operators import bags, report, rules, search
+from tallyloom.operators import bags, case_rules, report, rules, search
+from tallyloom.operators.case_rules import case_issues
 from tallyloom.operators.report import compiled as compile_report
 from tallyloom.operators.report import site_index
 from tallyloom.operators.search import head_candidates, history_search
 
-__all__ = ["compare_commits", "compile_report", "head_candidates", "history_search", "inventory", "residuals", "site_index", "snapshot_build", "validate", "validate_works"]
+__all__ = ["case_issues", "check_all", "compare_commits", "compile_report", "head_candidates", "history_search", "inventory", "residuals", "site_index", "snapshot_build", "validate", "validate_works"]
 
 
 def validate_works(works: DataFrame, modules: list[str]) -> DataFrame:
@@ -62,6 +69,17 @@ def residuals(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.union(bags.residual(right.select("path", "blob"), left).select(F.lit("right").alias("side"), "path", "blob"))
 
 
+def check_all(files: DataFrame, manifests: DataFrame, reviews: DataFrame, taxonomy: dict[str, list[str]], card_form: str, build: Callable[[DataFrame], None]) -> DataFrame:
+    """Issues of cases; without any, their reports are built and an error while building is the issue."""
+    found = case_issues(files, manifests, reviews, taxonomy, card_form)
+    if found.isEmpty():
+        try:
+            build(files)
+        except Exception as error:  # whatever a build gives up with is what the caller wants to see
+            return case_rules.check_failed("", error, found)
+    return found
+
+
 def validate(
     docs: DataFrame,
     cards: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import views
-from tallyloom.operators import capture, case_rules, results, search
+from tallyloom.operators import capture, case_rules, results, rules, search
 from tallyloom.plans.registry import query
 from tallyloom.plans.snapshots import _PAIRS, LEFT, RIGHT, _pair_sql, sides  # noqa: F401
 from tallyloom.sources.adapters import relation
@@ -43,6 +43,12 @@ def case_document_rules(spark, d):
     return case_rules.document_issues(case_rules.parsed(files), TAXONOMY)
 
 
+@query(f"SELECT count(*) = 0 AS ok, count(*) AS issues FROM ({_MODULE_ISSUES})")
+def case_documents_ok(spark, d):
+    files = relation(spark, d, "case_modules").select("case_id", "path", "text")
+    return rules.ok(case_rules.document_issues(case_rules.parsed(files), TAXONOMY))
+
+
 @query("SELECT case_id, unnest(['identity.md', 'base.md', 'report.md']) AS path, 'structure.missing_file' AS code, '' AS detail FROM (SELECT DISTINCT case_id FROM case_modules)")
 def case_presence(spark, d):
     files = relation(spark, d, "case_modules").select("case_id", "path", "text")

@@ -38,6 +38,21 @@ def touch(spark: SparkSession, path: str) -> None:
         put_text(spark, path, "\n")
 
 
+def publish(spark: SparkSession, assets: str, site: str, target: str) -> None:
+    """Copy a viewer's built assets and a case's site files to where they are served; assets that are not there are an error."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if not exists(spark, assets):
+        raise FileNotFoundError(f"the viewer is not built: {assets}")
+    to = jvm.org.apache.hadoop.fs.Path(target)
+    out = to.getFileSystem(conf)
+    out.mkdirs(to)
+    for folder in (assets, site):
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(conf)
+        for entry in fs.listStatus(at):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, entry.getPath(), out, jvm.org.apache.hadoop.fs.Path(to, entry.getPath().getName()), False, True, conf)
+
+
 def put_records(rows: DataFrame, root: str, name: str, key: str = "case_id", text: str = "text") -> int:
     """Write the text of each row to root/<key>/<name>; returns how many. Rows come one partition at a time."""
     n = 0

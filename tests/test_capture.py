@@ -175,3 +175,12 @@ def test_case_files(spark, tmp_path):
     tree = spark.createDataFrame([("w", "src/a.C"), ("w", "top"), ("w", ".github/x.yml")], "work_id string, path string")
     inventory = results.inventory_records(tree).first()
     assert json.loads(inventory["text"]) == {"work_id": "w", "file_count": 3, "suffixes": {"<none>": 1, ".c": 1, ".yml": 1}, "top_level_dirs": ["src"]} and "`src/`" in inventory["markdown"]
+
+
+def test_publish(spark, tmp_path):
+    for name in ("assets/index.html", "assets/js/app.js", "site/report.html"):
+        case_files.put_text(spark, f"{tmp_path}/{name}", name)
+    case_files.publish(spark, f"{tmp_path}/assets", f"{tmp_path}/site", f"{tmp_path}/out/w")
+    assert sorted(str(p.relative_to(tmp_path / "out/w")) for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith(".")) == ["index.html", "js/app.js", "report.html"]
+    with pytest.raises(FileNotFoundError):
+        case_files.publish(spark, f"{tmp_path}/none", f"{tmp_path}/site", f"{tmp_path}/out/w")

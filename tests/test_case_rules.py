@@ -206,3 +206,16 @@ def test_cases_and_works(spark):
     assert [(r["case_id"], r["code"]) for r in rules.without_manifest(cases, manifests).collect()] == [("y", "case.manifest_missing")]
     failed = rules.check_failed("x", ValueError("no"), cases).first()
     assert (failed["code"], failed["detail"]) == ("case.check_all_failed", "no")
+
+
+def test_check_all(spark):
+    from tallyloom import cases
+
+    frame = lambda found: spark.createDataFrame(found, "case_id string, text string")
+    files = spark.createDataFrame([("c", p, t) for p, t in clean().items()], "case_id string, path string, text string")
+    review = rules.review_record(files, rules.parsed(files))
+    built = []
+    run = lambda build: [r["code"] for r in cases.check_all(files, frame([("c", MANIFEST)]), review, TAXONOMY, CARDS, build).collect()]
+    assert run(built.append) == [] and len(built) == 1
+    assert run(lambda _: 1 / 0) == ["case.check_all_failed"]
+    assert [r["code"] for r in cases.check_all(files, frame([]), review, TAXONOMY, CARDS, built.append).collect()] == ["base.manifest_missing"] and len(built) == 1
