@@ -37,7 +37,7 @@ from .wordstream import Memo, Pretokenizer, byte_letters, slices
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Ids kept of known words before the memo is started anew; bounds a worker's memory.
-MOST_IDS = 8 << 20
+MOST_IDS = 4 << 20
 #: Words of more code points (no blank, no change of class) are encoded by the transducer, in bounded memory.
 GIANT = 1 << 16
 _NULL_ID = -(1 << 63)

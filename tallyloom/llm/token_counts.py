@@ -35,8 +35,8 @@ from ._common import add_columns, table
 from .wordstream import Memo, Pretokenizer, Words, byte_letters, slices
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
-#: States kept before the tables are started anew; bounds a worker's memory.
-MOST_STATES = 250_000
+#: States, and decisions on pairs, kept before the tables are started anew; bounds a worker's memory.
+MOST_STATES, MOST_PAIRS = 100_000, 200_000
 CHUNK = 1 << 12
 _END, _NONE = 256, -1
 #: A state: for each start a token can grow from, its place in the trie, the token before it and the count there.
@@ -104,7 +104,7 @@ class Transducer:
         if known is None:
             alone = () if before == _NONE else self.text[before]
             want = [token] if before == _NONE else [before, token]
-            if len(self.pairs) > 4 * MOST_STATES:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
             decide = self._apart(before, token) if before != _NONE and self.one_way else self.merged(alone + self.text[token]) == want
             known = self.pairs[key] = decide
@@ -265,7 +265,7 @@ class Counter:
 
     def __init__(self, path: str, chunk: int = CHUNK):
         self.pre, self.fst, self.chunk = Pretokenizer(path), Transducer(path), chunk
-        self.memo = Memo(lambda words: np.fromiter(map(self.fst.count, words), np.int64, len(words)), bits=21)
+        self.memo = Memo(lambda words: np.fromiter(map(self.fst.count, words), np.int64, len(words)), bits=20)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Counts of whole texts: special strings, and the scans of the parts between them."""

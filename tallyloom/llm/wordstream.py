@@ -230,7 +230,7 @@ class Memo:
     """A direct-mapped table from word to value, of fixed size; `work_out` gives what it lacks."""
 
     #: Code points of words kept before the table is started anew.
-    MOST_POINTS = 16 << 20
+    MOST_POINTS = 8 << 20
 
     def __init__(self, work_out: Callable[[list[str]], np.ndarray], bits: int = 19):
         self.bits, self.work_out = bits, work_out
