@@ -5,8 +5,8 @@ one token can stand last: the one that forms a valid pair with the token that st
 it. So a state needs only, for each start that some token can still grow from, the place in the
 token trie, the token that stood last there and the count there relative to now. A transition
 carries the change of the token count; the last byte of a word reads the end-of-word alphabet.
-States and transitions are made when first met and kept (the table is started anew beyond
-`MOST_STATES`), so the cost of a known word is one lookup a byte.
+States and transitions are made when first met and the first `MOST_STATES` are kept, so the cost of
+a known word is one lookup a byte; what lies beyond them is worked out each time.
 
 Every text is read in chunks of `CHUNK` code points, cut anywhere. A chunk is a map from the
 transducer state it is entered in to the state it is left in and the tokens emitted: its `head`
@@ -35,8 +35,8 @@ from ._common import add_columns, table
 from .wordstream import Memo, Pretokenizer, Words, byte_letters, slices
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
-#: States, and decisions on pairs, kept before the tables are started anew; bounds a worker's memory.
-MOST_STATES, MOST_PAIRS = 100_000, 200_000
+#: States, and decisions on pairs, that are kept; beyond them transitions are worked out as they are met. Bounds a worker's memory.
+MOST_STATES, MOST_PAIRS = 50_000, 200_000
 CHUNK = 1 << 12
 _END, _NONE = 256, -1
 #: A state: for each start a token can grow from, its place in the trie, the token before it and the count there.
@@ -79,9 +79,6 @@ class Transducer:
                 node = after
             self.token[node] = i
         self.pairs: dict[tuple[int, int], bool] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.items = [START]
         self.number = {START: 0}
         self.step: dict[int, tuple[int, int]] = {}
@@ -104,10 +101,10 @@ class Transducer:
         if known is None:
             alone = () if before == _NONE else self.text[before]
             want = [token] if before == _NONE else [before, token]
-            if len(self.pairs) > MOST_PAIRS:
-                self.pairs.clear()
             decide = self._apart(before, token) if before != _NONE and self.one_way else self.merged(alone + self.text[token]) == want
-            known = self.pairs[key] = decide
+            known = decide
+            if len(self.pairs) < MOST_PAIRS:
+                self.pairs[key] = known
         return known
 
     def _apart(self, a: int, b: int) -> bool:
@@ -141,47 +138,52 @@ class Transducer:
             raise ValueError("no token can stand last here")
         return grown, last, emitted
 
+    def _open(self, state: State, symbol: int) -> tuple[State, int]:
+        """The state after a byte that doesn't end the word, and the tokens emitted."""
+        grown, last, emitted = self._stand(state, symbol)
+        return (*((node, before, count - emitted) for node, before, count in grown), (0, last, 0)), emitted
+
+    def _room(self) -> bool:
+        return len(self.items) < MOST_STATES and len(self.step) < 4 * MOST_STATES
+
     def _compile(self, state: int, symbol: int) -> tuple[int, int]:
-        grown, last, emitted = self._stand(self.items[state], symbol)
-        at = self._number((*((node, before, count - emitted) for node, before, count in grown), (0, last, 0))) if symbol < _END else 0
+        """Work out a transition of a numbered state and keep it."""
+        if symbol >= _END:
+            at, emitted = 0, self._stand(self.items[state], symbol)[2]
+        else:
+            after, emitted = self._open(self.items[state], symbol)
+            at = self.number.get(after)
+            if at is None:
+                at = self.number[after] = len(self.items)
+                self.items.append(after)
         self.step[state << 9 | symbol] = (at, emitted)
         return at, emitted
 
-    def _number(self, state: State) -> int:
-        at = self.number.get(state)
-        if at is None:
-            at = self.number[state] = len(self.items)
-            self.items.append(state)
-        return at
+    def _next(self, at: int, state: State, symbol: int) -> tuple[int, State, int]:
+        """(number, state, emitted) after a byte within a word; the number is -1 for a state that is not kept."""
+        if at >= 0:
+            found = self.step.get(at << 9 | symbol) or (self._compile(at, symbol) if self._room() else None)
+            if found:
+                return found[0], self.items[found[0]], found[1]
+        after, emitted = self._open(state, symbol)
+        return self.number.get(after, -1), after, emitted
 
     def run(self, state: State, data: bytes, closes: bool) -> tuple[State, int]:
         """The state that bytes of a word lead to and the tokens emitted; the last byte ends the word if it `closes`."""
-        total, body = 0, data[:-1] if closes else data
-        for k in range(0, len(body), 4096):
-            if len(self.items) > MOST_STATES:
-                self._clear()
-            at, step = self._number(state), self.step
-            for x in body[k : k + 4096]:
-                found = step.get(at << 9 | x) or self._compile(at, x)
-                at = found[0]
-                total += found[1]
-            state = self.items[at]
+        total, at = 0, self.number.get(state, -1)
+        for x in data[:-1] if closes else data:
+            at, state, n = self._next(at, state, x)
+            total += n
         if not closes:
             return state, total
-        at, x = self._number(state), data[-1] + _END
-        return START, total + (self.step.get(at << 9 | x) or self._compile(at, x))[1]
+        return START, total + self._stand(state, data[-1] + _END)[2]
 
     def ids(self, word: bytes) -> np.ndarray:
         """The tokens of one word, from the tokens that stand last after each of its bytes."""
-        last, state = np.zeros(len(word), np.int64), START
-        for k in range(0, len(word) - 1, 4096):
-            if len(self.items) > MOST_STATES:
-                self._clear()
-            at, step = self._number(state), self.step
-            for i, x in enumerate(word[k : min(k + 4096, len(word) - 1)], k):
-                at = (step.get(at << 9 | x) or self._compile(at, x))[0]
-                last[i] = self.items[at][-1][1]
-            state = self.items[at]
+        last, at, state = np.zeros(len(word), np.int64), 0, START
+        for i, x in enumerate(word[:-1]):
+            at, state, _ = self._next(at, state, x)
+            last[i] = state[-1][1]
         last[-1] = self._stand(state, word[-1] + _END)[1]
         out, at = np.zeros(len(word), np.int64), len(word)
         n = 0
@@ -193,16 +195,21 @@ class Transducer:
 
     def count(self, word: str) -> int:
         """The number of tokens of one short word."""
-        if len(self.items) > MOST_STATES:
-            self._clear()
         own, step = word.encode("utf-8", "surrogatepass"), self.step
         at = total = 0
-        for x in own[:-1]:
-            found = step.get(at << 9 | x) or self._compile(at, x)
+        for i, x in enumerate(own[:-1]):
+            found = step.get(at << 9 | x)
+            if found is None:
+                if not self._room():
+                    return total + self.run(self.items[at], own[i:], True)[1]
+                found = self._compile(at, x)
             at = found[0]
             total += found[1]
         x = own[-1] + _END
-        return total + (step.get(at << 9 | x) or self._compile(at, x))[1]
+        found = step.get(at << 9 | x)
+        if found is None:
+            found = self._compile(at, x) if self._room() else (0, self._stand(self.items[at], x)[2])
+        return total + found[1]
 
 
 class ChunkMap:
@@ -265,7 +272,7 @@ class Counter:
 
     def __init__(self, path: str, chunk: int = CHUNK):
         self.pre, self.fst, self.chunk = Pretokenizer(path), Transducer(path), chunk
-        self.memo = Memo(lambda words: np.fromiter(map(self.fst.count, words), np.int64, len(words)), bits=20)
+        self.memo = Memo(lambda words: np.fromiter(map(self.fst.count, words), np.int64, len(words)), bits=21)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Counts of whole texts: special strings, and the scans of the parts between them."""
