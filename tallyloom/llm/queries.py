@@ -10,6 +10,7 @@ from .quality_model import op9_quality_model
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import OP7_SQL, op7_secrets
 from .simhash import op4_simhash
+from .spelling import op13_spelling
 from .token_binary import op10_token_binary
 from .token_counts import op3_token_counts
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_model": op9_quality_model,
     "op10_token_binary": op10_token_binary,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL = {
