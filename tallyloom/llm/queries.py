@@ -9,6 +9,7 @@ from .packing import op8_packing
 from .quality_model import op9_quality_model
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import OP7_SQL, op7_secrets
+from .sessions import OP12_SQL, op12_sessions
 from .simhash import op4_simhash
 from .spelling import op13_spelling
 from .token_binary import op10_token_binary
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_model": op9_quality_model,
     "op10_token_binary": op10_token_binary,
+    "op12_sessions": op12_sessions,
     "op13_spelling": op13_spelling,
 }
 
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op6_mixture": OP6_SQL,
     "op7_secrets": OP7_SQL,
+    "op12_sessions": OP12_SQL,
 }
