@@ -6,6 +6,7 @@ from .embedding_links import op5_embedding_links
 from .language_id import op2_language_id
 from .mixture import OP6_SQL, op6_mixture
 from .packing import op8_packing
+from .pii import op11_personal
 from .quality_model import op9_quality_model
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import OP7_SQL, op7_secrets
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_model": op9_quality_model,
     "op10_token_binary": op10_token_binary,
+    "op11_personal": op11_personal,
     "op12_sessions": op12_sessions,
     "op13_spelling": op13_spelling,
 }
