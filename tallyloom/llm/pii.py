@@ -229,21 +229,29 @@ def _unmixed(n: int, sizes) -> list[int]:
     return out[::-1]
 
 
+def _free(spans: list[tuple], taken: list[tuple[int, int]]) -> list[tuple]:
+    """Those of the spans (kind, start, end, check) that overlap none of the taken ones."""
+    out, k, reach = [], 0, 0
+    for span in sorted(spans, key=lambda x: x[1]):
+        while k < len(taken) and taken[k][0] < span[2]:
+            reach, k = max(reach, taken[k][1]), k + 1
+        if reach <= span[1]:
+            out.append(span)
+    return out
+
+
 def candidates(t: str) -> list[Candidate]:
-    """All candidates of a text by kind and start; looser ones that overlap a base match are left out."""
+    """All candidates of a text by kind and start; looser ones that overlap a base match, or an account or
+    security number that passes its check, are left out."""
     found, taken = [], []
     for kind, start, end, passed in base_matches(t):
         found.append(judged(t, kind, start, end, passed, passed))
         if passed:
             taken.append((start, end))
-    taken.sort()
-    k, reach = 0, 0
-    for kind, start, end, check in sorted(loose_matches(t), key=lambda x: x[1]):
-        while k < len(taken) and taken[k][0] < end:
-            reach, k = max(reach, taken[k][1]), k + 1
-        if reach <= start:
-            found.append(judged(t, kind, start, end, False, check))
-    return sorted(found)
+    loose = list(loose_matches(t))
+    sure = _free([x for x in loose if x[3] and KINDS[x[0]] in ("iban", "ssn")], sorted(taken))
+    rest = _free([x for x in loose if not (x[3] and KINDS[x[0]] in ("iban", "ssn"))], sorted(taken + [x[1:3] for x in sure]))
+    return sorted(found + [judged(t, *x[:3], False, x[3]) for x in (*sure, *rest)])
 
 
 _FOUND = ArrayType(StructType([f for n, t in (("kind", IntegerType()), ("start", IntegerType()), ("end", IntegerType()), ("base", BooleanType()), ("votes", IntegerType()), ("cell", IntegerType())) for f in StructType().add(n, t)]))
