@@ -10,6 +10,7 @@ code, detail); severity is always `error`.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
 from tallyloom.operators import evidence
+from tallyloom.operators.cuts import durable
 
 # File names, contracts, fields, headings and vocabularies of cases.
 CONTRACT_OF = {
@@ -75,6 +77,8 @@ REPORT_AFTER = (MODULE_SECTION, EVIDENCE_SECTION)
 REVIEW_SCHEMA = "contradiction_review.v1"  # the end of the schema name; what stands before it is the writer's
 MATERIAL = ("identity.md", "base.md", "evidence.jsonl", "issues/contradictions.md")
 
+#: A file with front matter: what stands between two lines that begin with three hyphens, and what follows the second.
+FRONT = re.compile(r"---\n(?P<front>.*?)\n---[^\n]*(?:\n(?P<body>.*))?\Z", re.DOTALL)
 REQUIRED_DOCUMENTS = ("identity.md", "base.md", "report.md")
 _ISSUES = "array<struct<code:string,detail:string>>"
 
@@ -89,17 +93,14 @@ def parsed(files: DataFrame) -> DataFrame:
     def read(text: str) -> tuple[str, dict, str]:
         import yaml
 
-        if not text.startswith("---\n"):
+        parts = FRONT.match(text)
+        if not parts:
             return "", {}, text
-        end = text.find("\n---", 4)
-        if end < 0:
-            return "", {}, text
-        after = text.find("\n", end + 1)
         try:
-            found = yaml.safe_load(text[4:end].strip() or "{}")
-        except yaml.YAMLError as error:
+            found = yaml.safe_load(parts["front"].strip() or "{}")
+        except Exception as error:  # a date that is none, nesting too deep, bad syntax: the document's own problem, not the job's
             return str(error).split("\n")[0] or "bad front matter", {}, ""
-        return "", found if isinstance(found, dict) else {}, text[after + 1 :] if after >= 0 else text
+        return "", found if isinstance(found, dict) else {}, text if parts["body"] is None else parts["body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,7 +362,8 @@ def base_lock(docs: DataFrame, manifests: DataFrame) -> DataFrame:
 def material(files: DataFrame) -> DataFrame:
     """(case_id, files, digest): content hashes of what a review of contradictions rests on, by path, and their digest."""
     own = files.where(F.col("path").isin(*MATERIAL) | F.col("path").rlike(r"^(modules|findings)/[^/]+\.md$"))
-    hashed = own.select("case_id", F.struct("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("f"))
+    each = own.groupBy("case_id", "path").agg(F.min(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"))  # a path given twice counts once
+    hashed = each.select("case_id", F.struct("path", "sha").alias("f"))
     listed = hashed.groupBy("case_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
     lines = F.array_join(F.transform("fs", lambda f: F.concat(f["path"], F.lit("\0"), f["sha"], F.lit("\n"))), "")
     return listed.select("case_id", F.map_from_entries("fs").alias("files"), F.sha2(lines, 256).alias("digest"))
@@ -467,7 +469,7 @@ def case_issues(files: DataFrame, manifests: DataFrame, reviews: DataFrame, taxo
 
     `manifests` and `reviews` hold (case_id, text), the JSON a case keeps beside its documents.
     """
-    docs, cases = in_case(parsed(files)), files.select("case_id").distinct()
+    docs, cases = durable(in_case(parsed(files)), "documents"), files.select("case_id").distinct()  # every family reads the parsed documents
     cards = log_cards(files, card_form)
     if path is not None:
         docs = docs.where(F.col("path") == path)

@@ -130,7 +130,7 @@ def frontmatter(docs: DataFrame, text: str) -> DataFrame:
                 if t.startswith("---\n") and (end := t.find("\n---", 4)) >= 0:
                     try:
                         found = yaml.safe_load(t[4:end])
-                    except yaml.YAMLError:
+                    except Exception:  # whatever a bad value raises is this document's alone
                         found = None
                     front, t = found if isinstance(found, dict) else {}, t[end + 4 :].lstrip("\n")
                 keys.append(",".join(sorted(map(str, front))))

@@ -27,4 +27,4 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
     return register
 
 
-from tallyloom.plans import cases, contracts, findings, snapshots, texts  # noqa: E402, F401  (they register their queries)
+from tallyloom.plans import cases, contracts, findings, snapshots, texts, wholecases  # noqa: E402, F401  (they register their queries)

@@ -7,6 +7,7 @@ stands for the SHA-256 of x in either. They scan one table each, prune columns a
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -204,8 +205,14 @@ RELATIONS: dict[str, tuple[str, dict[str, str], str]] = {
 }
 
 
+#: Relations that are the rows of several others, which have the same columns.
+UNIONS: dict[str, tuple[str, ...]] = {}
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation as a DataFrame."""
+    if name in UNIONS:
+        return functools.reduce(DataFrame.unionByName, [relation(spark, sf_dir, part) for part in UNIONS[name]])
     table, columns, where = RELATIONS[name]
     at = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     at = at.where(where) if where else at
@@ -214,6 +221,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cte(name: str) -> str:
     """The same relation as a named SQL query."""
+    if name in UNIONS:
+        return f"{name} AS ({' UNION ALL BY NAME '.join(f'SELECT * FROM {part}' for part in UNIONS[name])})"
     table, columns, where = RELATIONS[name]
     inner = ", ".join(f'{e.format(s="sha256(", e=")")} AS "{c}"' for c, e in columns.items())
     return f"{name} AS (SELECT {inner} FROM {table}{f' WHERE {where}' if where else ''})"
@@ -221,7 +230,9 @@ def cte(name: str) -> str:
 
 def sql(query: str) -> str:
     """A query with the relations it names put before it."""
-    used = [n for n in RELATIONS if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", query)]
+    named = lambda n: re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", query)
+    unions = [n for n in UNIONS if named(n)]
+    used = [n for n in RELATIONS if named(n) or any(n in UNIONS[u] for u in unions)] + unions
     if not used:
         return query
     rest = query.strip()
