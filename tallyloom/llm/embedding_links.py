@@ -18,9 +18,13 @@ In data without structure (independent random directions) no bound prunes and ve
 cells of their label, so work grows with the square of the label there; that is the nature of the
 exact problem.
 
+Vectors are scaled by a power of two, which a cosine doesn't see, so that squares of any finite components stay
+within doubles.
+
 Defined results: a vector that is null, zero or holds null or non-finite components, or has no
-label or no vec_id, links with nothing and is counted by none; vectors of different length don't
-link; repeated vec_ids are rows of their own and link like others of their vector.
+label, links with nothing and is counted by none; vectors of different length don't link; repeated
+vec_ids are rows of their own and link like others of their vector; a row without vec_id links and is
+counted like any other, and a component's id is the smallest there is, null if none of its rows has one.
 """
 
 from __future__ import annotations
@@ -42,6 +46,11 @@ LEAF = 8
 _SLACK = 1e-6
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows with their largest component brought between 1/2 and 1; exact but for components that are nothing beside it."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
@@ -72,6 +81,8 @@ class CoverTree:
 
     def _build(self, points: np.ndarray) -> None:
         radius = float(_far(self.x[points[:1]], self.x[points]).max())
+        if not math.isfinite(radius):
+            raise ValueError("a cover tree needs unit vectors")
         stack = [self._node(points, radius)]
         while stack:
             node = stack.pop()
@@ -178,9 +189,9 @@ def usable(vector: Column, label: Column) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors of one length as rows."""
+    """Vectors of one length as rows, scaled."""
     held = column.combine_chunks()
-    return np.asarray(held.flatten(), float).reshape(len(held), -1)
+    return _scaled(np.asarray(held.flatten(), float).reshape(len(held), -1))
 
 
 def _share(rows: DataFrame, salt: int) -> Column:
@@ -223,7 +234,7 @@ def _measured(rows: DataFrame, cells: DataFrame, block: int, fan: int) -> DataFr
             d = np.empty((0, 1))
             child = np.empty(0, int)
         elif k == 1:
-            d = np.tile(_far(_unit(_matrix(own.column("vector"))), _unit(np.array([known.column("pivots")[0].as_py()], float))), (1, known.column("want")[0].as_py()))
+            d = np.tile(_far(_unit(_matrix(own.column("vector"))), _unit(_scaled(np.array([known.column("pivots")[0].as_py()], float)))), (1, known.column("want")[0].as_py()))
             child = own.column("rep").to_numpy() % d.shape[1]
         else:
             d = _far(_unit(_matrix(own.column("vector"))), np.array(known.column("pivots")[0].as_py()).reshape(k, -1))
@@ -298,7 +309,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     """(vec_id, n_links, component_id) of rows (vec_id, embedding, label)."""
     at = vectors.select("vec_id", "label", F.col("embedding").alias("vector")).withColumn("usable", usable(F.col("vector"), F.col("label")))
     at = at.withColumns({"dim": F.size("vector"), "k1": F.xxhash64("vector"), "k2": F.xxhash64(F.lit(1), "vector")})
-    fit = at.where("usable and vec_id is not null")
+    fit = at.where("usable")
     keys = ["label", "dim", "k1", "k2"]
     least = F.min("vec_id").alias("first")
     distinct = fit.groupBy(*keys).agg(least, F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"))
@@ -312,10 +323,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     n_links = (F.coalesce("added", F.lit(0)) + F.col("copies") - 1).cast("long")
     known = known.select(*keys, n_links.alias("n_links"), F.coalesce("least", "first").alias("component_id"))
     linked = fit.select("vec_id", *keys).join(known, keys).select("vec_id", "n_links", "component_id")
-    single = at.where("not usable or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    single = at.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(single)
 
 
 def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(table(spark, sf_dir, "embeddings"))
-    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -284,7 +284,28 @@ def test_embedding_cells_of_any_depth(spark, block, fan):
 def test_embedding_rows_of_one_id(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (2, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (3, [1.0], 0)], "vec_id long, embedding array<double>, label int")
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_links.near_vectors(table.withColumn("node", F.lit("clash"))).collect()), key=str)
-    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (None, 0, None)]
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3), (None, 3, 1)]
+
+
+MIXED = [[1e-200, 1e-200], [2e-200, 2e-200], [1e200, 0.0], [2e200, 0.0], [1.0, 0.0], [1.0, 0.01], [5e-324, 0.0], [1.7e308, 1.7e308], [1e-310, 1e300], [0.0, 1.0], [-1e200, 0.0], [3e-320, 3e-320]]
+
+
+@pytest.mark.parametrize("repeats", [1, 8])
+@pytest.mark.parametrize("block", [2048, 4])
+def test_embedding_links_of_any_finite_vectors(spark, block, repeats):
+    """Squares of components that leave the range of doubles, in any order, against a brute force on scaled vectors."""
+    rng = np.random.default_rng(3)
+    made = [(np.array(v) * (1 + rng.integers(3) / 1000)).tolist() if k else v for k in range(repeats) for v in MIXED]
+    made = [[x if np.isfinite(x) else 1.7e308 for x in v] for v in made]
+    scaled = [np.array(v) / np.abs(v).max() for v in made]
+    unit = [x / np.sqrt(x @ x) for x in scaled]
+    links = [(i, j) for i in range(len(made)) for j in range(i) if unit[i] @ unit[j] >= 0.98]
+    order = rng.permutation(len(made)).tolist()
+    table = spark.createDataFrame([(i, made[i], 0) for i in order], "vec_id long, embedding array<double>, label int")
+    got = rows(embedding_links.near_vectors(table, block=block, fan=3), "vec_id")
+    want = components(range(len(made)), links)
+    for i in range(len(made)):
+        assert (got[i]["n_links"], got[i]["component_id"]) == (sum(i in p for p in links), want[i]), made[i]
 
 
 def test_embedding_query_keeps_one_of_each(spark, folder):
