@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
-from tallyloom.operators import bags, code_units, results, search
+from tallyloom.operators import bags, recall, code_units, results, search
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapters import relation
 
@@ -387,6 +387,30 @@ def union_examples(spark, d):
 def head_candidates(spark, d):
     return search.head_candidates(relation(spark, d, "bag"), relation(spark, d, "units").where("shape <> ''"), [LEFT], 30, relation(spark, d, "heads"))
 
+_ALL_BAG = "(SELECT work_id, path, blob FROM bag UNION ALL SELECT DISTINCT work_id, 'LICENSE', 'license' FROM bag)"
+
+
+@query(
+    f"""WITH x AS (SELECT * FROM {_ALL_BAG}), v AS (SELECT work_id, shape FROM units WHERE shape <> '' AND work_id IN (SELECT work_id FROM bag)),
+    bc AS (SELECT work_id, blob AS k, count(*) AS n FROM x GROUP BY ALL), uc AS (SELECT work_id, shape AS k, count(*) AS n FROM v GROUP BY ALL),
+    b AS (SELECT l.work_id AS target, r.work_id AS candidate, sum(least(l.n, r.n))::BIGINT AS shared FROM bc l JOIN bc r USING (k) WHERE l.work_id <> r.work_id GROUP BY ALL),
+    u AS (SELECT l.work_id AS target, r.work_id AS candidate, sum(least(l.n, r.n))::BIGINT AS shared FROM uc l JOIN uc r USING (k) WHERE l.work_id <> r.work_id GROUP BY ALL),
+    bt AS (SELECT work_id, count(*) AS n FROM x GROUP BY work_id), ut AS (SELECT work_id, count(*) AS n FROM v GROUP BY work_id),
+    s AS (SELECT t.work_id AS target, c.work_id AS candidate, coalesce(b.shared, 0) AS blob_shared, coalesce(u.shared, 0) AS shape_shared,
+      round_even(coalesce(b.shared, 0) / greatest(t.n, c.n), 6) AS blob_balanced, round_even(CASE WHEN p.n > 0 AND q.n > 0 THEN coalesce(u.shared, 0) / greatest(p.n, q.n) ELSE 0 END, 6) AS shape_balanced
+      FROM bt t JOIN bt c ON t.work_id <> c.work_id LEFT JOIN b ON b.target = t.work_id AND b.candidate = c.work_id LEFT JOIN u ON u.target = t.work_id AND u.candidate = c.work_id
+      LEFT JOIN ut p ON p.work_id = t.work_id LEFT JOIN ut q ON q.work_id = c.work_id)
+    SELECT target, candidate, coalesce(display_name, candidate) AS display_name, coalesce(commit, '') AS commit, blob_shared, shape_shared, blob_balanced, shape_balanced, greatest(blob_balanced, shape_balanced) AS score,
+    row_number() OVER (PARTITION BY target ORDER BY greatest(blob_balanced, shape_balanced) DESC, coalesce(display_name, candidate), coalesce(commit, ''), candidate) AS rank
+    FROM s LEFT JOIN heads ON work_id = candidate QUALIFY rank <= 5"""
+)
+def head_recall(spark, d):
+    """The five likeliest sources of every work; every work also holds the same license file."""
+    bag = relation(spark, d, "bag").select("work_id", "path", "blob")
+    license = bag.select("work_id").distinct().select("work_id", F.lit("LICENSE").alias("path"), F.lit("license").alias("blob"))
+    return recall.head_recall(bag.unionByName(license), relation(spark, d, "units").where("shape <> ''"), 5, relation(spark, d, "heads"))
+
+
 
 @query("SELECT DISTINCT work_id, object_id FROM history WHERE object_id IN (SELECT blob FROM bag WHERE work_id = 'w1')")
 def history_objects(spark, d):
