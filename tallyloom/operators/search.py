@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
-from tallyloom.operators import bags
+from tallyloom.operators import bags, commitgraph
 from tallyloom.operators.cuts import durable
 
 MOST_BYTES = 4 << 20
@@ -150,23 +150,10 @@ def resolve(refs: DataFrame, ref: str) -> DataFrame:
 
 
 def ancestors(commits: DataFrame, start: int) -> DataFrame:
-    """Commits reachable from one by (id, parent_id) rows, with their least distance.
-
-    Hops double in each round, so the rounds are the logarithm of the history's depth and not its
-    depth; each round is a join of what is reached and one of the hops with themselves.
-    """
-    spark, step = commits.sparkSession, 1
-    hops = durable(commits.where("parent_id is not null").select("id", "parent_id").distinct(), "hops")
-    seen, n = spark.createDataFrame([(start, 0)], "id long, depth long"), 1
-    seen = seen.join(commits.select("id"), "id", "left_semi")
-    while True:
-        further = seen.join(hops, "id").select(F.col("parent_id").alias("id"), (F.col("depth") + step).alias("depth"))
-        seen = durable(seen.union(further).groupBy("id").agg(F.min("depth").alias("depth")), "seen")
-        before, n = n, seen.count()
-        if n == before or not n:
-            return seen
-        after = hops.withColumnRenamed("parent_id", "via").join(hops.select(F.col("id").alias("via"), "parent_id"), "via")
-        hops, step = durable(after.select("id", "parent_id").distinct(), "hops"), step * 2
+    """Commits reachable from one by (id, parent_id) rows, with their least distance; a parent's id is less than its child's."""
+    own = commits.select(F.lit("").alias("work_id"), "id", "parent_id")
+    first = commits.where(F.col("id") == start).select(F.lit("").alias("work_id"), "id")
+    return commitgraph.reached(own, first).select("id", "depth")
 
 
 def comparison(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
-from tallyloom.operators import bags, recall, code_units, results, search
+from tallyloom.operators import bags, code_units, commitgraph, recall, results, search
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapters import relation
 
@@ -449,11 +449,40 @@ def ref_resolve(spark, d):
 
 
 @query(
-    """WITH RECURSIVE up AS (SELECT id, parent_id, 0 AS depth FROM commits WHERE id = 900 UNION ALL SELECT c.id, c.parent_id, depth + 1 FROM up JOIN commits c ON c.id = up.parent_id)
+    """WITH RECURSIVE up AS (SELECT id, parent_id, 0 AS depth FROM commits WHERE id = (SELECT max(id) FROM commits) UNION ALL SELECT c.id, c.parent_id, depth + 1 FROM up JOIN commits c ON c.id = up.parent_id)
     SELECT id, min(depth)::BIGINT AS depth FROM up GROUP BY id"""
 )
 def reachable_commits(spark, d):
-    return search.ancestors(relation(spark, d, "commits").select("id", "parent_id"), 900)
+    """What the newest commit reaches, with least distances."""
+    commits = relation(spark, d, "commits").select("id", "parent_id")
+    return search.ancestors(commits, commits.agg(F.max("id")).first()[0])
+
+
+_MERGES = """x AS (SELECT 'r' || (id % 20)::VARCHAR AS work_id, id, path, unnest([id - 20 * (1 + id % 3), id - 20 * (2 + id % 2)]) AS parent_id FROM commits),
+    up AS (SELECT work_id, id FROM (SELECT work_id, max(id) AS id FROM x GROUP BY work_id) UNION SELECT x.work_id, x.parent_id FROM up JOIN x ON x.work_id = up.work_id AND x.id = up.id WHERE x.parent_id >= 0)"""
+
+
+def _merge_rich(spark, d):
+    """Histories of twenty works in which every commit has two parents, and where each work stands."""
+    at = relation(spark, d, "commits").select(F.concat(F.lit("r"), (F.col("id") % 20).cast("string")).alias("work_id"), "id", "path")
+    parents = F.array(F.col("id") - 20 * (1 + F.col("id") % 3), F.col("id") - 20 * (2 + F.col("id") % 2))
+    edges = at.select("work_id", "id", F.explode(F.transform(parents, lambda p: F.when(p >= 0, p))).alias("parent_id"))
+    return at, edges, at.groupBy("work_id").agg(F.max("id").alias("id"))
+
+
+@query(f"WITH RECURSIVE {_MERGES} SELECT work_id, id FROM up")
+def merge_reachability(spark, d):
+    """The commits that each work's newest reaches, all works at once."""
+    _, edges, starts = _merge_rich(spark, d)
+    return commitgraph.reached(edges, starts).select("work_id", "id")
+
+
+@query(f"WITH RECURSIVE {_MERGES}, w AS (SELECT DISTINCT path FROM commits WHERE pack < 7) SELECT DISTINCT up.work_id, path AS object_id FROM up JOIN commits c ON c.id = up.id WHERE path IN (SELECT path FROM w)")
+def merge_objects(spark, d):
+    """The objects of a few packs that each work's history holds."""
+    at, edges, starts = _merge_rich(spark, d)
+    wanted = relation(spark, d, "commits").where("pack < 7").select(F.col("path").alias("object_id"))
+    return commitgraph.reached_objects(edges, starts, at.withColumnRenamed("path", "object_id"), wanted)
 
 
 _FN = "'fn_' || CAST(id AS STRING)"
