@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
 from tallyloom.operators import case_rules, evidence
+from tallyloom.operators.digests import ordered_digest
 
 # What readers of compiled reports look for.
 REPORT_WRITER, REPORT_SCHEMA = "review_case_report_data_compiler", "report_data.v3"
@@ -73,9 +74,7 @@ def site_index(docs: DataFrame) -> DataFrame:
 def material_digest(docs: DataFrame) -> DataFrame:
     """SHA-256 over path, NUL, content hash and line feed of modules and findings, by path."""
     material = docs.where(F.col("path").startswith("modules/") | F.col("path").startswith("findings/"))
-    row = F.concat("path", F.lit("\0"), F.sha2("body", 256), F.lit("\n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", row.alias("row")))), lambda x: x["row"])
-    return material.groupBy("work_id").agg(F.sha2(F.array_join(ordered, ""), 256).alias("digest"))
+    return ordered_digest(material, "work_id", [F.col("path")], F.concat("path", F.lit("\0"), F.sha2("body", 256), F.lit("\n")))
 
 
 def section_view(title: Column) -> Column:

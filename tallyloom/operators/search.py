@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import paths as P
 from tallyloom.operators import bags, commitgraph
 from tallyloom.operators.cuts import durable
+from tallyloom.operators.digests import ordered_digest
 
 MOST_BYTES = 4 << 20
 
@@ -27,9 +28,7 @@ def source_blobs(tree: DataFrame, suffixes: list[str], most_bytes: int = MOST_BY
 
 def digest_of(rows: DataFrame, group: str, *parts: str) -> DataFrame:
     """SHA-256 over a group's rows in order; parts joined by NUL, rows by a line feed."""
-    line = F.concat_ws("\0", *parts)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*parts, line.alias("__line")))), lambda x: x["__line"])
-    return rows.groupBy(group).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"))
+    return ordered_digest(rows, group, [F.col(c) for c in parts], F.concat_ws("\0", *parts), "\n")
 
 
 def snapshot_manifest(files: DataFrame, units: DataFrame) -> DataFrame:

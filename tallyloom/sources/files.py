@@ -129,7 +129,7 @@ class _GitReader(DataSourceReader):
             if len(meta) != 4:
                 continue
             mode, kind, object_id, size = (m.decode() for m in meta)
-            name = path.decode("utf-8", "replace")
+            name = path.decode("utf-8", "backslashreplace")  # paths that are no UTF-8 stay apart
             if not self.blobs:
                 yield partition.work_id, mode, kind, object_id, name, None if size == "-" else int(size)
             elif kind == "blob" and int(size) <= self.most and (not self.suffixes or name.endswith(self.suffixes)):
