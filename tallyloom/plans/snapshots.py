@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
-from tallyloom.operators import bags, code_units, commitgraph, recall, results, search, store
+from tallyloom.operators import bags, code_units, commitgraph, headrecord, pages, recall, results, search, store
 from tallyloom.operators.cuts import fresh_path
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapters import relation
@@ -339,6 +339,36 @@ def directory_overlap(spark, d):
     return bags.greedy_directories(left, right, "shape", P.parent_dir(F.col("path")), [F.col(c) for c in ("path", "line", "symbol", "ord")])
 
 
+@query(
+    f"""WITH t AS (SELECT work_id AS target, shape, {_PARENT_SQL.format(p='path')} AS directory, row_number() OVER (PARTITION BY work_id, shape ORDER BY path, line, symbol, ord) AS rn FROM units WHERE shape <> '' AND work_id IN ('w1', 'w2')),
+    c AS (SELECT work_id AS candidate, shape, count(*) AS n FROM units WHERE shape <> '' GROUP BY ALL), p AS (SELECT t.target, c.candidate FROM (SELECT DISTINCT target FROM t) t JOIN (SELECT DISTINCT candidate FROM c) c ON t.target <> c.candidate)
+    SELECT p.target, p.candidate, directory, count(*) FILTER (rn <= coalesce(n, 0)) AS shared_instances, count(*) AS target_instances FROM p JOIN t USING (target) LEFT JOIN c ON c.candidate = p.candidate AND c.shape = t.shape GROUP BY ALL"""
+)
+def directory_overlaps(spark, d):
+    """How the directories of two targets share out what every other work has of their shapes."""
+    units = relation(spark, d, "units").where("shape <> ''")
+    works = units.select(F.col("work_id").alias("candidate")).distinct()
+    pairs = works.select(F.explode(F.array(F.lit(LEFT), F.lit(RIGHT))).alias("target"), "candidate").where("target <> candidate")
+    return headrecord.directories(pairs, units, ["path", "line", "symbol", "ord"])
+
+
+_OCCURRENCES = f"""SELECT 'shared_content_occurrences' AS part, blob AS a, side AS b, path AS c, '{{"blob":"' || blob || '","side":"' || side || '","path":"' || path || '","instances":' || n || '}}' AS line
+      FROM (SELECT DISTINCT blob, 'left' AS side, path FROM l UNION ALL SELECT DISTINCT blob, 'right', path FROM r) JOIN (SELECT lb.blob, least(lb.n, rb.n) AS n FROM (SELECT blob, count(*) AS n FROM l GROUP BY blob) lb JOIN (SELECT blob, count(*) AS n FROM r GROUP BY blob) rb USING (blob)) USING (blob)
+    UNION ALL SELECT 'path_aligned_occurrences', path, blob, '', '{{"path":"' || path || '","blob":"' || blob || '","instances":' || least(x.n, y.n) || '}}' FROM (SELECT path, blob, count(*) AS n FROM l GROUP BY ALL) x JOIN (SELECT path, blob, count(*) AS n FROM r GROUP BY ALL) y USING (path, blob)
+    UNION ALL SELECT side || '_residual_occurrences', blob, path, '', '{{"blob":"' || blob || '","path":"' || path || '","instances":' || count(*) || '}}' FROM (SELECT * FROM {_RESIDUAL.format(a=_L, b=_R, s='left')} UNION ALL SELECT * FROM {_RESIDUAL.format(a=_R, b=_L, s='right')}) GROUP BY side, blob, path"""
+
+
+@query(
+    f"""WITH l AS (SELECT path, blob FROM bag WHERE work_id = 'w1'), r AS (SELECT path, blob FROM bag WHERE work_id = 'w2'), o AS ({_OCCURRENCES}),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY part ORDER BY a, b, c) - 1) // 100 AS page, row_number() OVER (PARTITION BY part ORDER BY a, b, c) AS place FROM o)
+    SELECT part, page, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY place) || chr(10)) AS sha256 FROM p GROUP BY part, page"""
+)
+def pair_pages(spark, d):
+    """Every occurrence of a comparison, in pages of a hundred rows."""
+    left, right = (x.select("path", "blob") for x in sides(spark, d))
+    return pages.pair_pages(left, right, 100).select("part", "page", "n", "sha256")
+
+
 @query(
     """WITH f AS (SELECT *, row_number() OVER (PARTITION BY work_id, shape ORDER BY path, line, symbol, ord) AS rn FROM units WHERE shape <> '')
     SELECT l.shape, l.path || ':' || l.symbol AS left_unit, r.path || ':' || r.symbol AS right_unit FROM f l JOIN f r ON l.shape = r.shape AND l.rn = 1 AND r.rn = 1
