@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import evidence, report
+from tallyloom.operators.cuts import fresh_path
 from tallyloom.plans.registry import query
+from tallyloom.sources import files
 from tallyloom.sources.adapters import relation
 from tallyloom.streaming import ingest
 
@@ -69,6 +71,23 @@ def evidence_scan(spark, d):
     return evidence.scan(relation(spark, d, "cards")).select("evidence_id", "kind", "title", F.length("excerpt").cast("long").alias("chars"))
 
 
+@query(
+    """WITH x AS (SELECT row_number() OVER (ORDER BY n) AS line, CASE n % 50 WHEN 7 THEN 'json' WHEN 11 THEN 'object' WHEN 9 THEN 'blank' ELSE '' END AS form, CASE WHEN n % 50 = 13 THEN 'E777' ELSE evidence_id END AS evidence_id, kind, title, source_name FROM cards),
+    p AS (SELECT line, CASE WHEN form <> '' THEN '' ELSE evidence_id END AS evidence_id, CASE WHEN form <> '' THEN form WHEN NOT regexp_matches(evidence_id, '^E[0-9]{3,}$') THEN 'id'
+      WHEN kind NOT IN ('source_span', 'document_span', 'git_commit', 'fingerprint_comparison', 'search_result') THEN 'kind' WHEN trim(title) = '' THEN 'title' WHEN trim(source_name) = '' THEN 'source' ELSE '' END AS problem FROM x)
+    SELECT line, evidence_id, CASE WHEN problem = '' THEN 'duplicate' ELSE problem END AS problem FROM p
+    WHERE problem NOT IN ('', 'blank') OR (problem = '' AND line > (SELECT min(q.line) FROM p q WHERE q.problem = '' AND q.evidence_id = p.evidence_id))"""
+)
+def log_problems(spark, d):
+    """The bad lines of an evidence log that was written in several files, by their numbers in the whole."""
+    cards, at = relation(spark, d, "cards"), fresh_path(spark, "log")
+    known = F.when(F.col("n") % 50 == 13, "E777").otherwise(F.col("evidence_id")).alias("evidence_id")
+    card = F.to_json(F.struct(known, "kind", "title", F.struct(F.col("source_name").alias("display_name"), F.lit("p").alias("path")).alias("source"), F.lit("x").alias("excerpt")))
+    line = F.when(F.col("n") % 50 == 7, "{broken").when(F.col("n") % 50 == 11, "[1]").when(F.col("n") % 50 == 9, " ").otherwise(card)
+    cards.select("n", line.alias("value")).repartitionByRange(5, "n").sortWithinPartitions("n").select("value").write.text(at)
+    return files.check_log(spark, at)
+
+
 @query(f"SELECT n, {_SIGNATURE} AS signature FROM cards")
 def evidence_signature(spark, d):
     return relation(spark, d, "cards").select("n", evidence.signature().alias("signature"))

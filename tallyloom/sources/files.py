@@ -10,7 +10,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -71,6 +71,50 @@ def check_cards(cards: DataFrame) -> DataFrame:
     return found.select("evidence_id", problem.alias("problem"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value) of a text file, or of the files of a folder as one text in order of their names, lines numbered from 1.
+
+    A split knows the byte it begins at but not the lines before it. They are a prefix sum over the
+    splits, one row each, and a line's own place is its row's within its split; so a log of any size is
+    numbered in two scans and without a sort. The files must not change meanwhile.
+    """
+    at = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = at.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return at.join(splits, ["path", "block"]).select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def check_log(spark: SparkSession, path: str) -> DataFrame:
+    """(line, evidence_id, problem) of every line of an evidence log that is no good card; blank lines are none at all.
+
+    Problems are those of `evidence.validated`, `json` and `object` for lines that hold no JSON or no object, `facts`,
+    `table` and `raw_ref` for parts of another form, and `duplicate` for an id that a good card has on an earlier line.
+    """
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    got = lines.select("line", F.try_parse_json("value").alias("v"), F.from_json("value", CARDS, {"mode": "PERMISSIVE"}).alias("c"))
+    kind = F.coalesce(F.schema_of_variant("v"), F.lit(""))
+    of = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")), F.lit("VOID"))
+    flat = got.select("line", kind.alias("__kind"), of("facts").alias("__facts"), of("table").alias("__table"), of("raw_ref").alias("__raw"), "c.*")
+    flat = flat.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("evidence_id", "kind", "title")}).withColumn("source_name", F.coalesce("source.display_name", F.lit("")))
+    raw = (F.coalesce("raw_ref.path", F.lit("")) == "") | (F.coalesce("raw_ref.sha256", F.lit("")) == "")
+    facts = (F.col("__facts") != "VOID") & ~F.col("__facts").rlike("^ARRAY<(OBJECT|VOID)")
+    table = (F.col("__table") != "VOID") & ~F.startswith(F.col("__table"), F.lit("OBJECT"))
+    problem = (
+        F.when(F.col("__kind") == "", "json")
+        .when(~F.startswith(F.col("__kind"), F.lit("OBJECT")), "object")
+        .when(F.col("problem").isin("id", "kind", "title", "source"), F.col("problem"))
+        .when(facts, "facts")
+        .when(table | (F.col("problem") == "table"), "table")
+        .when((F.col("__raw") != "VOID") & raw, "raw_ref")
+        .otherwise("")
+    )
+    judged = evidence.validated(flat).select("line", "evidence_id", problem.alias("problem"))
+    first = judged.where("problem = ''").groupBy("evidence_id").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = judged.join(first, "evidence_id", "left")
+    return again.withColumn("problem", F.when((F.col("problem") == "") & (F.col("line") > F.col("first")), "duplicate").otherwise(F.col("problem"))).where("problem <> ''").select("line", "evidence_id", "problem")
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of Markdown files below a folder."""
     at = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
