@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import texts as T
 from tallyloom.functions import views
-from tallyloom.operators import capture, case_rules, results, rules, search
+from tallyloom.operators import capture, case_rules, postings, results, rules, search
+from tallyloom.operators.cuts import durable
 from tallyloom.plans.registry import query
 from tallyloom.plans.snapshots import _PAIRS, LEFT, RIGHT, _pair_sql, sides  # noqa: F401
 from tallyloom.sources.adapters import relation
@@ -127,6 +129,26 @@ def capture_searches(spark, d):
     return found.select(F.col("source.work_id").alias("work_id"), F.col("facts")[2]["value"].cast("long").alias("hits"), F.size("table.rows").alias("rows"))
 
 
+@query(
+    f"""WITH h AS (SELECT coalesce(work_id, 'none') AS work_id, doc_id::VARCHAR AS path, k, ls[k] AS line FROM (SELECT t.work_id, t.doc_id, l.ls, unnest(range(1, len(l.ls) + 1)) AS k FROM texts t JOIN {_TEXT_LINES} l ON l.doc_id = t.doc_id)),
+    p AS (SELECT unnest(range(5)) AS p, unnest(['token = "[0-9a-f]+|Licensed under', 'AKIA[A-Z0-9]+ ', 'password=|passwd', 'no such words', '[0-9]{{16}}']) AS pattern),
+    w AS (SELECT DISTINCT coalesce(work_id, 'none') AS work_id FROM texts)
+    SELECT w.work_id, p.p, count(h.k)::BIGINT AS hits, min(h.path || ':' || h.k::VARCHAR) AS first FROM w CROSS JOIN p LEFT JOIN h ON h.work_id = w.work_id AND regexp_matches(h.line, p.pattern) GROUP BY ALL"""
+)
+def indexed_searches(spark, d):
+    """Five patterns searched in every work by the index of its texts."""
+    blobs = _blobs(spark, d).drop("doc_id")
+    patterns = ['token = "[0-9a-f]+|Licensed under', "AKIA[A-Z0-9]+ ", "password=|passwd", "no such words", "[0-9]{16}"]
+    works = blobs.select("work_id", "commit").distinct()
+    asked = works.select("work_id", "commit", F.posexplode(F.array(*[F.lit(p) for p in patterns])).alias("p", "pattern"))
+    asked = asked.withColumn("n", F.xxhash64("work_id", "p"))
+    index = durable(postings.postings(blobs), "postings")
+    maybe = postings.candidate_files(asked, index, blobs)
+    lines = maybe.join(blobs, ["work_id", "commit", "path"]).select("n", "path", F.posexplode(T.lines(F.col("text"))).alias("k", "line")).join(asked.select("n", "pattern"), "n")
+    hits = lines.where(F.expr("line RLIKE pattern")).groupBy("n").agg(F.count(F.lit(1)).alias("hits"), F.min(F.concat_ws(":", "path", (F.col("k") + 1).cast("string"))).alias("first"))
+    return asked.join(hits, "n", "left").select("work_id", F.col("p").cast("long").alias("p"), F.coalesce("hits", F.lit(0)).alias("hits"), "first")
+
+
 @query(
     """SELECT id AS n, subject || chr(10) || chr(10) || body AS excerpt, path || '|' || additions || '|' || deletions AS row, coalesce(try_cast(additions AS BIGINT), 0) AS additions, commit AS object_hash FROM commits"""
 )
