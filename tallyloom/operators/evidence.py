@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
@@ -107,9 +107,10 @@ def duplicates(rows: DataFrame, key: str) -> DataFrame:
 
 
 def commit_rows(commits: DataFrame) -> DataFrame:
-    """Commit facts with the author's commit before and a locator."""
-    parent = F.lag("commit").over(Window.partitionBy("author").orderBy("id"))
-    return commits.select("pack", "commit", "author", "subject", F.length("body").cast("long").alias("body_chars"), F.coalesce(parent, F.lit("")).alias("parent"), F.concat_ws(":", "author", F.substring("commit", 1, 12)).alias("locator"))
+    """Commit facts with the parent's commit, '' without one, and a locator."""
+    parents = commits.select(F.col("id").alias("parent_id"), F.col("commit").alias("parent"))
+    own = commits.join(parents, "parent_id", "left")
+    return own.select("pack", "commit", "author", "subject", F.length("body").cast("long").alias("body_chars"), F.coalesce("parent", F.lit("")).alias("parent"), F.concat_ws(":", "author", F.substring("commit", 1, 12)).alias("locator"))
 
 
 def commit_stats(files: DataFrame) -> DataFrame:

@@ -107,8 +107,20 @@ def head_result(found: DataFrame, target: dict) -> DataFrame:
     return _listed(rows, "candidates", "rank").select(F.to_json(F.struct(F.lit(HEAD_SCHEMA).alias("schema"), *named, "candidates")).alias("text"))
 
 
-def history_result(found: DataFrame, target: dict, prefixes: tuple[str, ...] = ()) -> DataFrame:
-    """(text): the record of a history search (rows of `search.history_search`)."""
+def history_result(found: DataFrame, target: dict, prefixes: tuple[str, ...] = (), works: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
+    """(text): the record of a history search (rows of `search.history_search`).
+
+    With a normalised registry candidates have its entries; with the rows of `search.history_matches` the
+    number of the target's occurrences that each holds. The occurrences themselves are `pages.history_pages`.
+    """
+    entries = {"year": F.lit(0), "repository_type": F.lit("competition"), "reference_kind": F.lit(""), "module_ids": F.array().cast("array<string>"), "review_branch": F.lit("")}
+    if works is not None:
+        found = found.join(works.select(F.col("work_id").alias("candidate"), *[F.col(c).alias(f"__{c}") for c in entries]), "candidate", "left")
+        found = found.withColumns({f"__{c}": F.coalesce(f"__{c}", none) for c, none in entries.items()})
+    if matches is not None:
+        found = found.join(matches.groupBy("candidate").agg(F.sum("n").alias("__matched")), "candidate", "left").withColumn("__matched", F.coalesce("__matched", F.lit(0)))
+    added = [F.col(f"__{c}").alias("review_ref" if c == "review_branch" else c) for c in entries] if works is not None else []
+    added += [F.col("__matched").alias("matched_target_occurrences")] if matches is not None else []
     order = F.struct(-F.col("containment"), -F.col("shared_unique"), F.col("display_name"))
     rows = found.select(
         order.alias("o"),
@@ -118,9 +130,11 @@ def history_result(found: DataFrame, target: dict, prefixes: tuple[str, ...] = (
         F.col("shared").alias("target_shared_instances"),
         F.col("target_total").alias("target_total_instances"),
         F.col("containment").alias("target_history_containment"),
+        *added,
     )
     listed = _listed(rows, "candidates", "o").select(F.transform("candidates", lambda x: x.dropFields("o")).alias("candidates"))
-    named = F.struct(*[F.lit(target.get(k, "")).alias(k) for k in ("work_id", "display_name", "commit")]).alias("target")
+    counts = [F.lit(target[k]).alias(k) for k in ("source_file_count", "structural_unit_count") if k in target]
+    named = F.struct(*[F.lit(target.get(k, "")).alias(k) for k in ("work_id", "display_name", "commit")], *counts).alias("target")
     kept = F.array(*[F.lit(p) for p in prefixes]).cast("array<string>").alias("target_prefixes")
     return listed.select(F.to_json(F.struct(F.lit(HISTORY_SCHEMA).alias("schema"), named, kept, "candidates")).alias("text"))
 
@@ -149,10 +163,14 @@ def case_manifests(works: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def fingerprint_bindings(manifests: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(case_id, text): which cached snapshot (work_id, commit, path, shape_version, components) each case rests on."""
-    at = manifests.select("case_id", F.from_json("text", "work struct<work_id:string>, repo struct<commit:string>").alias("m"))
-    own = at.select("case_id", F.col("m.work.work_id").alias("work_id"), F.col("m.repo.commit").alias("commit")).join(snapshots, ["work_id", "commit"])
-    return own.select("case_id", F.to_json(F.struct(F.lit(BINDING_SCHEMA).alias("schema"), "work_id", "commit", "path", "shape_version")).alias("text"))
+    """(case_id, text): which cached snapshot (work_id, commit, path, shape_version, components) each case rests on, and the work it is of."""
+    work = "work_id:string,display_name:string,year:int,repository_type:string,reference_kind:string,module_ids:array<string>"
+    at = manifests.select("case_id", F.from_json("text", f"work struct<{work}>, repo struct<commit:string,review_branch:string>").alias("m"))
+    of = {"work_id": F.lit(""), "display_name": F.lit(""), "year": F.lit(0), "repository_type": F.lit("competition"), "reference_kind": F.lit(""), "module_ids": F.array().cast("array<string>")}
+    named = [F.coalesce(F.col(f"m.work.{c}"), none).alias(c) for c, none in of.items()]
+    own = at.select("case_id", *named, F.coalesce("m.repo.review_branch", F.lit("")).alias("review_ref"), F.col("m.repo.commit").alias("commit")).join(snapshots, ["work_id", "commit"])
+    files = [F.col("path").alias("cache_dir"), F.concat("path", F.lit("/blob")).alias("blob"), F.concat("path", F.lit("/ast")).alias("structural")]
+    return own.select("case_id", F.to_json(F.struct(F.lit(BINDING_SCHEMA).alias("schema"), *of, "review_ref", "commit", "path", *files, "shape_version")).alias("text"))
 
 
 def reusable(snapshots: DataFrame, wanted: DataFrame, version: str = SHAPE_VERSION, components: tuple[str, ...] = ("blob", "ast")) -> DataFrame:

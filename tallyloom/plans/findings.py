@@ -134,7 +134,7 @@ def duplicate_keys(spark, d):
     return evidence.duplicates(numbered, "evidence_id")
 
 
-@query("SELECT pack, commit, author, subject, length(body) AS body_chars, coalesce(lag(commit) OVER (PARTITION BY author ORDER BY id), '') AS parent, author || ':' || substr(commit, 1, 12) AS locator FROM commits")
+@query("SELECT c.pack, c.commit, c.author, c.subject, length(c.body) AS body_chars, coalesce(p.commit, '') AS parent, c.author || ':' || substr(c.commit, 1, 12) AS locator FROM commits c LEFT JOIN commits p ON p.id = c.parent_id")
 def commit_meta(spark, d):
     return evidence.commit_rows(relation(spark, d, "commits"))
 

@@ -16,15 +16,15 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(draft, True)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = at.getFileSystem(conf).create(draft, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    fs.delete(at, False)
-    if not fs.rename(draft, at):
-        raise OSError(f"can't rename {draft} to {at}")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE  # the store's own step: no reader finds neither file
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, at, options)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

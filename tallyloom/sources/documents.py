@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-PARTS = "work_id string, path string, display_name string, commit string, object_hash string, local string, format string, part int, text string"
+PARTS = "work_id string, path string, display_name string, commit string, object_hash string, local string, format string, part int, text string, problem string"
 
 
 def docx_paragraphs(data: bytes) -> list[str]:
@@ -89,17 +89,23 @@ def read_parts(files: DataFrame) -> DataFrame:
     """Parts of documents (work_id, path, display_name, commit, object_hash, local, content).
 
     `local` is the path of a file outside a repository, else null; without an object_hash it is that of the content.
+    A file that can't be read gives one row without text, whose `problem` says why; that of all others is empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["work_id", "path", "display_name", "commit", "object_hash", "local", "format", "part", "text"]
+        names = ["work_id", "path", "display_name", "commit", "object_hash", "local", "format", "part", "text", "problem"]
         for batch in batches:
             for row in batch.to_pylist():
                 data, low = bytes(row["content"] or b""), row["path"].lower()
-                kind, texts = ("pdf", pdf_pages(data)) if low.endswith(".pdf") else ("docx", docx_paragraphs(data)) if low.endswith(".docx") else ("text", [data.decode("utf-8", "replace")])
+                kind = "pdf" if low.endswith(".pdf") else "docx" if low.endswith(".docx") else "text"
+                problem = ""
+                try:
+                    texts = pdf_pages(data) if kind == "pdf" else docx_paragraphs(data) if kind == "docx" else [data.decode("utf-8", "replace")]
+                except Exception as error:  # a broken file is its own problem, not the job's
+                    texts, problem = [None], f"can't be read: {type(error).__name__}"
                 own = [row["work_id"], row["path"], row["display_name"], row["commit"], row["object_hash"] or hashlib.sha256(data).hexdigest(), row["local"], kind]
                 n = len(texts)
                 columns = [pa.array([x] * n, pa.string()) for x in own]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(1, n + 1), pa.int32()), pa.array(texts, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(range(1, n + 1), pa.int32()), pa.array(texts, pa.string()), pa.array([problem] * n, pa.string())], names)
 
     return files.select("work_id", "path", "display_name", "commit", "object_hash", "local", "content").mapInArrow(run, PARTS)
