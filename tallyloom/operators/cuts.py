@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,15 +40,37 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def discard(spark: SparkSession) -> int:
-    """Remove what this process has written to the shared folder, once no result that rests on it is needed; returns how many."""
+def _remove(spark: SparkSession, paths: list[str]) -> int:
     conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _made:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         n += bool(at.getFileSystem(conf).delete(at, True))
     return n
 
 
+def discard(spark: SparkSession) -> int:
+    """Remove what this process has written to the shared folder, once no result that rests on it is needed; returns how many."""
+    gone = _made[:]
+    _made.clear()
+    return _remove(spark, gone)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, what was written to the shared folder meanwhile.
+
+    Results that rest on it must have been written elsewhere by then. Scopes may be nested; threads of one
+    process share them.
+    """
+    before = set(_made)
+    try:
+        yield
+    finally:
+        own = [p for p in _made if p not in before]
+        _made[:] = [p for p in _made if p in before]
+        _remove(spark, own)
+
+
 def durable(df: DataFrame, what: str = "cut") -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read that table.
 
