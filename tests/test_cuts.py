@@ -11,5 +11,4 @@ def test_a_scope_removes_what_was_written_in_it(spark):
         assert inner.count() == 5 and os.path.isdir(path)
         with cuts.scope(spark):
             cuts.durable(spark.range(7))
-    assert not os.path.isdir(path) and outer.count() == 3
-    assert cuts.discard(spark) >= 1 and cuts._made == []
+    assert not os.path.isdir(path) and path not in [p.removeprefix("file:") for p in cuts._made] and outer.count() == 3
