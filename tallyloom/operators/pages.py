@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import bags
 from tallyloom.operators.digests import ordered_digest
+from tallyloom.operators.running import running_sum
 from tallyloom.operators.search import in_order
 
 PAGE = 5000
@@ -28,6 +29,22 @@ def paged(rows: DataFrame, order: list[Column], size: int = PAGE) -> DataFrame:
     return held.select("page", F.size("ls").cast("long").alias("n"), text.alias("text")).select("page", "n", F.sha2("text", 256).alias("sha256"), "text")
 
 
+def grouped(rows: DataFrame, group: str, order: list[Column], size: int = PAGE) -> DataFrame:
+    """(group, page, n, sha256, text) of each group's rows in a total order; a group with most of the rows spans many tasks."""
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != group]))
+    keys = [f"__{k}" for k in range(len(order))]
+    lines = rows.select(F.col(group), *[c.alias(k) for c, k in zip(order, keys)], line.alias("line"), F.lit(1).alias("one"))
+    at = running_sum(lines, group, [F.col(k) for k in keys], "one", "place").withColumn("page", F.floor(F.col("place") / size).cast("long"))
+    held = at.groupBy(group, "page").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("ls"))
+    text = F.concat(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n"))
+    return held.select(group, "page", F.size("ls").cast("long").alias("n"), text.alias("text")).select(group, "page", "n", F.sha2("text", 256).alias("sha256"), "text")
+
+
+def inventory_pages(tree: DataFrame, size: int = PAGE) -> DataFrame:
+    """(work_id, page, n, sha256, text): all distinct paths of every snapshot, in order."""
+    return grouped(tree.select("work_id", "path").distinct(), "work_id", [F.col("path")], size)
+
+
 def _parts(parts: dict[str, tuple[DataFrame, tuple[str, ...]]], size: int) -> DataFrame:
     out = None
     for name, (rows, order) in parts.items():

@@ -15,6 +15,7 @@ from tallyloom.operators import bags, case_rules, search
 
 #: The ends of the schema names that readers look for.
 PAIR_SCHEMA, HEAD_SCHEMA, HISTORY_SCHEMA, MANIFEST_SCHEMA, BINDING_SCHEMA = "commit_pair.v2", "search_candidates.v3", "history_blob_candidates.v1", "case_manifest.v1", "fingerprint_binding.v1"
+INVENTORY_SCHEMA = "repository_inventory.v1"
 #: Version of the shape hash: a snapshot made by another version can't be used again.
 SHAPE_VERSION = "v1"
 EXAMPLES = 30
@@ -154,6 +155,19 @@ def inventory_records(tree: DataFrame) -> DataFrame:
     return full.select("work_id", F.to_json(F.struct("work_id", "file_count", "suffixes", "top_level_dirs")).alias("text"), markdown.alias("markdown"))
 
 
+def inventory_heads(tree: DataFrame, commits: DataFrame) -> DataFrame:
+    """(work_id, text, markdown): schema, commit, number of paths and suffixes of each snapshot (commits: work_id, commit).
+
+    The paths themselves, which no row may have to hold, are `pages.inventory_pages`.
+    """
+    suffix = F.coalesce(F.nullif(F.lower(P.file_suffix(F.col("path"))), F.lit("")), F.lit("<none>"))
+    by_suffix = tree.groupBy("work_id", suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
+    counted = by_suffix.groupBy("work_id").agg(F.sum("n").alias("path_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("suffix", "n")))).alias("suffix_counts"))
+    at = counted.join(commits.select("work_id", "commit"), "work_id", "left").withColumn("commit", F.coalesce("commit", F.lit("")))
+    markdown = F.concat(F.lit("# Repository Inventory\n\nCommit: `"), F.col("commit"), F.lit("`\n\nPaths: "), F.col("path_count").cast("string"), F.lit("\n"))
+    return at.select("work_id", F.to_json(F.struct(F.lit(INVENTORY_SCHEMA).alias("schema"), "commit", "path_count", "suffix_counts")).alias("text"), markdown.alias("markdown"))
+
+
 def case_manifests(works: DataFrame, states: DataFrame) -> DataFrame:
     """(case_id, text): the record a case begins with, of works and their repositories (work_id, path, current_branch, commit, tree)."""
     at = works.join(states, "work_id")

@@ -352,6 +352,19 @@ def directory_overlaps(spark, d):
     return headrecord.directories(pairs, units, ["path", "line", "symbol", "ord"])
 
 
+@query(
+    """WITH p AS (SELECT work_id, path, row_number() OVER (PARTITION BY work_id ORDER BY path) - 1 AS place FROM (SELECT DISTINCT work_id, path FROM tree)),
+    g AS (SELECT work_id, place // 10 AS page, count(*) AS n, sha256(string_agg('{"path":"' || path || '"}', chr(10) ORDER BY place) || chr(10)) AS sha256 FROM p GROUP BY ALL),
+    c AS (SELECT work_id, count(*) AS path_count FROM tree GROUP BY work_id)
+    SELECT g.work_id, page, n, sha256, path_count, coalesce(h.commit, '') AS commit FROM g JOIN c USING (work_id) LEFT JOIN heads h USING (work_id)"""
+)
+def inventory_pages(spark, d):
+    """Every path of every snapshot in pages of ten, beside what the snapshot's inventory says."""
+    tree = relation(spark, d, "tree")
+    told = results.inventory_heads(tree, relation(spark, d, "heads")).select("work_id", F.get_json_object("text", "$.path_count").cast("long").alias("path_count"), F.get_json_object("text", "$.commit").alias("commit"))
+    return pages.inventory_pages(tree, 10).drop("text").join(told, "work_id")
+
+
 _OCCURRENCES = f"""SELECT 'shared_content_occurrences' AS part, blob AS a, side AS b, path AS c, '{{"blob":"' || blob || '","side":"' || side || '","path":"' || path || '","instances":' || n || '}}' AS line
       FROM (SELECT DISTINCT blob, 'left' AS side, path FROM l UNION ALL SELECT DISTINCT blob, 'right', path FROM r) JOIN (SELECT lb.blob, least(lb.n, rb.n) AS n FROM (SELECT blob, count(*) AS n FROM l GROUP BY blob) lb JOIN (SELECT blob, count(*) AS n FROM r GROUP BY blob) rb USING (blob)) USING (blob)
     UNION ALL SELECT 'path_aligned_occurrences', path, blob, '', '{{"path":"' || path || '","blob":"' || blob || '","instances":' || least(x.n, y.n) || '}}' FROM (SELECT path, blob, count(*) AS n FROM l GROUP BY ALL) x JOIN (SELECT path, blob, count(*) AS n FROM r GROUP BY ALL) y USING (path, blob)
