@@ -9,7 +9,7 @@ characters reads all files of its commit, as before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -88,13 +88,22 @@ def required(pattern: str) -> list[list[str]] | None:
     return branches if all(branches) else None
 
 
-def postings(blobs: DataFrame) -> DataFrame:
-    """(gram, work_id, commit, path): the distinct trigrams of each text, lines apart. Files without one aren't there."""
+def grams_of(patterns: Iterable[str]) -> list[str]:
+    """The trigrams that searches for these patterns can ask for."""
+    return sorted({x[i : i + 3] for p in patterns for branch in required(p) or () for x in branch for i in range(len(x) - 2)})
+
+
+def postings(blobs: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(gram, work_id, commit, path): the distinct trigrams of each text, lines apart. Files without one aren't there.
+
+    An index that is kept has all trigrams; one that is made for known patterns needs `only` theirs (`grams_of`).
+    """
     n = F.char_length("text")
     chars = F.split("text", "")
     joined = lambda a, b: F.concat(a, b)
     grams = F.zip_with(F.zip_with(chars, F.slice(chars, F.lit(2), n), joined), F.slice(chars, F.lit(3), n), joined)  # in time in proportion to the text
-    each = blobs.where(n >= 3).select("work_id", "commit", "path", F.explode(F.array_distinct(grams)).alias("gram")).where("gram IS NOT NULL")
+    held = F.array_distinct(grams) if only is None else F.array_intersect(grams, F.array(*[F.lit(g) for g in only]).cast("array<string>"))
+    each = blobs.where(n >= 3).select("work_id", "commit", "path", F.explode(held).alias("gram")).where("gram IS NOT NULL")
     return each.where(~F.col("gram").contains("\n")).select("gram", "work_id", "commit", "path")
 
 

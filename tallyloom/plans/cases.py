@@ -142,7 +142,7 @@ def indexed_searches(spark, d):
     works = blobs.select("work_id", "commit").distinct()
     asked = works.select("work_id", "commit", F.posexplode(F.array(*[F.lit(p) for p in patterns])).alias("p", "pattern"))
     asked = asked.withColumn("n", F.xxhash64("work_id", "p"))
-    index = durable(postings.postings(blobs), "postings")
+    index = durable(postings.postings(blobs, postings.grams_of(patterns)), "postings")
     maybe = postings.candidate_files(asked, index, blobs)
     lines = maybe.join(blobs, ["work_id", "commit", "path"]).select("n", "path", F.posexplode(T.lines(F.col("text"))).alias("k", "line")).join(asked.select("n", "pattern"), "n")
     hits = lines.where(F.expr("line RLIKE pattern")).groupBy("n").agg(F.count(F.lit(1)).alias("hits"), F.min(F.concat_ws(":", "path", (F.col("k") + 1).cast("string"))).alias("first"))

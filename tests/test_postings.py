@@ -27,6 +27,8 @@ def test_the_same_cards(spark):
     index = postings.postings(table).persist()
     want = sorted(map(str, capture.search_cards(requests, table).collect()))
     assert sorted(map(str, capture.search_cards(requests, table, index).collect())) == want
+    few = postings.postings(table, postings.grams_of(PATTERNS))
+    assert sorted(map(str, capture.search_cards(requests, table, few).collect())) == want and few.count() < index.count()
     read = {(r.n, r.path) for r in postings.candidate_files(requests, index, table).collect()}
     held = {(n, path) for n, _, w, _, p, _ in asked for v, _, _, path, _, text in rows if v == w and any(re.search(p, line) for line in (text or "").split("\n"))}
     assert held <= read
