@@ -11,8 +11,8 @@ from tallyloom.functions import texts as T
 from tallyloom.operators import case_rules, evidence
 from tallyloom.operators.digests import ordered_digest
 
-# What readers of compiled reports look for.
-REPORT_WRITER, REPORT_SCHEMA = "review_case_report_data_compiler", "report_data.v3"
+# What readers of compiled reports look for: the writer, and the end of the schema name (a fixed value).
+REPORT_WRITER, REPORT_SCHEMA = "report_data_compiler", "report_data.v3"
 
 
 def registry(works: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def plain_report(files, titles):
     public = lambda p: (f := split(files.get(p, ""))[0]).get("status") == "findings" and str(f.get("public", "true")).lower() != "false"
     names = {"status": "status", "display_name": "selected_base_display_name", "source_ref": "selected_base_ref", "source_commit": "selected_base_commit"} | {c: c for c in ("target_review_ref", "target_review_commit", "target_introduction_commit", "direction", "confidence")}
     return {
-        "generated_by": "review_case_report_data_compiler",
+        "generated_by": "report_data_compiler",
         "schema": "report_data.v3",
         "identity": {c: str(front[0].get(c, "")) for c in ("work_id", "display_name", "school", "team", "work_name")},
         "base": {k: str(front[1].get(c, "")) for k, c in names.items()},
