@@ -102,7 +102,10 @@ def postings(blobs: DataFrame, only: list[str] | None = None) -> DataFrame:
     chars = F.split("text", "")
     joined = lambda a, b: F.concat(a, b)
     grams = F.zip_with(F.zip_with(chars, F.slice(chars, F.lit(2), n), joined), F.slice(chars, F.lit(3), n), joined)  # in time in proportion to the text
-    held = F.array_distinct(grams) if only is None else F.array_intersect(grams, F.array(*[F.lit(g) for g in only]).cast("array<string>"))
+    if only is None:
+        held = F.array_distinct(grams)
+    else:  # a scan for each of a few trigrams is far cheaper than all that a text has
+        held = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(g)), F.lit(g)) for g in only]).cast("array<string>"))
     each = blobs.where(n >= 3).select("work_id", "commit", "path", F.explode(held).alias("gram")).where("gram IS NOT NULL")
     return each.where(~F.col("gram").contains("\n")).select("gram", "work_id", "commit", "path")
 
