@@ -61,6 +61,13 @@ def relocated_instances(content: DataFrame, aligned: DataFrame) -> DataFrame:
     return both.select("target", "candidate", F.greatest(F.lit(0), F.col("shared") - F.coalesce("same", F.lit(0))).alias("relocated"))
 
 
+def all_relocated(bag: DataFrame) -> DataFrame:
+    """`relocated_instances` of all pairs of works that share content, both overlaps summed in one pass."""
+    parts = {"shared": (bags.counts(bag, "blob"), ["blob"]), "same": (bags.counts(bag, "path", "blob"), ["path", "blob"])}
+    both = bags.overlaps_by(parts, bag.select("work_id").distinct())
+    return both.select("target", "candidate", F.greatest(F.lit(0), F.col("shared") - F.col("same")).alias("relocated"))
+
+
 def shape_examples(left: DataFrame, right: DataFrame, limit: int = 30) -> DataFrame:
     """First unit of each shared shape on both sides where path or name differ."""
     order = [F.col(c) for c in ("path", "line", "symbol", "ord")]

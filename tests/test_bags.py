@@ -123,3 +123,25 @@ def test_running_sums_of_a_hot_group(spark):
         assert got[g, o] == total[g]
         total[g] += v
     assert len(got) == len(rows)
+
+
+def test_overlaps_by_blocks_of_works(spark):
+    """Hot values, repeated ones and nulls, over several blocks; pairs are summed where they meet, never shuffled or joined by target."""
+    rows = [(f"w{w}", f"p{w % 3}", b, 0) for w in range(150) for b in ["every", f"x{w % 7}", f"y{w // 2}", *["twice"] * (w % 3)]] + [("w1", "p", None, 0), ("w2", "p", None, 0)]
+    own = spark.createDataFrame(rows, "work_id string, path string, blob string, ord long").cache()
+    held = {}
+    for w, p, b, _ in rows:
+        if b is not None:
+            held.setdefault(w, []).append((p, b))
+    wanted = {}
+    for t, mine in held.items():
+        for c, other in held.items():
+            if t != c:
+                both = Counter(b for _, b in mine) & Counter(b for _, b in other)
+                wanted[t, c] = (both.total(), len(both), max(0, both.total() - (Counter(mine) & Counter(other)).total()))
+    total = bags.works_of(own)
+    full = bags.containment(bags.overlaps(bags.counts(own, "blob"), "blob", works=total), total)
+    assert "hashpartitioning(target" not in full._jdf.queryExecution().executedPlan().toString()
+    assert {(r.target, r.candidate): (r.shared, r.shared_unique) for r in full.collect()} == {k: v[:2] for k, v in wanted.items()}
+    moved = search.all_relocated(own)
+    assert {(r.target, r.candidate): r.relocated for r in moved.collect()} == {k: v[2] for k, v in wanted.items()}
