@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import front
 from tallyloom.functions import texts as T
 from tallyloom.operators import evidence
 from tallyloom.operators.cuts import durable
@@ -91,13 +92,11 @@ def parsed(files: DataFrame) -> DataFrame:
     """
 
     def read(text: str) -> tuple[str, dict, str]:
-        import yaml
-
         parts = FRONT.match(text)
         if not parts:
             return "", {}, text
         try:
-            found = yaml.safe_load(parts["front"].strip() or "{}")
+            found = front.loaded(parts["front"].strip() or "{}")
         except Exception as error:  # a date that is none, nesting too deep, bad syntax: the document's own problem, not the job's
             return str(error).split("\n")[0] or "bad front matter", {}, ""
         return "", found if isinstance(found, dict) else {}, text if parts["body"] is None else parts["body"]
@@ -105,15 +104,15 @@ def parsed(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [read(t or "") for t in batch.column(2).to_pylist()]
-            fields = [[(str(k), _text(v)) for k, v in front.items()] for _, front, _ in got]
+            fields = [[(str(k), _text(v)) for k, v in own.items()] for _, own, _ in got]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.string()),
                     batch.column(1).cast(pa.string()),
                     pa.array([p for p, _, _ in got], pa.string()),
-                    pa.array([_text(front.get("contract", "")).strip() for _, front, _ in got], pa.string()),
+                    pa.array([_text(own.get("contract", "")).strip() for _, own, _ in got], pa.string()),
                     pa.array(fields, pa.map_(pa.string(), pa.string())),
-                    pa.array([front.get("public") if isinstance(front.get("public"), bool) else None for _, front, _ in got], pa.bool_()),
+                    pa.array([own.get("public") if isinstance(own.get("public"), bool) else None for _, own, _ in got], pa.bool_()),
                     pa.array([b for _, _, b in got], pa.string()),
                 ],
                 ["case_id", "path", "problem", "contract", "fields", "public", "body"],
@@ -464,12 +463,14 @@ def log_cards(files: DataFrame, form: str) -> DataFrame:
     return counted.select("case_id", "evidence_id", F.when(F.col("problem") != "", F.col("problem")).when(F.col("n") > 1, "duplicate").otherwise("").alias("problem"))
 
 
-def case_issues(files: DataFrame, manifests: DataFrame, reviews: DataFrame, taxonomy: dict[str, list[str]], card_form: str, path: str | None = None) -> DataFrame:
+def case_issues(files: DataFrame, manifests: DataFrame, reviews: DataFrame, taxonomy: dict[str, list[str]], card_form: str, path: str | None = None, docs: DataFrame | None = None) -> DataFrame:
     """All issues of cases given by their files (case_id, path, text), or those of one document of each.
 
-    `manifests` and `reviews` hold (case_id, text), the JSON a case keeps beside its documents.
+    `manifests` and `reviews` hold (case_id, text), the JSON a case keeps beside its documents. `docs` are
+    the parsed documents (`in_case`, a written table) where the caller has them.
     """
-    docs, cases = durable(in_case(parsed(files)), "documents"), files.select("case_id").distinct()  # every family reads the parsed documents
+    docs = durable(in_case(parsed(files)), "documents") if docs is None else docs  # every family reads the parsed documents
+    cases = files.select("case_id").distinct()
     cards = log_cards(files, card_form)
     if path is not None:
         docs = docs.where(F.col("path") == path)

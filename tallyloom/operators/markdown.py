@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions import front
 from tallyloom.functions import texts as T
 
 #: The order of a case's fixed documents.
@@ -121,21 +122,19 @@ def frontmatter(docs: DataFrame, text: str) -> DataFrame:
     """Add the front matter's keys, contract and status, and the body after it; a non-mapping gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import yaml
-
         for batch in batches:
             keys, contract, status, body = [], [], [], []
             for t in batch.column(1).to_pylist():
-                t, front = t or "", {}
+                t, own = t or "", {}
                 if t.startswith("---\n") and (end := t.find("\n---", 4)) >= 0:
                     try:
-                        found = yaml.safe_load(t[4:end])
+                        found = front.loaded(t[4:end])
                     except Exception:  # whatever a bad value raises is this document's alone
                         found = None
-                    front, t = found if isinstance(found, dict) else {}, t[end + 4 :].lstrip("\n")
-                keys.append(",".join(sorted(map(str, front))))
-                contract.append(str(front.get("contract") or ""))
-                status.append(str(front.get("status") or ""))
+                    own, t = found if isinstance(found, dict) else {}, t[end + 4 :].lstrip("\n")
+                keys.append(",".join(sorted(map(str, own))))
+                contract.append(str(own.get("contract") or ""))
+                status.append(str(own.get("status") or ""))
                 body.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (keys, contract, status, body))], ["id", "keys", "contract", "status", "body"])
 

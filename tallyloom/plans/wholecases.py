@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import case_rules, report, rules
+from tallyloom.operators.cuts import durable
 from tallyloom.plans.registry import query
-from tallyloom.sources.adapters import RELATIONS, UNIONS, relation
+from tallyloom.sources.adapters import RELATIONS, UNIONS, dealt, relation
 from tallyloom.sources.files import CARDS
 
 TAXONOMY = {"memory": ["paging", "heap"], "scheduler": ["runqueue"]}
@@ -96,9 +97,10 @@ UNIONS["case_files"] = ("file_identity", "file_base", "file_report", "file_cheat
 
 
 def case_files(spark, d):
-    """(case_id, path, text) of all cases, and their parsed documents."""
+    """(case_id, path, text) of all cases, and their documents, parsed once."""
     files = relation(spark, d, "case_files")
-    return files, case_rules.in_case(case_rules.parsed(files))
+    docs = durable(case_rules.in_case(case_rules.parsed(files)), "documents")
+    return files, dealt(docs)  # its largest files, all modules, would be read by few tasks
 
 
 def _reviews(spark, d, files, docs):
@@ -109,7 +111,7 @@ def _reviews(spark, d, files, docs):
 
 def _all_issues(spark, d):
     files, docs = case_files(spark, d)
-    return case_rules.case_issues(files, relation(spark, d, "case_manifests"), _reviews(spark, d, files, docs), TAXONOMY, CARDS)
+    return case_rules.case_issues(files, relation(spark, d, "case_manifests"), _reviews(spark, d, files, docs), TAXONOMY, CARDS, docs=docs)
 
 
 _of = lambda path, code, detail, where, table="customer": f"SELECT {_FILE['case_id'].replace('STRING', 'VARCHAR')} AS case_id, '{path}' AS path, '{code}' AS code, {detail} AS detail FROM {table} WHERE {where}"
