@@ -19,15 +19,22 @@ from tallyloom.operators.running import running_sum
 
 #: A value in more works than this doesn't help to prove a floor.
 LIGHT = 32
+#: Values in at most so many works are summed for all pairs that share them; what they cost is at most so many times their rows.
+COOL = 256
 #: Scores are rounded to six places, so a floor is lowered by as much.
 _SLACK = 1e-6
 
 
+def _shuffled(written: DataFrame) -> DataFrame:
+    """A table that joins don't broadcast: its files are many times smaller than its rows, so their size tells nothing of the driver's share."""
+    return written.hint("merge")
+
+
 def _sized(counted: DataFrame) -> DataFrame:
     """Counts (work_id, value, n) with the instances of their work and the works of their value."""
     held = counted.groupBy("value").agg(F.count(F.lit(1)).alias("works"))
     total = bags.totals(counted)
-    return durable(counted.join(total, "work_id").join(held.where("works > 1"), "value", "left").withColumn("works", F.coalesce("works", F.lit(1))), "sized")
+    return _shuffled(durable(counted.join(total, "work_id").join(held.where("works > 1"), "value", "left").withColumn("works", F.coalesce("works", F.lit(1))), "sized"))
 
 
 def _proved(sized: DataFrame, light: int) -> DataFrame:
@@ -64,13 +71,18 @@ def _met(sized: DataFrame, floor: DataFrame) -> DataFrame:
 def recall_pairs(blobs: DataFrame, shapes: DataFrame, k: int, light: int = LIGHT) -> DataFrame:
     """(target, candidate): a superset of all pairs that share something and are among a target's k best; sized counts of both kinds."""
     floor = durable(floors([_proved(blobs, light), _proved(shapes, light)], k, light), "floors")
-    return durable(_met(blobs, floor).unionByName(_met(shapes, floor)).distinct(), "met")
+    return _shuffled(durable(_met(blobs, floor).unionByName(_met(shapes, floor)).distinct(), "met"))
 
 
-def _summed(pairs: DataFrame, sized: DataFrame) -> DataFrame:
-    own = sized.where("works > 1").select(F.col("work_id").alias("target"), "value", F.col("n").alias("ln"))
-    other = sized.where("works > 1").select(F.col("work_id").alias("candidate"), "value", F.col("n").alias("rn"))
-    return pairs.join(own, "target").join(other, ["candidate", "value"]).groupBy("target", "candidate").agg(F.sum(F.least("ln", "rn")).alias("shared"))
+def _summed(pairs: DataFrame, sized: DataFrame, works: DataFrame) -> DataFrame:
+    """(target, candidate, shared): of values in few works all pairs at once, of the others the given pairs alone."""
+    cool = sized.where(F.col("works").between(2, COOL)).select("work_id", "value", "n")
+    each = bags.overlaps(cool, "value", works=works).select("target", "candidate", "shared").join(pairs, ["target", "candidate"], "left_semi")
+    hot = sized.where(F.col("works") > COOL)
+    own = hot.select(F.col("work_id").alias("target"), "value", F.col("n").alias("ln"))
+    other = hot.select(F.col("work_id").alias("candidate"), "value", F.col("n").alias("rn"))
+    more = pairs.join(own, "target").join(other, ["candidate", "value"]).select("target", "candidate", F.least("ln", "rn").alias("shared"))
+    return each.unionByName(more).groupBy("target", "candidate").agg(F.sum("shared").alias("shared"))
 
 
 def head_recall(bag: DataFrame, units: DataFrame, k: int = 30, names: DataFrame | None = None, light: int = LIGHT) -> DataFrame:
@@ -79,14 +91,14 @@ def head_recall(bag: DataFrame, units: DataFrame, k: int = 30, names: DataFrame
     Where fewer than k works share anything with a target, works with score 0 follow in order of their names.
     """
     counted = {"blob": bags.counts(bag, "blob").withColumnRenamed("blob", "value"), "shape": bags.counts(units, "shape").withColumnRenamed("shape", "value")}
-    works = bags.totals(counted["blob"]).select("work_id")
+    works = bags.works_of(bag).select("work_id")
     counted["shape"] = counted["shape"].join(works, "work_id", "left_semi")
     sized = {name: _sized(rows) for name, rows in counted.items()}
     pairs = recall_pairs(sized["blob"], sized["shape"], k, light)
     scored = pairs
     for name, rows in sized.items():
-        total = rows.select("work_id", "total").distinct()
-        full = bags.containment(pairs.join(_summed(pairs, rows), ["target", "candidate"], "left"), total)
+        total = durable(rows.select("work_id", "total").distinct(), "totals")  # a row a work
+        full = bags.containment(pairs.join(_summed(pairs, rows, works), ["target", "candidate"], "left"), total)
         full = full.select("target", "candidate", F.col("shared").alias(f"{name}_shared"), F.bround("balanced", 6).alias(f"{name}_balanced"))
         scored = scored.join(full, ["target", "candidate"])
     met = pairs.groupBy("target").agg(F.count(F.lit(1)).alias("met"))

@@ -46,3 +46,17 @@ def test_works_without_a_like(spark):
     got = {(r.target, r.candidate, r.score, r["rank"]) for r in recall.head_recall(bag, units, 1).collect()}
     assert got == {("a", "b", 0.0, 1), ("b", "a", 0.0, 1), ("c", "a", 0.0, 1)}
     assert recall.head_recall(bag.where("false"), units, 3).count() == 0
+
+
+def test_pairs_are_never_broadcast_and_frequent_values_count(spark, monkeypatch):
+    rows = [(f"w{w}", b) for w in range(6) for b in ["every", f"x{w % 2}"]]
+    counted = bags.counts(spark.createDataFrame(rows, "work_id string, value string"), "value")
+    sized = recall._sized(counted)
+    works = sized.select("work_id").distinct()
+    pairs = recall._shuffled(works.select(F.col("work_id").alias("target")).crossJoin(works.select(F.col("work_id").alias("candidate"))).where("target <> candidate"))
+    wanted = {(f"w{a}", f"w{b}"): 1 + (a % 2 == b % 2) for a in range(6) for b in range(6) if a != b}
+    monkeypatch.setattr(recall, "COOL", 4)
+    summed = recall._summed(pairs, sized, works)
+    assert {(r.target, r.candidate): r.shared for r in summed.collect()} == wanted
+    other = sized.select(F.col("work_id").alias("target"), "value")
+    assert "BroadcastHashJoin" not in pairs.join(other, "target")._jdf.queryExecution().executedPlan().toString()
