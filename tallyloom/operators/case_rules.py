@@ -84,6 +84,11 @@ REQUIRED_DOCUMENTS = ("identity.md", "base.md", "report.md")
 _ISSUES = "array<struct<code:string,detail:string>>"
 
 
+def marked(files: DataFrame) -> DataFrame:
+    """A case's Markdown files."""
+    return files.where(F.col("path").endswith(".md"))
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """(case_id, path, problem, contract, fields, public, body) of a case's Markdown files.
 
@@ -118,8 +123,7 @@ def parsed(files: DataFrame) -> DataFrame:
                 ["case_id", "path", "problem", "contract", "fields", "public", "body"],
             )
 
-    marked = files.where(F.col("path").endswith(".md")).select("case_id", "path", "text")
-    return marked.mapInArrow(run, "case_id string, path string, problem string, contract string, fields map<string,string>, public boolean, body string")
+    return marked(files).select("case_id", "path", "text").mapInArrow(run, "case_id string, path string, problem string, contract string, fields map<string,string>, public boolean, body string")
 
 
 def _text(value) -> str:
@@ -152,7 +156,11 @@ def _field(name: str) -> Column:
 
 
 def headings(docs: DataFrame) -> DataFrame:
-    """Add `heads`, an array of (line, level, title, body), each body up to the next heading of any level."""
+    """Add `heads`, an array of (line, level, title, body), each body up to the next heading of any level.
+
+    With them come `titles`, those of all headings, and `h1` and `h2`, those of these levels: rules ask for them many
+    times, and a lambda that made them would do so for each of its elements.
+    """
     at = docs.withColumns({"__lines": T.lines(F.col("body")), "__heads": T.headings(F.col("body"))})
 
     def head(x: Column, following: Column) -> Column:
@@ -161,16 +169,18 @@ def headings(docs: DataFrame) -> DataFrame:
     ends = F.concat(F.transform(F.slice("__heads", 2, F.greatest(F.size("__heads"), F.lit(1))), lambda x: x["line"]), F.array(F.size("__lines") + 1))
     at = at.withColumn("__heads", F.zip_with("__heads", F.slice(ends, 1, F.size("__heads")), head))
     own = F.transform(F.array("__lines"), lambda ls: F.transform("__heads", lambda x: F.struct(x["line"], x["level"], x["title"], F.array_join(F.slice(ls, x["line"] + 1, F.greatest(x["until"] - x["line"] - 1, F.lit(0))), "\n").alias("body"))))[0]
-    return at.withColumn("heads", own).drop("__lines", "__heads")
+    at = at.withColumn("heads", own).drop("__lines", "__heads")
+    of = lambda level: F.transform(F.filter("heads", lambda h: h["level"] == level), lambda h: h["title"])
+    return at.withColumns({"titles": F.transform("heads", lambda h: h["title"]), "h1": of(1), "h2": of(2)})
 
 
 def _titles(level: int) -> Column:
-    return F.transform(F.filter("heads", lambda h: h["level"] == level), lambda h: h["title"])
+    return F.col(f"h{level}")
 
 
 def _sections(required: tuple[str, ...], level: int | None = None) -> list[Column]:
     """Required headings that are missing, or there but without text in them or deeper headings below."""
-    titles = F.transform("heads", lambda h: h["title"])
+    titles = F.col("titles")
     there = titles if level is None else _titles(level)
     missing = F.filter(_texts(required), lambda r: ~F.array_contains(there, r))
 
@@ -325,17 +335,18 @@ def _issues(rows: DataFrame, found: Column) -> DataFrame:
 
 
 def document_issues(docs: DataFrame, taxonomy: dict[str, list[str]]) -> DataFrame:
-    """Issues of each document by itself: structure, place and names."""
-    bad = _issues(docs, _issue("structure.parse_error", F.col("problem") != "", F.col("problem")))
-    read = headings(docs.where("problem = ''"))
-    return bad.unionByName(_issues(read, F.concat(_structure(taxonomy), *_place(), *_names())))
+    """Issues of each document by itself: structure, place and names, or that it can't be read; documents are passed over once."""
+    bad = _issue("structure.parse_error", F.col("problem") != "", F.col("problem"))
+    own = F.concat(_structure(taxonomy), *_place(), *_names())
+    return _issues(headings(docs), F.when(F.col("problem") == "", own).otherwise(bad))
 
 
 def presence(docs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Documents that every case must have, and at least one module."""
+    """Documents (case_id, path) that every case must have, and at least one module."""
     wanted = cases.select("case_id", F.explode(_texts(REQUIRED_DOCUMENTS)).alias("path"))
-    missing = wanted.join(docs.select("case_id", "path"), ["case_id", "path"], "left_anti")
-    without = cases.select("case_id").join(docs.where(F.col("path").rlike(r"^modules/[^/]+\.md$")).select("case_id"), "case_id", "left_anti")
+    missing = wanted.join(docs.where(F.col("path").isin(*REQUIRED_DOCUMENTS)).select("case_id", "path"), ["case_id", "path"], "left_anti")
+    modules = docs.where(F.col("path").rlike(r"^modules/[^/]+\.md$")).select("case_id").distinct()  # a row a case before it is dealt
+    without = cases.select("case_id").join(modules, "case_id", "left_anti")
     out = missing.select("case_id", "path", F.lit("structure.missing_file").alias("code"), F.lit("").alias("detail"))
     return out.unionByName(without.select("case_id", F.lit("modules").alias("path"), F.lit("structure.missing_modules").alias("code"), F.lit("").alias("detail")))
 

@@ -54,7 +54,7 @@ def case_documents_ok(spark, d):
 @query("SELECT case_id, unnest(['identity.md', 'base.md', 'report.md']) AS path, 'structure.missing_file' AS code, '' AS detail FROM (SELECT DISTINCT case_id FROM case_modules)")
 def case_presence(spark, d):
     files = relation(spark, d, "case_modules").select("case_id", "path", "text")
-    return case_rules.presence(case_rules.parsed(files), files.select("case_id").distinct())
+    return case_rules.presence(case_rules.marked(files), files.select("case_id").distinct())
 
 
 @query(
