@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
 from tallyloom.operators import bags, code_units, commitgraph, headrecord, pages, recall, results, search, store
-from tallyloom.operators.cuts import fresh_path
+from tallyloom.operators.cuts import durable, fresh_path
 from tallyloom.plans.registry import query
 from tallyloom.sources.adapters import relation
 
@@ -556,12 +556,17 @@ _CALLS = f"""(SELECT work_id, path, {_FN} AS symbol, 'fn_' || CAST(id + 50 AS ST
 _DEFINED = f"""(SELECT work_id, path, {_FN} AS symbol, 2 AS line, id FROM code UNION ALL SELECT work_id, path, 'helper', 7 - id % 2, id FROM code)"""
 
 
+def _functions(spark, d):
+    """Functions of all sources, written: calls are joined with what they name, and sources are scanned once for both sides."""
+    return durable(code_units.extract(relation(spark, d, "code")), "functions")
+
+
 @query(
     f"""WITH e AS (SELECT * FROM {_CALLS} x), f AS (SELECT * FROM {_DEFINED} x), one AS (SELECT work_id, symbol, min(path) AS callee_path FROM f GROUP BY work_id, symbol HAVING count(*) = 1)
     SELECT e.work_id, e.path, e.symbol, callee, callee_path FROM e JOIN one ON one.work_id = e.work_id AND one.symbol = callee"""
 )
 def call_resolution(spark, d):
-    found = code_units.resolved(code_units.extract(relation(spark, d, "code")))
+    found = code_units.resolved(_functions(spark, d))
     return found.select("work_id", "path", "symbol", "callee", "callee_path")
 
 
@@ -573,7 +578,7 @@ def call_resolution(spark, d):
     FROM f LEFT JOIN o USING (work_id, path, symbol) LEFT JOIN i ON i.work_id = f.work_id AND i.symbol = f.symbol"""
 )
 def call_sets(spark, d):
-    found = code_units.units(code_units.extract(relation(spark, d, "code")))
+    found = code_units.units(_functions(spark, d))
     return found.select("work_id", "path", "symbol", F.array_join("outgoing_names", ",").alias("outgoing"), F.array_join("incoming_names", ",").alias("incoming"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
-from tallyloom.operators import case_rules
+from tallyloom.operators import case_rules, code_units
 from tallyloom.plans import registry
 
 TABLES = "/root/testdata/sf0.001"
@@ -31,3 +31,11 @@ def test_presence_of_cases_without_modules_or_files(spark):
     found = case_rules.presence(case_rules.marked(files), files.select("case_id").distinct())
     want = [("a", "identity.md"), ("a", "report.md"), ("b", "base.md"), ("b", "identity.md"), ("b", "modules")]
     assert sorted((r["case_id"], r["path"]) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["call_resolution", "call_sets", "code_functions", "code_shapes"])
+def test_sources_are_scanned_once(spark, name, monkeypatch):
+    ran, scan = [], code_units.extract
+    monkeypatch.setattr(code_units, "extract", lambda blobs: ran.append(scan(blobs)) or ran[-1])
+    found = registry.QUERIES[name](spark, TABLES)
+    assert len(ran) == 1 and plan(found).count("MapInArrow") == (0 if name.startswith("call_") else 1)  # 0: read from what is written
