@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import paths as P
 from tallyloom.operators import bags, results
+from tallyloom.operators.cuts import durable
 from tallyloom.operators.running import running_sum
 
 
@@ -27,14 +28,18 @@ def pair_sums(pairs: DataFrame, bag: DataFrame, *keys: str) -> DataFrame:
 def directories(pairs: DataFrame, units: DataFrame, order: list[str]) -> DataFrame:
     """(target, candidate, directory, shared_instances, target_instances): every directory of each pair's target.
 
-    A candidate's units of a shape are used up by the target's in order, whatever directory they lie in.
+    A candidate's units of a shape are used up by the target's in order, whatever directory they lie in. Only units
+    of shapes that a target has are dealt, and they meet the target's by shape: pairs are never multiplied with its units.
     """
-    own = units.join(pairs.select(F.col("target").alias("work_id")).distinct(), "work_id", "left_semi")
+    targets = durable(pairs.select(F.col("target").alias("work_id")).distinct(), "targets")
+    own = units.join(targets, "work_id", "left_semi")
     own = own.select(F.col("work_id").alias("target"), "shape", P.parent_dir(F.col("path")).alias("directory"), *[F.col(c).alias(f"__{c}") for c in order])
     own = own.withColumns({"group": F.concat_ws("\0", "target", "shape"), "one": F.lit(1)})
     placed = running_sum(own, "group", [F.col(f"__{c}") for c in order], "one", "before").select("target", "shape", "directory", "before")
-    capacity = bags.counts(units, "shape").select(F.col("work_id").alias("candidate"), "shape", F.col("n").alias("capacity"))
-    hits = pairs.select("target", "candidate").join(placed, "target").join(capacity, ["candidate", "shape"]).where("before < capacity")
+    wanted = durable(placed.select("shape").distinct(), "shapes")
+    held = bags.counts(units.join(wanted, "shape", "left_semi"), "shape").select(F.col("work_id").alias("candidate"), "shape", F.col("n").alias("capacity"))
+    held = held.join(pairs.select("candidate").distinct(), "candidate", "left_semi")
+    hits = placed.join(held, "shape").where("before < capacity")  # those of other pairs go where the pairs are joined
     shared = hits.groupBy("target", "candidate", "directory").agg(F.count(F.lit(1)).alias("shared_instances"))
     total = placed.groupBy("target", "directory").agg(F.count(F.lit(1)).alias("target_instances"))
     full = pairs.select("target", "candidate").join(total, "target").join(shared, ["target", "candidate", "directory"], "left")

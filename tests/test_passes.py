@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
-from tallyloom.operators import case_rules, code_units
+from tallyloom.operators import case_rules, code_units, headrecord
 from tallyloom.plans import registry
 
 TABLES = "/root/testdata/sf0.001"
@@ -39,3 +39,11 @@ def test_sources_are_scanned_once(spark, name, monkeypatch):
     monkeypatch.setattr(code_units, "extract", lambda blobs: ran.append(scan(blobs)) or ran[-1])
     found = registry.QUERIES[name](spark, TABLES)
     assert len(ran) == 1 and plan(found).count("MapInArrow") == (0 if name.startswith("call_") else 1)  # 0: read from what is written
+
+
+def test_directories_deal_only_units_of_shapes_that_a_target_has(spark):
+    units = spark.createDataFrame([("a", "x/1.c", "s", 1), ("a", "y/2.c", "s", 2), ("b", "z", "s", 3), ("c", "z", "r", 4)], "work_id string, path string, shape string, ord int")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "target string, candidate string")
+    found = headrecord.directories(pairs, units, ["path", "ord"])
+    assert "LeftSemi, (shape" in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("a", "b", "x", 1, 1), ("a", "b", "y", 0, 1), ("a", "c", "x", 0, 1), ("a", "c", "y", 0, 1)]
