@@ -77,10 +77,12 @@ def shape_examples(left: DataFrame, right: DataFrame, limit: int = 30) -> DataFr
     return one.join(two, "shape").where(F.col("left_unit") != F.col("right_unit")).orderBy("shape").limit(limit)
 
 
-def _overlaps_of(counted: DataFrame, targets: list[str], key: str) -> DataFrame:
-    """`bags.overlaps` for some targets: only their rows are joined with the rest."""
-    own = counted.where(F.col("work_id").isin(*targets)).select(F.col("work_id").alias("target"), key, F.col("n").alias("ln"))
-    rest = counted.select(F.col("work_id").alias("candidate"), key, F.col("n").alias("rn"))
+def _overlaps_of(rows: DataFrame, targets: list[str], key: str) -> DataFrame:
+    """`bags.overlaps` for some targets: only rows with values that they hold are counted, and joined with theirs."""
+    of_target = rows.where(F.col("work_id").isin(*targets))
+    wanted = durable(of_target.select(key).distinct(), "wanted")  # written, so the join knows its size and leaves the rest where it is
+    own = bags.counts(of_target, key).select(F.col("work_id").alias("target"), key, F.col("n").alias("ln"))
+    rest = bags.counts(rows.join(wanted, key, "left_semi"), key).select(F.col("work_id").alias("candidate"), key, F.col("n").alias("rn"))
     both = own.join(rest, key).where(F.col("target") != F.col("candidate"))
     return both.groupBy("target", "candidate").agg(F.sum(F.least("ln", "rn")).alias("shared"))
 
@@ -102,15 +104,14 @@ def head_candidates(bag: DataFrame, units: DataFrame, targets: list[str], k: int
     """
     scored = None
     for name, rows, key in (("blob", bag, "blob"), ("shape", units, "shape")):
-        counted = bags.counts(rows, key)
-        total = bags.totals(counted)
+        total = bags.works_of(rows)
         if scored is None:
             works = total.select("work_id")
             own = works.where(F.col("work_id").isin(*targets)).select(F.col("work_id").alias("target"))
             # a row for each named target and each work: the names are arguments, so this is a listing
             scored = works.select(F.col("work_id").alias("candidate"), F.explode(F.array(*[F.lit(t) for t in targets])).alias("target"))
             scored = scored.join(own, "target", "left_semi").where(F.col("target") != F.col("candidate"))
-        pairs = scored.select("target", "candidate").join(_overlaps_of(counted, targets, key), ["target", "candidate"], "left")
+        pairs = scored.select("target", "candidate").join(_overlaps_of(rows, targets, key), ["target", "candidate"], "left")
         full = bags.containment(pairs, total).select("target", "candidate", F.col("shared").alias(f"{name}_shared"), F.bround("balanced", 6).alias(f"{name}_balanced"))
         scored = scored.join(full, ["target", "candidate"])
     scored = named(scored.withColumn("score", F.greatest("blob_balanced", "shape_balanced")), names)

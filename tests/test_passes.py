@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
-from tallyloom.operators import case_rules, code_units, headrecord
+from tallyloom.operators import case_rules, code_units, headrecord, search
 from tallyloom.plans import registry
 
 TABLES = "/root/testdata/sf0.001"
@@ -47,3 +47,11 @@ def test_directories_deal_only_units_of_shapes_that_a_target_has(spark):
     found = headrecord.directories(pairs, units, ["path", "ord"])
     assert "LeftSemi, (shape" in plan(found)
     assert sorted(map(tuple, found.collect())) == [("a", "b", "x", 1, 1), ("a", "b", "y", 0, 1), ("a", "c", "x", 0, 1), ("a", "c", "y", 0, 1)]
+
+
+def test_head_search_counts_only_values_that_a_target_holds(spark):
+    bag = spark.createDataFrame([("a", "p", "x"), ("a", "q", "x"), ("b", "p", "x"), ("c", "p", "y")], "work_id string, path string, blob string")
+    units = spark.createDataFrame([("a", "s"), ("b", "s")], "work_id string, shape string")
+    found = search.head_candidates(bag, units, ["a"])
+    assert "LeftSemi, (blob" in plan(found) and "LeftSemi, (shape" in plan(found)
+    assert [(r["candidate"], r["blob_shared"], r["shape_shared"], r["score"]) for r in found.orderBy("rank").collect()] == [("b", 1, 1, 1.0), ("c", 0, 0, 0.0)]
