@@ -79,3 +79,20 @@ def test_an_order_that_is_none(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], FORM)
     assert commitgraph.reached(none, none.select("work_id", "id"), "at").count() == 0
+
+
+def test_a_long_history_takes_few_rounds(spark, monkeypatch):
+    """No round for each block of a history; side lines, shortcuts, several works and starts, and a busy stretch among them."""
+    rng, rows = random.Random(4), []
+    for w, size in (("a", 640), ("b", 200), ("c", 1)):
+        for i in range(size):
+            near = {i - 1, i - 2} if w == "a" and rng.random() < 0.3 else {i - 3} if w == "b" else {i - 1}
+            if w == "a" and 300 < i < 311:
+                near |= {rng.randrange(i) for _ in range(4)}
+            rows += [(w, i, p, i) for p in near if p >= 0] or [(w, i, None, i)]
+    starts = [("a", 639), ("a", 500), ("b", 199), ("b", 100), ("c", 0), ("d", 1)]
+    steps, durable = [], commitgraph.durable
+    monkeypatch.setattr(commitgraph, "durable", lambda df, what="cut": (steps.append(what), durable(df, what))[1])
+    found = commitgraph.reached(spark.createDataFrame(rows, FORM), spark.createDataFrame(starts, "work_id string, id long"), "at", 40).collect()
+    assert {(r.work_id, r.id): r.depth for r in found} == walk(rows, starts) and len(found) == len(walk(rows, starts))
+    assert "reached" in steps and steps.count("settled") < 8  # 16 blocks
