@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import texts as T
-from tallyloom.operators.markdown import heading_rows
 from tallyloom.operators.search import in_order
 
 #: The kinds of an evidence card.
@@ -89,16 +88,20 @@ def reverse_references(docs: DataFrame, anchor: Column | None = None) -> DataFra
     """For each cited id the places that cite it: each document, section and anchor once.
 
     `anchor` tells where a document's sections are shown; without it they are shown under their own titles.
+    Places are dealt by range of (id, place), so one that all documents cite spans as many tasks as it
+    needs; each task joins its places' texts, and a row only joins those.
     """
     docs = docs.withColumn("__anchor", F.lit(None).cast("string") if anchor is None else anchor)
-    sections = heading_rows(docs).where("level = 2").select("id", F.struct("line", "title").alias("h")).groupBy("id").agg(F.collect_list("h").alias("hs"))
-    at = cited(docs).join(sections, "id", "left").join(docs.select("id", "__anchor"), "id")
-    before = F.filter("hs", lambda h: h["line"] <= F.col("line"))
-    place = at.select("evidence_id", F.col("path").alias("document"), F.coalesce(F.array_max(before)["title"], F.lit("")).alias("section"), "__anchor")
+    # of an outer explode no filter is inferred that would cut and search each text once more
+    each = docs.select(F.col("path").alias("document"), "__anchor", F.explode_outer(T.sections(F.col("body"))).alias("s"))
+    each = each.select("document", "__anchor", "s", F.explode_outer(F.array_distinct(T.references(F.col("s")))).alias("evidence_id")).where("evidence_id IS NOT NULL")
+    place = each.select("evidence_id", "document", T.section_title(F.col("s")).alias("section"), "__anchor")
     place = place.withColumn("anchor", F.coalesce("__anchor", T.slugify(F.col("section")))).drop("__anchor").distinct()
-    found = place.groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("document", "section", "anchor"))).alias("places"))
-    shown = F.transform("places", lambda x: F.concat_ws("#", x["document"], x["section"], x["anchor"]))
-    return found.withColumn("places", F.array_join(shown, "|"))
+    place = place.repartitionByRange("evidence_id", "document", "section", "anchor").withColumn("__part", F.spark_partition_id())
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("document", "section", "anchor"))), lambda x: F.concat_ws("#", x["document"], x["section"], x["anchor"]))
+    parts = place.groupBy("evidence_id", "__part").agg(F.count(F.lit(1)).alias("n"), F.array_join(shown, "|").alias("places"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("__part", "places"))), lambda x: x["places"])
+    return parts.groupBy("evidence_id").agg(F.sum("n").alias("n"), F.array_join(whole, "|").alias("places"))
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
