@@ -170,7 +170,8 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     home = fps.select("fp").mapInArrow(at_home, "anchor int, x long")
     near = fps.select("fp").mapInArrow(within_reach, "anchor int, y long")
     close = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= THRESHOLD
-    return home.join(near, (home["anchor"] == near["anchor"]) & (F.col("x") < F.col("y")) & close).select("x", "y")
+    # merged at every size: Spark sizes either side by the fingerprints it is made of, but `near` has 61 rows for each
+    return home.hint("merge").join(near.hint("merge"), (home["anchor"] == near["anchor"]) & (F.col("x") < F.col("y")) & close).select("x", "y")
 
 
 def group_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -208,6 +208,14 @@ def test_anchor_covering_misses_no_pair(spark):
     assert sorted((r["x"], r["y"]) for r in got) == sorted(want) and want
 
 
+def test_anchors_are_not_broadcast(spark, tmp_path):
+    spark.range(300).select(F.col("id").alias("fp")).write.parquet(f"{tmp_path}/fps.parquet")
+    pairs = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/fps.parquet"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert pairs.count() == sum((x ^ y).bit_count() <= 2 for x in range(300) for y in range(x))
+
+
 def test_drop_near_keeps_one_of_each(spark, folder):
     docs = documents(spark).withColumn("fp", F.lit("clash"))
     groups = {r["component_id"] for r in simhash.op4_simhash(spark, folder).collect()}
