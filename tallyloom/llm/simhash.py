@@ -205,7 +205,8 @@ def drop_near(docs: DataFrame) -> DataFrame:
     rows = group_near(docs).groupBy("part", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("held"), F.col("n").alias("n"))
     first = rows.groupBy("part").agg(F.min(order).alias("first"))
-    first = durable(first.select(F.col("first.id").alias(key), F.col("first.held").alias(held), F.col("first.n").alias(n)), "kept")
+    # merged at every size, as its file is many times smaller than what a broadcast takes of the driver
+    first = durable(first.select(F.col("first.id").alias(key), F.col("first.held").alias(held), F.col("first.n").alias(n)), "kept").hint("merge")
     same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(held))
     once = docs.join(first.where(F.col(n) == 1), same, "left_semi")
     repeated = first.where(F.col(n) > 1)

@@ -208,12 +208,16 @@ def test_anchor_covering_misses_no_pair(spark):
     assert sorted((r["x"], r["y"]) for r in got) == sorted(want) and want
 
 
-def test_anchors_are_not_broadcast(spark, tmp_path):
+def test_anchors_and_kept_rows_are_not_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([(n, f"one two three four {n % 5}", "en") for n in range(40)], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     spark.range(300).select(F.col("id").alias("fp")).write.parquet(f"{tmp_path}/fps.parquet")
-    pairs = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/fps.parquet"))
-    plan = pairs._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
-    assert pairs.count() == sum((x ^ y).bit_count() <= 2 for x in range(300) for y in range(x))
+    pairs, kept = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/fps.parquet")), simhash.drop_near(docs)
+    for found in (pairs, kept):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert pairs.count() == sum((x ^ y).bit_count() <= 2 for x in range(300) for y in range(x)) and kept.count() == 5
 
 
 def test_drop_near_keeps_one_of_each(spark, folder):
