@@ -63,8 +63,7 @@ def relocated_instances(content: DataFrame, aligned: DataFrame) -> DataFrame:
 
 def all_relocated(bag: DataFrame) -> DataFrame:
     """`relocated_instances` of all pairs of works that share content, both overlaps summed in one pass."""
-    parts = {"shared": (bags.counts(bag, "blob"), ["blob"]), "same": (bags.counts(bag, "path", "blob"), ["path", "blob"])}
-    both = bags.overlaps_by(parts, bag.select("work_id").distinct())
+    both = bags.overlaps_by(bags.single(bag, "path", "blob"), {"shared": ["blob"], "same": ["path", "blob"]}, bag.select("work_id").distinct())
     return both.select("target", "candidate", F.greatest(F.lit(0), F.col("shared") - F.col("same")).alias("relocated"))
 
 

@@ -145,3 +145,39 @@ def test_overlaps_by_blocks_of_works(spark):
     assert {(r.target, r.candidate): (r.shared, r.shared_unique) for r in full.collect()} == {k: v[:2] for k, v in wanted.items()}
     moved = search.all_relocated(own)
     assert {(r.target, r.candidate): r.relocated for r in moved.collect()} == {k: v[2] for k, v in wanted.items()}
+
+
+def test_rows_of_all_pairs_are_shuffled_once(spark, monkeypatch):
+    """Neither counts nor pairs are shuffled to meet names and totals of works, whatever Spark thinks of their size."""
+    rows = [(f"w{w}", f"p{w % 3}", f"b{w % 5}", 0) for w in range(60)]
+    own = spark.createDataFrame(rows, "work_id string, path string, blob string, ord long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        total = bags.works_of(own)
+        full = bags.containment(bags.overlaps(bags.single(own, "blob"), "blob", works=total), bags.beside(total))
+        for found in (full, search.all_relocated(own)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 2
+        few = full.count()
+        monkeypatch.setattr(bags, "MOST_BYTES", 0)  # more works than may be broadcast: all is shuffled, and the same
+        shuffled = bags.containment(bags.overlaps(bags.single(own, "blob"), "blob", works=total), bags.beside(total))
+        assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert shuffled.exceptAll(full).isEmpty() and shuffled.count() == few == 60 * 11
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_keys_in_few_bytes_stay_apart(spark):
+    keys = ["ab", "AB", "aB", "abc", "0abc", "0ABC", "", "\1\xab", "\xab", "b", "0b", "zz", "ff" * 32, "é", "ab ", " ab"]
+    rows = [(w, k) for w in ("l", "r") for k in keys] + [("l", None), ("r", None)]
+    got = bags.overlaps(bags.single(spark.createDataFrame(rows, "work_id string, blob string"), "blob"), "blob").collect()
+    assert {(r.target, r.candidate, r.shared, r.shared_unique) for r in got} == {("l", "r", len(keys), len(keys)), ("r", "l", len(keys), len(keys))}
+    twice = bags.overlaps(bags.single(spark.createDataFrame([("l", 1), ("r", 1), ("r", 2)], "work_id string, blob long"), "blob"), "blob")
+    assert {r.shared for r in twice.collect()} == {1}
+
+
+def test_rows_without_a_path_share_content_alone(spark):
+    rows = [("l", None, "x"), ("l", "p", "x"), ("r", None, "x"), ("r", "p", "x"), ("r", "q", None)]
+    got = search.all_relocated(spark.createDataFrame(rows, "work_id string, path string, blob string")).collect()
+    assert {(r.target, r.candidate, r.relocated) for r in got} == {("l", "r", 1), ("r", "l", 1)}
