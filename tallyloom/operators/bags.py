@@ -46,7 +46,7 @@ def beside(works: DataFrame, column: str = "work_id") -> DataFrame:
     return F.broadcast(works) if size <= MOST_BYTES else works.hint("merge")
 
 
-def _short(key: str, kind: str) -> Column:
+def short(key: str, kind: str) -> Column:
     """A key in as few bytes as can be told back: text that is lower-case hex becomes its bytes, marked as such."""
     if kind != "string":
         return F.col(key)
@@ -65,16 +65,16 @@ def _dealt(rows: DataFrame, parts: dict[str, list[str]], known: DataFrame) -> Da
     keys = list(dict.fromkeys(k for own in parts.values() for k in own))
     shared = [k for k in keys if all(k in own for own in parts.values())]
     kinds = dict(rows.dtypes)
-    short = rows.dropna(subset=shared).join(known, "work_id").select(*[_short(k, kinds[k]) for k in keys], "number", "n")
-    short = short.repartition(*shared)
+    dealt = rows.dropna(subset=shared).join(known, "work_id").select(*[short(k, kinds[k]) for k in keys], "number", "n")
+    dealt = dealt.repartition(*shared)
     if len(parts) == 1:
-        return short.withColumn("part", F.lit(0))
+        return dealt.withColumn("part", F.lit(0))
     rest = [k for k in keys if k not in shared]
     each = [F.struct(F.lit(i).alias("part"), *[(F.col(k) if k in own else F.lit(None)).alias(k) for k in rest]) for i, own in enumerate(parts.values())]
     there = [functools.reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in own]) for own in parts.values()]  # a key that is null equals none
     told = F.filter(F.array(*[F.when(t, e) for t, e in zip(there, each, strict=True)]), lambda x: x.isNotNull())
     # the shared keys stay columns of their own, else Spark no longer knows by what the rows are dealt
-    return short.select(*shared, "number", "n", F.explode(told).alias("e")).select("e.*", *shared, "number", "n")
+    return dealt.select(*shared, "number", "n", F.explode(told).alias("e")).select("e.*", *shared, "number", "n")
 
 
 def pairs_by(dealt: DataFrame, keys: list[str], names: list[str], count: int) -> DataFrame:

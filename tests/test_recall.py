@@ -40,6 +40,18 @@ def test_a_value_of_all_works_makes_no_square_of_pairs(spark):
     assert pairs.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n <> 5").isEmpty()
 
 
+def test_what_most_works_share_brings_no_pair_that_cannot_win(spark):
+    """Two values of a family and three of all works: the sum of both is the floor, which three alone don't reach."""
+    rows = [(f"w{w}", v) for w in range(60) for v in [*(f"f{w // 6}-{k}" for k in range(2)), *(f"all{k}" for k in range(3)), *(f"own{w}-{k}" for k in range(8)), None]]
+    bag = spark.createDataFrame(rows, "work_id string, blob string")
+    sized = recall._sized(bags.counts(bag, "blob").withColumnRenamed("blob", "value"))
+    assert sized.groupBy("work_id").agg(F.sum("n").alias("n"), F.max("total").alias("total")).where("n <> 13 or total <> 14").isEmpty()
+    assert recall.recall_pairs(sized, sized.where("false"), 3).count() == 60 * 5
+    own = bag.withColumn("path", F.lit("p"))
+    got = recall.head_recall(own, own.where("false").select("work_id", F.col("blob").alias("shape")), 5).collect()
+    assert len(got) == 60 * 5 and all((int(r.target[1:]) // 6, r.blob_shared) == (int(r.candidate[1:]) // 6, 5) for r in got)
+
+
 def test_works_without_a_like(spark):
     bag = spark.createDataFrame([("a", "p", "1"), ("b", "p", "2"), ("c", "p", "3")], "work_id string, path string, blob string")
     units = spark.createDataFrame([], "work_id string, shape string")
