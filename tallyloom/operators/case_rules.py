@@ -161,7 +161,7 @@ def headings(docs: DataFrame) -> DataFrame:
     With them come `titles`, those of all headings, and `h1` and `h2`, those of these levels: rules ask for them many
     times, and a lambda that made them would do so for each of its elements.
     """
-    at = docs.withColumns({"__lines": T.lines(F.col("body")), "__heads": T.headings(F.col("body"))})
+    at = docs.withColumn("__lines", T.lines(F.col("body"))).withColumn("__heads", T.headings_of(F.col("__lines")))  # split once
 
     def head(x: Column, following: Column) -> Column:
         return F.struct(x["line"].alias("line"), x["level"].alias("level"), F.trim(x["title"]).alias("title"), following.alias("until"))

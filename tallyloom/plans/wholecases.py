@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import case_rules, report, rules
 from tallyloom.operators.cuts import durable
 from tallyloom.plans.registry import query
-from tallyloom.sources.adapters import RELATIONS, UNIONS, dealt, relation
+from tallyloom.sources.adapters import RELATIONS, UNIONS, relation
 from tallyloom.sources.files import CARDS
 
 TAXONOMY = {"memory": ["paging", "heap"], "scheduler": ["runqueue"]}
@@ -97,10 +97,12 @@ UNIONS["case_files"] = ("file_identity", "file_base", "file_report", "file_cheat
 
 
 def case_files(spark, d):
-    """(case_id, path, text) of all cases, and their documents, parsed once."""
+    """(case_id, path, text) of all cases, and their documents, parsed once.
+
+    Files are dealt to all cores before they are parsed, so the written documents lie in as many files of like size.
+    """
     files = relation(spark, d, "case_files")
-    docs = durable(case_rules.in_case(case_rules.parsed(files)), "documents")
-    return files, dealt(docs)  # its largest files, all modules, would be read by few tasks
+    return files, durable(case_rules.in_case(case_rules.parsed(files)), "documents")
 
 
 def _reviews(spark, d, files, docs):

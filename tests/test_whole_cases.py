@@ -145,3 +145,19 @@ def test_front_matter_ends_where_the_first_line_of_hyphens_begins(spark):
 def test_a_path_given_twice_counts_once(spark):
     files = spark.createDataFrame([("c", "base.md", "x"), ("c", "base.md", "x"), ("c", "identity.md", "y")], "case_id string, path string, text string")
     assert len(case_rules.material(files).first().files) == 2
+
+
+def test_documents_lie_in_files_for_all_cores_and_are_not_dealt_again(spark):
+    """Families read the parsed documents where they were written; headings are of lines split once."""
+    from tallyloom.functions import texts
+    from tallyloom.operators import case_rules
+    from tallyloom.plans import wholecases
+
+    docs = wholecases.case_files(spark, "/root/testdata/sf0.001")[1]
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+    some = spark.createDataFrame([("a", "report.md", "", "final_report", {}, None, "# T\n#no\n ## indented\n## S ### deep  \ntext\n#\tx")], "case_id string, path string, problem string, contract string, fields map<string,string>, public boolean, body string")
+    plan = case_rules.headings(some)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    got = case_rules.headings(some).first()
+    assert [(h.line, h.level, h.title, h.body) for h in got.heads] == [(1, 1, "T", "#no\n ## indented"), (4, 2, "S", ""), (5, 3, "deep", "text"), (7, 1, "x", "")]
+    assert [tuple(h) for h in some.select(texts.headings("body").alias("h")).first().h] == [(1, 1, "T"), (4, 2, "S"), (5, 3, "deep"), (7, 1, "x")]
